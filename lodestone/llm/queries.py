@@ -7,18 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .piece_bpe import encode_decode_digests
 from .token_binary import token_binary
 
 BYTE_BPE = ("byte_bpe_50k.json", 50257)
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_binary(docs, public_tokenizers.path(BYTE_BPE[0]), BYTE_BPE[1])
+    return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE[0]), BYTE_BPE[1])
+
+
+def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_binary,)}
+    return {f.__name__: f for f in (op5_token_binary, op9_piece_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
