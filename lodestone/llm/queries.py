@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination
+from .decontamination import contamination
 from .jaccard_join import jaccard_components
 from .piece_bpe import encode_decode_digests
 from .token_binary import token_binary
@@ -19,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE[0]), BYTE_BPE[1])
 
@@ -32,8 +38,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_binary, op9_piece_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op9_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontamination.ORACLE_SQL}
