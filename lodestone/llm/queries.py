@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination
 from .decontamination import contamination
 from .jaccard_join import jaccard_components
+from .permutation_index import nearest_neighbours
 from .piece_bpe import encode_decode_digests
 from .token_binary import token_binary
 
@@ -29,6 +31,10 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE[0]), BYTE_BPE[1])
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -38,7 +44,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op9_piece_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op7_permutation_index, op9_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
