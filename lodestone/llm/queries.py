@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .permutation_index import nearest_neighbours
 from .piece_bpe import encode_decode_digests
 from .token_binary import token_binary
+from .toxicity import toxicity
 
 BYTE_BPE = ("byte_bpe_50k.json", 50257)
 PIECE_BPE = "piece_bpe_32k.model"
@@ -31,6 +32,10 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE[0]), BYTE_BPE[1])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -44,7 +49,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op7_permutation_index, op9_piece_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op6_toxicity, op7_permutation_index, op9_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
