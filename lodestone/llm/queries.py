@@ -13,6 +13,7 @@ from .decontamination import contamination
 from .jaccard_join import jaccard_components
 from .permutation_index import nearest_neighbours
 from .piece_bpe import encode_decode_digests
+from .secret_scan import secrets
 from .token_binary import token_binary
 from .toxicity import toxicity
 
@@ -40,6 +41,10 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -49,7 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op6_toxicity, op7_permutation_index, op9_piece_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op6_toxicity, op7_permutation_index, op8_secret_scan, op9_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
