@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels with pointer jumping."""
+"""Connected components of an edge table, by contraction towards least neighbours."""
 
 from __future__ import annotations
 
@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
+def _mapped(frame: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+    """`column` replaced by its parent, where it has one."""
+    to = parents.select(F.col("node").alias(column), F.col("parent").alias("to"))
+    return frame.join(to, column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
+
+
 def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """edges: a, b long. Returns node, label: every node that has an edge, with its component's least node.
-
-    Each round gives a node the least label among its neighbours, then that label's own label, so chains shorten
-    by powers. Labels are written after each round; only the count of changed nodes comes to the driver."""
-    both = stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct(), folder, f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), folder, f"{name}-0")
-    for step in range(1, 200):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        above = labels.select(F.col("node").alias("low"), F.col("label").alias("top"))
-        fresh = lower.join(above, "low").select("node", F.least("low", "top").alias("label"), (F.least("low", "top") < F.col("label")).alias("moved"))
-        fresh = stored(fresh, folder, f"{name}-{step}")
-        labels = fresh.select("node", "label")
-        if fresh.filter("moved").isEmpty():
+    """edges: a, b long. Returns node, label: every node that has an edge, with the same label throughout a component.
+
+    In each round a node points to its least neighbour below it, and on to where that one points; edges and labels move
+    along the pointers, loops and repeats go, until no edge is left. Node ids are hashes, so their order is random and
+    the number of rounds is logarithmic. Edges and labels are written after each round."""
+    edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges")
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
+    for step in range(200):
+        if edges.isEmpty():
             return labels
+        parents = stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), folder, f"{name}-parents-{step}")
+        parents = stored(_mapped(parents, "parent", parents), folder, f"{name}-jumped-{step}")
+        labels = stored(_mapped(labels, "label", parents), folder, f"{name}-labels-{step}")
+        moved = _mapped(_mapped(edges, "a", parents), "b", parents).filter("a <> b")
+        edges = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges-{step}")
     raise RuntimeError("components did not settle")

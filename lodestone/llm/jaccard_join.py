@@ -162,34 +162,36 @@ def set_table(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
 
 
 def candidate_edges(sets: DataFrame, folder: str) -> DataFrame:
-    """a, b: a chain through the sets of each signature. Signatures are dealt by ranges of (signature, set), so that a
-    frequent one spreads over partitions; the ends of the partitions' runs are chained afterwards."""
+    """a, b: from the first set of each signature to its other sets. Signatures are dealt by ranges of (signature, set),
+    so that a frequent one spreads over partitions; the first sets of the partitions' outer runs are joined afterwards."""
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None  # signature and first set of the run at hand
         out = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             sig, node = (batch.column(c).to_numpy() for c in ("sig", "set_id"))
             if not len(sig):
                 continue
             if last is None:
-                yield pa.RecordBatch.from_arrays([sig[:1], node[:1], node[:1]], schema=out)  # the partition's first run
+                yield pa.RecordBatch.from_arrays([sig[:1], node[:1], node[:1]], schema=out)
             else:
                 sig, node = np.append(last[0], sig), np.append(last[1], node)
-            hit = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
+            fresh = np.append(True, sig[1:] != sig[:-1])
+            hub = node[np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))]
+            hit = np.flatnonzero(hub != node)
             if len(hit):
-                yield pa.RecordBatch.from_arrays([sig[hit], node[hit], node[hit + 1]], schema=out)
-            last = (int(sig[-1]), int(node[-1]))
+                yield pa.RecordBatch.from_arrays([sig[hit], hub[hit], node[hit]], schema=out)
+            last = (int(sig[-1]), int(hub[-1]))
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last[0], last[1], last[1])], schema=out)
 
     many = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sets.filter("n > 0 AND doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), "set_id")
     dealt = rows.repartitionByRange(many, "sig", "set_id").sortWithinPartitions("sig", "set_id")
-    chained = stored(dealt.mapInArrow(chain, "sig long, a long, b long"), folder, "chains")
-    ends = chained.filter("a = b")  # two for each partition
+    found = stored(dealt.mapInArrow(stars, "sig long, a long, b long"), folder, "stars")
+    ends = found.filter("a = b")  # two for each partition
     joins = ends.groupBy("sig").agg(F.min("a").alias("first")).join(ends.select("sig", "b"), "sig").select(F.col("first").alias("a"), "b")
-    return chained.select("a", "b").union(joins).filter("a <> b")
+    return found.select("a", "b").union(joins).filter("a <> b")
 
 
 def links_in_block(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
