@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination
+from .class_lm import class_scores
 from .decontamination import contamination
 from .jaccard_join import jaccard_components
 from .permutation_index import nearest_neighbours
@@ -29,6 +30,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE[0]), BYTE_BPE[1])
 
@@ -54,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_token_binary, op6_toxicity, op7_permutation_index, op8_secret_scan, op9_piece_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_class_lm, op5_token_binary, op6_toxicity, op7_permutation_index, op8_secret_scan, op9_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
