@@ -12,6 +12,7 @@ from . import decontamination, line_dedup
 from .class_lm import class_scores
 from .decontamination import contamination
 from .jaccard_join import jaccard_components
+from .language_id import document_evidence, identify
 from .line_dedup import deduplicated
 from .permutation_index import nearest_neighbours
 from .piece_bpe import encode_decode_digests
@@ -40,6 +41,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(document_evidence(_table(spark, sf_dir, "documents")))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE[0]), BYTE_BPE[1])
 
@@ -65,7 +70,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_line_dedup, op5_token_binary, op6_toxicity, op7_permutation_index, op8_secret_scan, op9_piece_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_line_dedup, op4_language_id, op5_token_binary, op6_toxicity, op7_permutation_index, op8_secret_scan, op9_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
