@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunking, fusion, graph, lifecycle, retrieval
+from ..sources import files
+from ..streaming import usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,3 +416,23 @@ def adapted_chunk_sizes(spark, sf_dir):
 def table_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("o", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
     return chunking.batched(rows, ["l_suppkey"], "o", 10, F.concat_ws(" | ", "l_orderkey", "l_partkey"))
+
+
+# --- sources and counters ------------------------------------------------------------------------------------------
+
+
+@query()
+def page_lines(spark, sf_dir):
+    return files.page_segments(table(spark, sf_dir, "pages"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
+def hourly_usage(spark, sf_dir):
+    rows = usage.windowed_usage(table(spark, sf_dir, "events"))
+    return rows.select("start", "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query()
+def sliding_log(spark, sf_dir):
+    day = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") / 3600
+    return usage.rate_limited(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), day.alias("ts")), 3, 24.0)
