@@ -9,7 +9,7 @@ verified. Before that, lines are let go that share neither a first nor a second
 leaves one half whole; this drops no pair within the bound.
 
 Defined results: null and empty texts have one empty line, which stays, as do lines of fewer than MIN_WORDS words; a
-null doc_id comes last; rows that repeat doc_id and text are one document and keep the same lines; an empty table gives
+null doc_id comes last; columns of the input named like the counts give way to them; rows that repeat doc_id and text are one document and keep the same lines; an empty table gives
 no rows. Texts are taken whole; other columns stay as they are in `deduplicated`.
 """
 
@@ -30,6 +30,7 @@ SLICE_CHARS = 1 << 22
 #: Most rows of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
+COUNTS = ("n_lines", "n_exact", "n_near")
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -239,7 +240,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     stay = F.filter(lines, lambda x, i: ~F.array_contains(F.concat(exact, near), i))
     return full.withColumns({"n_lines": F.size(lines).cast("long"), "n_exact": F.size(exact).cast("long"), "n_near": F.size(near).cast("long"), "__stay": F.array_join(stay, "\n")}).select(
-        *(F.col("__stay").alias("text") if c == "text" else F.col(c) for c in docs.columns), "n_lines", "n_exact", "n_near"
+        *(F.col("__stay").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in COUNTS), *COUNTS
     )
 
 
