@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunking, fusion, graph, retrieval
+from lodestone.operators import chunking, fusion, graph, merging, retrieval
 from lodestone.sources import files
 from lodestone.streaming import usage
 
@@ -166,3 +166,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (str(r.start), r.event_type, r.n, round(r.total, 6))
     assert sorted(map(key, spark.table("usage_windows").collect())) == sorted(map(key, usage.windowed_usage(events).collect()))
+
+
+def test_overlap():
+    text = "".join(chr(0x4E00 + i) for i in range(100))
+    assert merging.overlap(text, text[:72]) == 0.72
+    assert merging.overlap(text, text[:71]) < merging.OVERLAP
+    assert merging.overlap("a b", "ab") == 1.0
+    assert merging.overlap("", "x") == merging.overlap(None, None) == 0.0
+
+
+HITS = "query_id long, kb_id int, kb_type string, uid long, score double, document_id long, content string, is_image boolean, ord int"
+
+
+def test_dedupe_prefers_body_text(spark):
+    rows = [(1, 1, "classic", 1, 0.9, 5, "same words", True, 1), (1, 1, "classic", 2, 0.8, 5, "same words", False, 2), (1, 1, "classic", 3, 0.7, 6, "same words", False, 3), (2, 1, "classic", 4, 0.7, 6, None, False, 1)]
+    found = merging.dedupe(spark.createDataFrame(rows, HITS), 5).collect()
+    assert sorted(r.uid for r in found) == [2, 3, 4]
+
+
+def test_merge_reserves_collections_and_types(spark):
+    rows = [(1, 2, "graph", i, 0.99 - i / 100, i, f"g{i}", False, i) for i in range(5)] + [(1, 1, "classic", 10 + i, 0.45 - i / 100, 10 + i, f"c{i}", False, i) for i in range(5)]
+    found = merging.merge_collections(spark.createDataFrame(rows, HITS), 5).collect()
+    assert len(found) == 5
+    assert {r.kb_id for r in found} == {1, 2}

@@ -8,6 +8,7 @@ import pytest
 from conftest import SF
 
 from lodestone.plans import queries as plans
+from lodestone.plans import records  # noqa: F401
 
 
 @pytest.fixture(scope="module")
