@@ -80,7 +80,10 @@ def nearest_neighbours(table: DataFrame, query: Column, k: int = NEIGHBOURS, piv
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     empty = "query_id long, rank int, vec_id long, score double"
-    sample = [x.v for x in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()]
+    scale = 1 << 30
+    share = min(scale, 2 * scale * PIVOT_SAMPLE // max(rows.count(), 1))  # twice the sample in expectation, whatever the size
+    drawn = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(scale)) < share)
+    sample = [x.v for x in drawn.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()]
     if not sample:
         return spark.createDataFrame([], empty)
     width = Counter(map(len, sample)).most_common(1)[0][0]
