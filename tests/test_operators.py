@@ -190,3 +190,20 @@ def test_merge_reserves_collections_and_types(spark):
     found = merging.merge_collections(spark.createDataFrame(rows, HITS), 5).collect()
     assert len(found) == 5
     assert {r.kb_id for r in found} == {1, 2}
+
+
+def test_search_terms(spark):
+    from lodestone.functions import search as S
+
+    assert one(spark, S.expanded_terms(S.search_terms(F.lit("新生儿医保如何 abc x")))) == ["新生", "生儿", "儿医", "医保", "保如", "如何", "abc"]
+    assert one(spark, S.search_terms(F.lit(" ? "))) == ["?"]
+    assert [one(spark, S.least_matches(F.array(*map(F.lit, "abcdefghijklmnop"[:n])))) for n in (1, 2, 3, 12, 16)] == [1, 1, 2, 3, 3]
+    assert one(spark, S.cjk_share(F.lit("新生ab"))) == 0.5
+    assert one(spark, S.location_label(F.lit("a / b / "), F.lit("table"), F.lit(3))) == "b"
+    assert one(spark, S.location_label(F.lit(None).cast("string"), F.lit("text"), F.lit(1))) is None
+    assert one(spark, S.with_prefix(F.lit("body"), F.lit("附件2"))) == "附件2\n\nbody"
+    assert one(spark, S.with_prefix(F.lit("附件2 body"), F.lit("附件2"))) == "附件2 body"
+    assert one(spark, S.flipped_box(F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0))), F.lit(10.0))) == [1.0, 6.0, 3.0, 8.0]
+    assert [one(spark, S.skips_retrieval(F.lit(t))) for t in ("你好", "What can you do?", "故意杀人怎么判刑")] == [True, True, False]
+    assert one(spark, S.placeholder_share(F.lit("![a](b)\n\n![c](d)\nx\n![e](f)"))) == 0.75
+    assert one(spark, S.prepared_for_embedding(F.lit("\x00 \n"))) == " "

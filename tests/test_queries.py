@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 
 from lodestone.plans import queries as plans
-from lodestone.plans import records  # noqa: F401
+from lodestone.plans import records, search  # noqa: F401  they register their queries
 
 
 @pytest.fixture(scope="module")
