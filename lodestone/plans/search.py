@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import search as S
-from ..operators import lifecycle, retrieval
+from ..operators import chunking, lifecycle, retrieval, segments
 from .queries import big, query, table
 
 
@@ -88,3 +88,18 @@ def vector_then_join(spark, sf_dir):
     found = retrieval.vector_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"), "source")
     return found.join(docs, "vec_id").select("query_id", "vec_id", "source", F.round("score", 6).alias("score"), big("rank").alias("rank"))
+
+
+def _segments(spark, sf_dir):
+    rows = chunking.split_segments(table(spark, sf_dir, "documents"), "\n").withColumnRenamed("segment", "text")
+    return rows.select("doc_id", "seq", "text", F.when(F.length("text") < 30, "heading").alias("block"), (F.col("seq") / 20).cast("int").alias("page_no"), F.lit(None).cast("string").alias("heading_path"), "start_offset", "end_offset")
+
+
+@query()
+def budget_merged_segments(spark, sf_dir):
+    return segments.merge_by_budget(_segments(spark, sf_dir), 512)
+
+
+@query()
+def headed_segments(spark, sf_dir):
+    return segments.merge_orphan_headings(segments.merge_preamble(_segments(spark, sf_dir)))
