@@ -58,3 +58,34 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<edge source="'), text("src"), F.lit('" target="'), text("dst"), F.lit('"/>')))), "").alias("e"))
     head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">'
     return n.crossJoin(e).select(F.concat(F.lit(head), "n", "e", F.lit("</graph></graphml>")).alias("graphml"))
+
+
+def node_detail(nodes: DataFrame, edges: DataFrame, separator: str = "|||") -> DataFrame:
+    """Nodes with degree and `tags`: the type, then the distinct sources of source_id."""
+    parts = F.filter(F.split("source_id", "\\Q" + separator + "\\E", -1), lambda x: x != "")
+    return degrees(nodes, edges).withColumn("tags", F.array_distinct(F.concat(F.array("entity_type"), F.coalesce(parts, F.array().cast("array<string>")))))
+
+
+def cooccurrences(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """src, dst, weight: entities (entity_id, a single word) that stand in one chunk, and in how many chunks they do.
+
+    Pairs are made inside a chunk, among its distinct entities, so their number follows the text."""
+    words = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("word"))
+    known = words.join(entities.select("entity_id", F.lower("entity_id").alias("word")), "word").select("chunk_id", "entity_id")
+    held = known.groupBy("chunk_id").agg(F.sort_array(F.collect_set("entity_id")).alias("e")).filter(F.size("e") > 1)
+    left = held.select("e", F.posexplode("e").alias("i", "src"))
+    pairs = left.select("src", F.explode(F.slice(F.col("e"), F.col("i") + 2, F.size("e"))).alias("dst"))
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def graph_search(hits: DataFrame, edges: DataFrame, sources: DataFrame, mode: str = "local") -> DataFrame:
+    """query_id, chunk_id, score from scored entities (query_id, entity_id, score): 'local' goes from the entities to
+    their own chunks, 'global' over their edges to the chunks of both ends, 'hybrid' takes the better of both.
+    sources: entity_id, chunk_id."""
+    local = hits.join(sources, "entity_id").select("query_id", "chunk_id", "score")
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    ends = hits.join(both, hits["entity_id"] == both["src"]).select("query_id", F.col("dst").alias("entity_id"), "score").union(hits.select("query_id", "entity_id", "score"))
+    wide = ends.join(sources, "entity_id").select("query_id", "chunk_id", "score")
+    rows = {"local": local, "global": wide}.get(mode)
+    rows = local.union(wide) if rows is None else rows
+    return rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
