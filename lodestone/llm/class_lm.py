@@ -80,21 +80,31 @@ def word_counts(docs: DataFrame, folder: str) -> DataFrame:
 
 
 class Hot(NamedTuple):
-    """The most frequent words in order of hash: their counts, and the unit of each."""
+    """The most frequent words in order of hash: their counts, the unit of each, and the endings of the first UNITS."""
 
     w: np.ndarray
     c: np.ndarray
     unit: np.ndarray
+    frequent: np.ndarray
 
 
 def hot_words(counts: DataFrame) -> Hot:
-    rows = counts.orderBy(F.desc("c"), "w").limit(HOT).toArrow()
+    """Words of the highest counts, HOT at most: the least count is read off a histogram of counts, so that no task
+    orders the words of others. Words of equal count are all in or all out."""
+    step = F.floor(F.log2("c") * 16)
+    histogram = {r.s: r.n for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()}  # under a thousand rows
+    least, total = None, 0
+    for s in sorted(histogram, reverse=True):
+        if (total := total + histogram[s]) > HOT:
+            break
+        least = s
+    rows = counts.filter(step >= least if least is not None else F.lit(False)).toArrow()
     w, c, ending = (rows.column(x).to_numpy() for x in ("w", "c", "ending"))
     order = np.lexsort((w, -c))
     w, c, ending = w[order], c[order], ending[order]
     unit = np.where(np.arange(len(w)) < UNITS, np.arange(len(w)), UNITS + ending).astype(np.int32)
     order = np.argsort(w)
-    return Hot(w[order], c[order], unit[order])
+    return Hot(w[order], c[order], unit[order], ending[:UNITS])
 
 
 def index_tokens(docs: DataFrame, hot: Hot, folder: str) -> DataFrame:
@@ -269,7 +279,7 @@ def smoothed(trigrams: np.ndarray) -> np.ndarray:
 def train(index: DataFrame, counts: DataFrame, hot: Hot, folder: str, rounds: int = ROUNDS) -> tuple[np.ndarray, Model]:
     ending_of = mix64(np.arange(ENDINGS, dtype=np.uint64) + np.uint64(11)) % np.uint64(CLASSES)
     classes = np.concatenate([np.zeros(UNITS, np.int64), ending_of.astype(np.int64)])
-    frequent = counts.orderBy(F.desc("c"), "w").limit(UNITS).select("ending").toArrow().column("ending").to_numpy()
+    frequent = hot.frequent
     classes[: len(frequent)] = classes[UNITS + frequent]  # at first, words that end alike share a class
     classes = exchange(index, hot, classes, folder, rounds)
     table = np.zeros((_WIDE * _WIDE, CLASSES), np.int64)
