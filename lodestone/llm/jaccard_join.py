@@ -2,9 +2,11 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Sets are dealt into size bands so that sets
 that link lie in the same or in neighbouring bands; for bands j-1 and j, sets that link differ in at most
-k = (u[j-1] + u[j]) * (q - p) / (q + p) features (threshold p/q, u the upper ends). The feature domain is cut into n1
-partitions of n2 cells with k < 2 * n1: some partition then holds at most one difference, so all but one of its cells
-agree. Every subset of n2 - 1 cells of each partition is a signature, and sets that link share at least one.
+k = (u[j-1] + u[j]) * (q - p) / (q + p) features (threshold p/q, u the upper ends). The feature domain is cut into
+partitions of two cells, SPARE * (k + 1) cells in all, and the subsets of one cell are enumerated: with its number, a
+cell's content is a signature. k differences spoil k cells at most, so all but k of the two sets' signatures are equal;
+then the first k + 1 of them in one common order (cells with the most features first, ties by hash) hold an equal one,
+and only these are kept. Cells of few features, which unlike sets share by chance, are thereby left out.
 
 Sets that share signatures form candidate clusters; every pair within a cluster is verified exactly, block against
 block of bounded size, and blocks give back only a spanning forest of their links. No link between different sets is
@@ -29,6 +31,8 @@ from .shared import stored, work_dir
 from .vectext import ASCII_SPACE, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
 
 SLICE_CHARS = 1 << 22
+#: Cells for each signature that is kept.
+SPARE = 1.3
 #: Members of a verification block.
 BLOCK = 384
 #: Largest number of ids that is broadcast; beyond it the join shuffles.
@@ -95,11 +99,10 @@ class Bands:
         self.grow(int(sizes.max(initial=1)))
         return np.searchsorted(np.array(self.upper), sizes)
 
-    def shape(self, instance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """n1 and n2 of each instance; n1 is 0 where only equal sets can link."""
+    def differences(self, instance: np.ndarray) -> np.ndarray:
+        """k of each instance: in how many features sets that link differ at most."""
         upper = np.array(self.upper)
-        k = (upper[instance - 1] + upper[instance]) * (self.q - self.p) // (self.q + self.p)
-        return np.where(k > 0, (k + 2) // 2, 0), np.where(k <= 8, 3, 2)
+        return (upper[instance - 1] + upper[instance]) * (self.q - self.p) // (self.q + self.p)
 
 
 def signatures(values: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -108,26 +111,26 @@ def signatures(values: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np
     row = np.repeat(np.arange(len(counts)), counts)
     found, owner = [], []
     for instance in (band, band + 1):
-        n1, n2 = bands.shape(np.maximum(instance, 1))
-        n1 = np.where(counts > 0, n1, 0)
-        cells = n1 * n2
+        k = bands.differences(np.maximum(instance, 1))
+        need = np.where((k > 0) & (counts > 0), k + 1, 0)  # with k = 0 only equal sets link
+        cells = 2 * np.ceil(need * SPARE / 2).astype(np.int64)
         offset = np.cumsum(cells) - cells
-        use = n1[row] > 0
+        use = cells[row] > 0
         r, v = row[use], mix64(values[use] ^ (instance[row[use]].astype(np.uint64) * _B))
-        outer = (v >> np.uint64(33)).astype(np.int64) % n1[r]
-        inner = (v & np.uint64(0xFFFFFFFF)).astype(np.int64) % n2[r]
-        cell = offset[r] + outer * n2[r] + inner
+        cell = offset[r] + (v >> np.uint64(33)).astype(np.int64) % cells[r]
         total, m = int(cells.sum()), mix64(v ^ _A)
+        held = np.bincount(cell, minlength=total)
         sums = np.zeros(total, np.uint64)
         for shift in (0, 21, 42):
             piece = ((m >> np.uint64(shift)) & np.uint64(0x1FFFFF)).astype(np.float64)
             sums += np.bincount(cell, piece, total).astype(np.uint64) << np.uint64(shift)
         own = np.repeat(np.arange(len(counts)), cells)
         inside = np.arange(total) - offset[own]
-        begin = np.flatnonzero(inside % n2[own] == 0)
-        whole = np.repeat(np.add.reduceat(sums, begin), n2[own[begin]]) if total else sums
-        found.append(mix64(whole - sums + mix64(instance[own].astype(np.uint64) * _A + inside.astype(np.uint64) * _B)))
-        owner.append(own)
+        sig = mix64(sums + mix64(instance[own].astype(np.uint64) * _A + inside.astype(np.uint64) * _B))
+        order = np.lexsort((sig, -held, own))
+        keep = order[inside < need[own]]
+        found.append(sig[keep])
+        owner.append(own[keep])
     own = np.concatenate(owner)
     order = np.argsort(own, kind="stable")
     return np.concatenate(found)[order], np.bincount(own, minlength=len(counts))
