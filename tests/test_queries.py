@@ -1,9 +1,11 @@
 """Every query of the library against DuckDB on the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import SF
 
@@ -20,17 +22,17 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if getattr(v, "ndim", 0) or isinstance(v, (list, tuple)):
+        return str([plain(x) for x in v])
+    if pd.isna(v):
         return "null"
-    if isinstance(v, float):
-        return f"{v:.6f}"
-    if hasattr(v, "tolist"):
-        v = v.tolist()
+    if isinstance(v, numbers.Number) and not isinstance(v, bool):
+        return f"{float(v):.6f}"
     return str(v)
 
 
 def rows(frame, columns):
-    return sorted(tuple(plain(v) if not isinstance(v, list) else str(v) for v in r) for r in frame[columns].itertuples(index=False))
+    return sorted(tuple(map(plain, r)) for r in frame[columns].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
