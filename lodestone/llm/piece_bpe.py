@@ -26,8 +26,8 @@ from .vectext import gather, joined, parts, slices, span_hashes
 
 BLANK = 0x2581
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Words whose pieces a Python worker remembers; beyond it the memory starts anew, which changes no result.
-CACHE_WORDS = 500_000
+#: Words whose pieces a task remembers; beyond it the memory starts anew, which changes no result.
+CACHE_WORDS = 250_000
 _NARROW = 1024
 _NONE = np.iinfo(np.int64).max
 
@@ -154,9 +154,9 @@ class PieceCodec:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.pool = np.zeros(0, np.int32)
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -176,7 +176,7 @@ class PieceCodec:
             starts = self.model.word_starts(cp, bounds)
             ends = np.append(starts[1:], len(cp))
             if len(self.known) > CACHE_WORDS:
-                self._clear()
+                self.forget()
             values, first, back = np.unique(span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
             slot = np.array(list(map(self.known.get, values.tolist(), repeat(-1))), np.int64)
             if len(new := np.flatnonzero(slot < 0)):
@@ -234,7 +234,7 @@ class PieceCodec:
 
 @lru_cache(1)
 def piece_codec(path: str) -> PieceCodec:
-    """One codec for the tasks of a Python worker, so that words met before stay known."""
+    """One codec for the tasks of a Python worker; each task forgets its words, as the worker may serve other stages next."""
     return PieceCodec(path)
 
 
@@ -247,6 +247,7 @@ def encode_decode_digests(docs: DataFrame, model_path: str) -> DataFrame:
             for part in slices(batch, "text"):
                 counts, ids, decoded = codec.digests(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -261,5 +262,6 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
             for part in slices(batch, "text"):
                 ids = codec.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        codec.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
