@@ -471,5 +471,65 @@ def test_pipeline(spark):
     assert {(r.doc_id, r.n_tokens) for r in P.run(spark, SF).collect()} == {(i, len(sp.encode(lines[i], add_eos=True))) for i in clean}
 
 
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    """Rows with null, repeated and conflicting ids; each text stands in for a row."""
+    r = random.Random(11)
+    say = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    a, b, c = say(), say(), say()
+    rows = [(None, a), (7, a), (7, a), (7, b), (None, c), (None, c), (9, ""), (9, ""), (None, None)]
+    return spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3), a, b, c
+
+
+def ids_and_texts(frame):
+    return collections.Counter((r.doc_id, r.text) for r in frame.collect())
+
+
+def test_language_stage_judges_rows(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = ids_and_texts(P.language(spark, docs, SF))
+    (i, text), *_ = kept
+    odd = [(None, ""), (None, None), (i, ""), (i, text), (None, text)]
+    more = spark.createDataFrame([(k, t, "en", "src0", len(t or "")) for k, t in odd], docs.schema)
+    got = ids_and_texts(P.language(spark, docs.unionByName(more), SF))
+    assert got[(i, text)] == 2
+    assert got[(None, text)] == 1
+    assert not any(k == (None, None) or k[1] == "" for k in got)
+
+
+def test_lines_stage_judges_rows(spark):
+    import corpus_pipeline as P
+
+    x, y, z = (" ".join(f"{c}{k}" for k in range(12)) for c in "xyz")
+    rows = [(None, f"{x}\n{y}"), (4, f"{x}\nnull"), (4, f"{x}\nnull"), (4, z), (5, z), (None, z), (None, None)]
+    table = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    assert ids_and_texts(P.lines(spark, table, SF)) == collections.Counter([(None, y), (4, f"{x}\nnull"), (4, f"{x}\nnull"), (4, z), (None, "")])
+
+
+def test_near_duplicates_stage_judges_rows(spark, odd_ids):
+    import corpus_pipeline as P
+
+    docs, a, b, c = odd_ids
+    assert ids_and_texts(P.near_duplicates(spark, docs, SF)) == collections.Counter([(7, a), (7, b), (None, c), (9, ""), (9, ""), (None, None)])
+
+
+def test_decontaminated_stage_judges_rows(spark, odd_ids, tmp_path):
+    import corpus_pipeline as P
+
+    docs, a, b, c = odd_ids
+    spark.createDataFrame([(1, a), (2, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert ids_and_texts(P.decontaminated(spark, docs, str(tmp_path))) == collections.Counter([(7, b), (9, ""), (9, ""), (None, None)])
+
+
+def test_encoded_stage_gives_every_row(spark, odd_ids):
+    import corpus_pipeline as P
+
+    docs = odd_ids[0]
+    got = collections.Counter(r.doc_id for r in P.encoded(spark, docs, SF).collect())
+    assert got == collections.Counter(r.doc_id for r in docs.collect())
+
+
 def test_names():
     assert [n.split("_")[0] for n in Q.queries()] == [f"op{k}" for k in range(1, 11)]
