@@ -2,13 +2,14 @@
 
 Lines are compared as sequences of lower-cased words. A line of MIN_WORDS or more words goes if an earlier line (in
 order of doc_id, then of the line's number) has the same words; one of NEAR_WORDS or more also if an earlier one lies
-within one edited word. Each line emits the hashes of all variants that lack one word: lines that differ by a replaced
+within one edited word. A line without blanks, of NEAR_CHARS or more characters and half of them or more of a script
+that is written without blanks, is compared as a sequence of characters. Each line emits the hashes of all variants that lack one word: lines that differ by a replaced
 word share a variant with the same place, lines that differ by an added word have one's variant equal to the other's
 whole. Equal variants are joined, the earliest line of each is the partner of the others, and its edit distance is
 verified. Before that, lines are let go that share neither a first nor a second half with any other line, as one edit
 leaves one half whole; this drops no pair within the bound.
 
-Defined results: null and empty texts have one empty line, which stays, as do lines of fewer than MIN_WORDS words; a
+Defined results: null and empty texts have one empty line, which stays, as do all lines without words; a
 null doc_id comes last; columns of the input named like the counts give way to them; rows that repeat doc_id and text are one document and keep the same lines; an empty table gives
 no rows. Texts are taken whole; other columns stay as they are in `deduplicated`.
 """
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .shared import stored, work_dir
 from .vectext import ASCII_SPACE, char_table, joined, lower_ascii, mix64, powers, slices, span_hashes, word_spans
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 5, 10
+#: First and last characters of scripts without blanks: Thai and Lao, Tibetan and Burmese, Khmer, kana and Han.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 SLICE_CHARS = 1 << 22
 #: Most rows of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -34,6 +37,25 @@ COUNTS = ("n_lines", "n_exact", "n_near")
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _characters(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, with those that are whole lines in a script without blanks cut into characters, and which these are."""
+    first = np.searchsorted(starts, begin)
+    alone = first[np.diff(np.append(first, len(starts))) == 1]
+    alone = alone[ends[alone] - starts[alone] >= NEAR_CHARS]
+    size = np.ones(len(starts), np.int64)
+    if len(alone):
+        among = np.zeros(len(cp), bool)
+        for a, b in UNSPACED:
+            among |= (cp >= a) & (cp <= b)
+        held = np.append(0, np.cumsum(among))
+        long = ends[alone] - starts[alone]
+        some = alone[2 * (held[ends[alone]] - held[starts[alone]]) >= long]
+        size[some] = (ends - starts)[some]
+    single = np.repeat(size > 1, size)
+    at = np.repeat(starts, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return at, np.where(single, at + 1, np.repeat(ends, size)), single
+
+
 class Lines:
     """The words of all lines of some texts, flat, with running sums that give the hash of any part of a line."""
 
@@ -45,7 +67,9 @@ class Lines:
         self.text = np.repeat(np.arange(len(texts)), np.array([x.count("\n") + 1 for x in texts]))
         self.number = np.arange(len(begin)) - np.searchsorted(self.text, self.text)
         starts, ends = word_spans(lower_ascii(cp), char_table(tuple(ASCII_SPACE)), bounds)
+        starts, ends, single = _characters(cp, starts, ends, begin)
         self.words = span_hashes(lower_ascii(cp), starts, ends)
+        self.words[single] = mix64(self.words[single] ^ _B)  # a character is no word of one letter
         self.first = np.searchsorted(starts, begin)
         # an empty text at the end of another shares its place; its line begins after all words before it
         self.n = np.diff(np.append(self.first, len(starts)))

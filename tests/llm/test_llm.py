@@ -182,6 +182,23 @@ def test_lines_at_every_place(spark):
     assert sorted(((r.doc_id, r.text) for r in line_dedup.deduplicated(table).collect()), key=str) == brute_lines(rows)
 
 
+def test_short_and_unspaced_lines(spark):
+    han, thai = "今天天气很好我们去公园散步吧", "วันนี้อากาศดีมากเราไปเดินเล่น"
+    far = f"昨{han[1:-1]}呢"
+    cases = [  # a text, a later one, and what stays of that
+        ("Home\nmenu bar\n\n \nfirst of all", "home\nMenu  bar\n\n \nanother", "\n \nanother"),
+        ("one two three four five", "one two three four six", ""),
+        ("a b c d", "a b c e", "a b c e"),
+        (han, f"{han}\n{han[:5]}真{han[6:]}\n{han}了\n{far}", far),
+        (thai, f"{thai}\n{thai[1:]}", ""),
+        ("https://example.org/a/1", "https://example.org/a/2", "https://example.org/a/2"),
+        ("一二三四五六七八九十", "一 二 三 四 五 六 七 八 九 十", "一 二 三 四 五 六 七 八 九 十"),
+    ]
+    table = spark.createDataFrame([x for i, (a, b, _) in enumerate(cases) for x in ((2 * i, a), (2 * i + 1, b))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(table).collect()}
+    assert got == {k: t for i, (a, _, c) in enumerate(cases) for k, t in ((2 * i, a), (2 * i + 1, c))}
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
