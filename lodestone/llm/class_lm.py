@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored, work_dir
-from .vectext import ASCII_SPACE, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
+from .vectext import ASCII_SPACE, SPACE_CUT, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
 
 CLASSES, ROUNDS = 64, 6
 UNITS, ENDINGS = 20_000, 4096
@@ -47,7 +47,7 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Hash and ending of every token, the end tokens among them, one text after another, and each text's number of them."""
     space = char_table(tuple(ASCII_SPACE))
     counts, hashes, endings = np.ones(len(texts), np.int64), [], []
-    for rows, group in parts(texts):
+    for rows, group in parts(texts, SPACE_CUT):
         _, cp, bounds = joined(group)
         cp = lower_ascii(cp)
         starts, ends = word_spans(cp, space, bounds)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import stored, work_dir
-from .vectext import ASCII_SPACE, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
+from .vectext import ASCII_SPACE, SPACE_CUT, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
 
 SLICE_CHARS = 1 << 22
 #: Cells for each signature that is kept.
@@ -44,7 +44,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, one text after another, and each text's number of words."""
     space = char_table(tuple(ASCII_SPACE))
     counts, found = np.zeros(len(texts), np.int64), []
-    for rows, group in parts(texts):
+    for rows, group in parts(texts, SPACE_CUT):
         _, cp, bounds = joined(group)
         cp = lower_ascii(cp)
         starts, ends = word_spans(cp, space, bounds)

@@ -3,15 +3,16 @@
 Lines are compared as sequences of lower-cased words. A line of MIN_WORDS or more words goes if an earlier line (in
 order of doc_id, then of the line's number) has the same words; one of NEAR_WORDS or more also if an earlier one lies
 within one edited word. A line without blanks, of NEAR_CHARS or more characters and half of them or more of a script
-that is written without blanks, is compared as a sequence of characters. Each line emits the hashes of all variants that lack one word: lines that differ by a replaced
-word share a variant with the same place, lines that differ by an added word have one's variant equal to the other's
+that is written without blanks, is compared as a sequence of characters. Each line emits the hashes of all variants that
+lack one word: lines that differ by a replaced word share a variant with the same place, lines that differ by an added word have one's variant equal to the other's
 whole. Equal variants are joined, the earliest line of each is the partner of the others, and its edit distance is
 verified. Before that, lines are let go that share neither a first nor a second half with any other line, as one edit
 leaves one half whole; this drops no pair within the bound.
 
 Defined results: null and empty texts have one empty line, which stays, as do all lines without words; a
-null doc_id comes last; columns of the input named like the counts give way to them; rows that repeat doc_id and text are one document and keep the same lines; an empty table gives
-no rows. Texts are taken whole; other columns stay as they are in `deduplicated`.
+null doc_id comes last; columns of the input named like the counts, whose names the caller may choose, give way to them;
+rows that repeat doc_id and text are one document and keep the same lines; an empty table gives no rows. Texts are taken
+whole, long ones in parts of whole lines; other columns stay as they are in `deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored, work_dir
-from .vectext import ASCII_SPACE, char_table, joined, lower_ascii, mix64, powers, slices, span_hashes, word_spans
+from .vectext import ASCII_SPACE, char_table, joined, line_parts, lower_ascii, mix64, powers, slices, span_hashes, word_spans
 
 MIN_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 5, 10
 #: First and last characters of scripts without blanks: Thai and Lao, Tibetan and Burmese, Khmer, kana and Han.
@@ -35,6 +36,7 @@ BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
 COUNTS = ("n_lines", "n_exact", "n_near")
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
+_TAGS = np.arange(4, dtype=np.uint64) * _B
 
 
 def _characters(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,25 +59,26 @@ def _characters(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.
 
 
 class Lines:
-    """The words of all lines of some texts, flat, with running sums that give the hash of any part of a line."""
+    """The words of all lines of some text parts, flat, with running sums that give the hash of any part of a line.
+    `text` and `number` are the row of each line's text and the line's number in it."""
 
-    def __init__(self, texts: list[str | None]):
-        texts = [x or "" for x in texts]
+    def __init__(self, rows: list[int], firsts: list[int], texts: list[str]):
         _, cp, bounds = joined(texts)
         breaks = np.flatnonzero(cp == 10)
+        cp = lower_ascii(cp)
         begin = np.sort(np.concatenate([bounds[:-1], breaks + 1]), kind="stable")
-        self.text = np.repeat(np.arange(len(texts)), np.array([x.count("\n") + 1 for x in texts]))
-        self.number = np.arange(len(begin)) - np.searchsorted(self.text, self.text)
-        starts, ends = word_spans(lower_ascii(cp), char_table(tuple(ASCII_SPACE)), bounds)
+        part = np.repeat(np.arange(len(texts)), np.array([x.count("\n") + 1 for x in texts]))
+        self.text = np.asarray(rows)[part]
+        self.number = np.arange(len(begin)) - np.searchsorted(part, part) + np.asarray(firsts)[part]
+        starts, ends = word_spans(cp, char_table(tuple(ASCII_SPACE)), bounds)
         starts, ends, single = _characters(cp, starts, ends, begin)
-        self.words = span_hashes(lower_ascii(cp), starts, ends)
+        self.words = span_hashes(cp, starts, ends)
         self.words[single] = mix64(self.words[single] ^ _B)  # a character is no word of one letter
         self.first = np.searchsorted(starts, begin)
         # an empty text at the end of another shares its place; its line begins after all words before it
         self.n = np.diff(np.append(self.first, len(starts)))
         local = np.arange(len(starts)) - np.repeat(self.first, self.n)
-        self.power, self.inverse = powers(int(local.max(initial=0)) + 2)
-        self.sums = np.append(np.uint64(0), np.cumsum(self.words * self.power[local], dtype=np.uint64))
+        self.sums = np.append(np.uint64(0), np.cumsum(self.words * powers(local), dtype=np.uint64))
 
     def part(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sum of the words a to b of each line, as they stand in it."""
@@ -87,7 +90,7 @@ class Lines:
         return self._key(self.part(line, np.zeros_like(n), n), n, 0)
 
     def _key(self, value: np.ndarray, n: np.ndarray, tag: int) -> np.ndarray:
-        return mix64(mix64(value) + n.astype(np.uint64) * _A + np.uint64(tag) * _B).view(np.int64)
+        return mix64(mix64(value) + n.astype(np.uint64) * _A + _TAGS[tag]).view(np.int64)
 
     def halves(self, line: np.ndarray) -> np.ndarray:
         """Four keys of each line: its first words, and its last, at the cuts that a line of as many words or one fewer has."""
@@ -97,7 +100,7 @@ class Lines:
             cut = m // 2
             keys.append(self._key(self.part(line, zero, cut), cut, 1))
             tail = m - cut
-            keys.append(self._key(self.part(line, n - tail, n) * self.inverse[n - tail], tail, 2))
+            keys.append(self._key(self.part(line, n - tail, n) * powers(n - tail, True), tail, 2))
         return np.column_stack(keys)
 
     def variants(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +111,7 @@ class Lines:
         i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         ln = line[own]
         zero = np.zeros_like(i)
-        value = self.part(ln, zero, i) + self.part(ln, i + 1, n[own]) * self.inverse[1]
+        value = self.part(ln, zero, i) + self.part(ln, i + 1, n[own]) * powers(np.ones(1, np.int64), True)
         word = self.words[self.first[ln] + i]
         same = np.append(False, (word[1:] == word[:-1]) & (own[1:] == own[:-1]))
         place = np.maximum.accumulate(np.where(same, 0, np.arange(len(i)))) - (np.cumsum(n) - n)[own] if len(i) else i
@@ -123,15 +126,19 @@ def line_table(docs: DataFrame) -> DataFrame:
     """d, t (the document), line, n, h and the keys of the halves, of every line of MIN_WORDS or more words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["d", "t", "line", "n", "h", "keys"]
         for batch in batches:
             for part in slices(batch, "text", SLICE_CHARS):
-                lines = Lines(part.column("text").to_pylist())
-                some = np.flatnonzero(lines.n >= MIN_WORDS)
-                near = lines.n[some] >= NEAR_WORDS
-                cut = np.append(0, np.cumsum(np.where(near, 4, 0))).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(cut), pa.array(lines.halves(some[near]).ravel()))
-                row = pa.array(lines.text[some])
-                yield pa.RecordBatch.from_arrays([part.column("d").take(row), part.column("t").take(row), pa.array(lines.number[some].astype(np.int32)), pa.array(lines.n[some].astype(np.int32)), pa.array(lines.whole(some)), keys], ["d", "t", "line", "n", "h", "keys"])
+                for group in line_parts(part.column("text").to_pylist()):
+                    lines = Lines(*group)
+                    some = np.flatnonzero(lines.n >= MIN_WORDS)
+                    near = lines.n[some] >= NEAR_WORDS
+                    cut = np.append(0, np.cumsum(np.where(near, 4, 0))).astype(np.int32)
+                    keys = pa.ListArray.from_arrays(pa.array(cut), pa.array(lines.halves(some[near]).ravel()))
+                    row = pa.array(lines.text[some])
+                    number, n = (pa.array(x[some].astype(np.int32)) for x in (lines.number, lines.n))
+                    order = [part.column(c).take(row) for c in ("d", "t")]
+                    yield pa.RecordBatch.from_arrays([*order, number, n, pa.array(lines.whole(some)), keys], names)
 
     return docs.select(*_order(), "text").mapInArrow(run, "d long, t long, line int, n int, h long, keys array<long>")
 
@@ -197,29 +204,37 @@ def near_lines(docs: DataFrame, first: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_words.value
+        lists = lambda size, x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(x))
         for batch in batches:
-            for part in slices(batch, "text", SLICE_CHARS // 4):
-                lines = Lines(part.column("text").to_pylist())
-                lists = part.column("at")
-                counts = np.diff(lists.offsets.to_numpy())
-                number = lists.flatten().to_numpy()
-                base = np.searchsorted(lines.text, np.repeat(np.arange(part.num_rows), counts))
-                line = base + number
-                own, replaced, dropped = lines.variants(line)
-                if known is not None and len(known):
-                    at = np.minimum(np.searchsorted(known, dropped), len(known) - 1)
-                    keep = known[at] == dropped
-                else:
-                    keep = np.ones(len(dropped), bool)
-                size = lines.n[line]
-                row = np.repeat(np.arange(part.num_rows), counts)
-                cut = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-                some = pa.array(np.append(0, np.cumsum(np.bincount(own[keep], minlength=len(line)))).astype(np.int32))
-                words = lines.words[np.repeat(lines.first[line] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.whole(line)), part.column("d").take(pa.array(row)), part.column("t").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(words)), pa.ListArray.from_arrays(cut, pa.array(replaced)), pa.ListArray.from_arrays(some, pa.array(dropped[keep]))],
-                    ["h", "d", "t", "line", "words", "replaced", "dropped"],
-                )
+            for part in slices(batch, "text", SLICE_CHARS):
+                at = part.column("at")
+                row = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
+                asked = np.sort(row << 32 | at.flatten().to_numpy())
+                for group in line_parts(part.column("text").to_pylist()):
+                    lines = Lines(*group)
+                    place = lines.text << 32 | lines.number
+                    mine = asked[np.searchsorted(asked, place[0]) : np.searchsorted(asked, place[-1], "right")]
+                    if not len(mine):
+                        continue
+                    line = np.searchsorted(place, mine)
+                    own, replaced, dropped = lines.variants(line)
+                    if known is not None and len(known):
+                        keep = known[np.minimum(np.searchsorted(known, dropped), len(known) - 1)] == dropped
+                    else:
+                        keep = np.ones(len(dropped), bool)
+                    size = lines.n[line]
+                    word = np.repeat(lines.first[line] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(lines.whole(line)),
+                            *(part.column(c).take(pa.array(lines.text[line])) for c in ("d", "t")),
+                            pa.array(lines.number[line].astype(np.int32)),
+                            lists(size, lines.words[word].view(np.int64)),
+                            lists(size, replaced),
+                            lists(np.bincount(own[keep], minlength=len(line)), dropped[keep]),
+                        ],
+                        ["h", "d", "t", "line", "words", "replaced", "dropped"],
+                    )
 
     texts = docs.select(*_order(), "text").join(F.broadcast(of_doc) if few else of_doc, ["d", "t"]).select("d", "t", "at", "text")
     lines = stored(texts.mapInArrow(run, "h long, d long, t long, line int, words array<long>, replaced array<long>, dropped array<long>"), folder, "variants")
@@ -251,21 +266,23 @@ def dropped_lines(docs: DataFrame, folder: str) -> DataFrame:
     return marked.groupBy("d", "t").agg(F.collect_set(F.when(F.col("exact"), F.col("line"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("line"))).alias("near"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with the lines that stay as `text`, and n_lines, n_exact and n_near (lines, and those that went)."""
+def deduplicated(docs: DataFrame, counts: tuple[str, str, str] = COUNTS) -> DataFrame:
+    """The documents with the lines that stay as `text`, and the numbers of lines, and of those that went, under the names
+    `counts`."""
     folder = work_dir(docs.sparkSession, "lines")
-    gone = stored(dropped_lines(docs, folder), folder, "gone").withColumnsRenamed({"d": "__d", "t": "__t", "exact": "__exact", "near": "__near"})
-    if gone.count() <= BROADCAST_ROWS:
+    gone = stored(dropped_lines(docs, folder), folder, "gone").withColumnsRenamed({"d": "of_d", "t": "of_t"})
+    many = gone.agg(F.sum(1 + F.size("exact") + F.size("near"))).first()[0] or 0
+    if many <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    d, t = _order()
-    full = docs.withColumns({"__od": d, "__ot": t}).join(gone, (F.col("__od") == F.col("__d")) & (F.col("__ot") == F.col("__t")), "left")
+    full = docs.select(F.struct("*").alias("doc"), *_order(), "text")  # in a struct, the names of the input can't clash
+    full = full.join(gone, (F.col("d") == F.col("of_d")) & (F.col("t") == F.col("of_t")), "left")
     none = F.array().cast("array<int>")
-    exact, near = F.coalesce("__exact", none), F.coalesce("__near", none)
+    exact, near = F.coalesce("exact", none), F.coalesce("near", none)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     stay = F.filter(lines, lambda x, i: ~F.array_contains(F.concat(exact, near), i))
-    return full.withColumns({"n_lines": F.size(lines).cast("long"), "n_exact": F.size(exact).cast("long"), "n_near": F.size(near).cast("long"), "__stay": F.array_join(stay, "\n")}).select(
-        *(F.col("__stay").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in COUNTS), *COUNTS
-    )
+    found = [F.size(x).cast("long").alias(c) for x, c in zip((lines, exact, near), counts, strict=True)]
+    names = [c for c in docs.columns if c not in counts]
+    return full.select(*(F.array_join(stay, "\n").alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in names), *found)
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests on one machine) a local one is set."""
+    """A new folder under spark.checkpoint.dir, or under the checkpoint folder that the context was given."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-            spark.sparkContext.setCheckpointDir(base)
+        if current.isEmpty():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = current.get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,3 +23,11 @@ def stored(frame: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, or one made longer until no column has it (Spark compares names without regard to case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

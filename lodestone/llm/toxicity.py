@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
+from .vectext import SPACE_CUT, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
 
 BITS = 20
 TRAIN_ROWS = 16_000
@@ -43,7 +43,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Row and coordinate of every word, pair and skip pair; coordinates repeat as the text does."""
     space = char_table(_SEPARATORS)
     found, counts = [], np.zeros(len(texts), np.int64)
-    for rows, group in parts(texts):
+    for rows, group in parts(texts, SPACE_CUT):
         _, cp, bounds = joined(group)
         starts, ends = word_spans(cp := lower_ascii(cp), space, bounds)
         found.append(span_hashes(cp, starts, ends))

@@ -10,15 +10,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters handled at once; a text is cut into such parts between two words, never dropped.
-CHUNK_CHARS = 1 << 20
+#: Characters handled at once; a text is cut into such parts between two words, never dropped. It also bounds what a
+#: worker's temporary arrays hold.
+CHUNK_CHARS = 1 << 18
 #: The Unicode White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The white space of the word pattern `[^\x20\x09-\x0D]+`.
 ASCII_SPACE = [0x20, *range(0x09, 0x0E)]
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_CUT = re.compile(r"\S(?= \S)")
+#: Where a text may be cut for every operator, and for those that read words between ASCII white space.
+BLANK_CUT, SPACE_CUT = re.compile(r"\S(?= \S)"), re.compile(r"\S(?=[\x20\x09-\x0D])")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,18 +39,25 @@ def _char_values() -> np.ndarray:
     return mix64(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP = 1 << 18  # places whose powers are kept
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
+@lru_cache(2)
+def _low_powers(base: int) -> np.ndarray:
+    step = np.full(_STEP, base, np.uint64)
+    step[0] = 1
+    return np.multiply.accumulate(step)
+
+
+def powers(places: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """The hash base, or its inverse, to the power of each place, modulo 2^64."""
+    base = pow(int(_BASE), -1, 1 << 64) if inverse else int(_BASE)
+    value = _low_powers(base)[places & (_STEP - 1)]
+    if len(places) and (most := int(places.max()) // _STEP):
+        step = np.full(most + 1, pow(base, _STEP, 1 << 64), np.uint64)
+        step[0] = 1
+        value *= np.multiply.accumulate(step)[places // _STEP]
+    return value
 
 
 def code_points(text: str) -> np.ndarray:
@@ -56,7 +65,9 @@ def code_points(text: str) -> np.ndarray:
 
 
 def lower_ascii(cp: np.ndarray) -> np.ndarray:
-    return cp + np.uint32(32) * ((cp >= 65) & (cp <= 90))
+    low = cp.copy()
+    np.add(low, np.uint32(32), out=low, where=(cp >= 65) & (cp <= 90))
+    return low
 
 
 @lru_cache(4)
@@ -68,17 +79,18 @@ def char_table(members: tuple[int, ...]) -> np.ndarray:
 
 def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans cp[start:end], which are in order, apart and not empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = powers(len(cp) + 1)
-    value = _char_values()[cp]
-    value *= power[: len(cp)]
-    at = np.empty(2 * len(starts), np.int64)
-    at[::2], at[1::2] = starts, ends
-    if at[-1] == len(cp):
-        at = at[:-1]
-    total = np.add.reduceat(value, at)[::2]
-    return mix64(total * inverse[starts] + (ends - starts).astype(np.uint64))
+    total = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(cp) if len(starts) else 0, _STEP):
+        piece = cp[at : at + _STEP]
+        a, b = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(piece), "left")
+        if a >= b:
+            continue
+        value = _char_values()[piece]
+        value *= powers(np.arange(at, at + len(piece)))
+        cut = np.empty(2 * (b - a), np.int64)
+        cut[::2], cut[1::2] = np.maximum(starts[a:b] - at, 0), np.minimum(ends[a:b] - at, len(piece))
+        total[a:b] += np.add.reduceat(value, cut[:-1] if cut[-1] == len(piece) else cut)[::2]
+    return mix64(total * powers(starts, True) + (ends - starts).astype(np.uint64))
 
 
 def word_spans(cp: np.ndarray, space: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +106,10 @@ def word_spans(cp: np.ndarray, space: np.ndarray, first: np.ndarray) -> tuple[np
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def parts(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of (row numbers, texts) of about `limit` characters. A longer text comes in several parts, cut
-    before a space between two words; one without such a place stays whole. Nulls come as empty texts."""
+def parts(texts: list[str | None], cut_at: re.Pattern = BLANK_CUT, limit: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """Groups of (row numbers, texts) of about `limit` characters (CHUNK_CHARS). A longer text comes in several parts,
+    cut after a match of `cut_at`; one without such a place stays whole. Nulls come as empty texts."""
+    limit = limit or CHUNK_CHARS
     rows: list[int] = []
     group: list[str] = []
     size = 0
@@ -104,7 +117,7 @@ def parts(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[l
         text = text or ""
         at = 0
         while True:
-            cut = _CUT.search(text, at + limit) if len(text) - at > limit else None
+            cut = cut_at.search(text, at + limit) if len(text) - at > limit else None
             piece = text[at : cut.end()] if cut else text[at:]
             if group and size + len(piece) > limit:
                 yield rows, group
@@ -119,7 +132,7 @@ def parts(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[l
         yield rows, group
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 * CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about `limit` characters of `column` each."""
     if not batch.num_rows:
         return
@@ -132,6 +145,34 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 * CHUNK_CHARS) ->
         at = to
 
 
+def line_parts(texts: list[str | None], limit: int | None = None) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Groups of (row numbers, numbers of the first lines, texts) of about `limit` characters. A longer text comes in
+    several parts of whole lines. Nulls come as empty texts."""
+    limit = limit or CHUNK_CHARS
+    rows: list[int] = []
+    firsts: list[int] = []
+    group: list[str] = []
+    size = 0
+    for row, text in enumerate(texts):
+        text = text or ""
+        at = number = 0
+        while True:
+            end = text.find("\n", at + limit) if len(text) - at > limit else -1
+            piece = text[at:] if end < 0 else text[at:end]
+            if group and size + len(piece) > limit:
+                yield rows, firsts, group
+                rows, firsts, group, size = [], [], [], 0
+            rows.append(row)
+            firsts.append(number)
+            group.append(piece)
+            size += len(piece)
+            if end < 0:
+                break
+            at, number = end + 1, number + piece.count("\n") + 1
+    if group:
+        yield rows, firsts, group
+
+
 def joined(group: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """The group's texts as one string, its code points and the start of each text with the end of the last."""
     text = "".join(group)
