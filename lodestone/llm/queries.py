@@ -12,7 +12,7 @@ from . import decontamination, line_dedup
 from .class_lm import class_scores
 from .decontamination import contamination
 from .jaccard_join import jaccard_components
-from .language_id import document_evidence, identify
+from .language_id import document_evidence, identify, page_evidence
 from .line_dedup import deduplicated
 from .permutation_index import nearest_neighbours
 from .piece_bpe import encode_decode_digests
@@ -42,7 +42,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(document_evidence(_table(spark, sf_dir, "documents")))
+    """Documents and pages; the id of the other kind is null."""
+    records = document_evidence(_table(spark, sf_dir, "documents")).unionByName(page_evidence(_table(spark, sf_dir, "pages")))
+    return identify(records)
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_line_dedup, op4_language_id, op5_token_binary, op6_toxicity, op7_permutation_index, op8_secret_scan, op9_piece_bpe, op10_jaccard_join)}
+    numbered = (
+        op1_decontamination,
+        op2_class_lm,
+        op3_line_dedup,
+        op4_language_id,
+        op5_token_binary,
+        op6_toxicity,
+        op7_permutation_index,
+        op8_secret_scan,
+        op9_piece_bpe,
+        op10_jaccard_join,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
