@@ -31,7 +31,7 @@ CLASSES, ROUNDS = 64, 6
 UNITS, ENDINGS = 20_000, 4096
 #: Words whose counts go to every task; the counts of the others are joined.
 HOT = 1_000_000
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 20
 FOLDS = 10
 PSEUDO = 0.1
 END = np.int64(0x5EED0F7E47)  # stands for the end token among the hashes
@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE_CHARS):
+            for part in slices(batch, "text", SLICE_CHARS):
                 word, ending, _ = tokens(part.column("text").to_pylist())
                 w, first, c = np.unique(word, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c), pa.array(ending[first])], ["w", "c", "ending"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def _mapped(frame: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -20,14 +20,18 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     In each round a node points to its least neighbour below it, and on to where that one points; edges and labels move
     along the pointers, loops and repeats go, until no edge is left. Node ids are hashes, so their order is random and
     the number of rounds is logarithmic. Edges and labels are written after each round."""
-    edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges")
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
+    spark = edges.sparkSession
+    pairs = lambda rows: rows.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = stored(pairs(edges), folder, f"{name}-edges-0")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = stored(nodes.withColumn("label", F.col("node")), folder, f"{name}-labels-0")
     for step in range(200):
         if edges.isEmpty():
             return labels
-        parents = stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), folder, f"{name}-parents-{step}")
-        parents = stored(_mapped(parents, "parent", parents), folder, f"{name}-jumped-{step}")
-        labels = stored(_mapped(labels, "label", parents), folder, f"{name}-labels-{step}")
-        moved = _mapped(_mapped(edges, "a", parents), "b", parents).filter("a <> b")
-        edges = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges-{step}")
+        at, after = f"{step}", f"{step + 1}"
+        parents = stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), folder, f"{name}-parents-{at}")
+        parents = stored(_mapped(parents, "parent", parents), folder, f"{name}-jumped-{at}")
+        labels = stored(_mapped(labels, "label", parents), folder, f"{name}-labels-{after}")
+        edges = stored(pairs(_mapped(_mapped(edges, "a", parents), "b", parents)), folder, f"{name}-edges-{after}")
+        discard(spark, folder, *(f"{name}-{x}-{at}" for x in ("parents", "jumped", "labels", "edges")))
     raise RuntimeError("components did not settle")

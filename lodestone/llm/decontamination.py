@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stored, work_dir
+from .shared import discard, stored, work_dir
 
 #: The pattern of a word, and the letters that are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -110,7 +110,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     hits = spans.groupBy("row").agg(F.sum(F.greatest(end - F.greatest("start", "past"), F.lit(0))).alias("n_hit"))
     owner = ranked.select("window", F.col("item_id").cast("string").alias("item")).distinct()
     found = matches.join(_small(owner), "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    texts = index.filter("term_id = -1").select("row", "doc_id", F.col("position").cast("long").alias("n_words"))
+    texts = stored(index.filter("term_id = -1").select("row", "doc_id", F.col("position").cast("long").alias("n_words")), folder, "texts")
+    discard(docs.sparkSession, folder, "postings", "candidates")
     full = texts.join(hits, "row", "left").join(found, "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return full.select(

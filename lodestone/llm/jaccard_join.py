@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored, work_dir
+from .shared import discard, stored, work_dir
 from .vectext import ASCII_SPACE, SPACE_CUT, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
 
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 20
 #: Cells for each signature that is kept.
 SPARE = 1.3
 #: Members of a verification block.
@@ -290,6 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, p: int = 80, q: int = 10
     named = classes.join(labels, classes["set_id"] == labels["node"], "left").select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = stored(named.join(least, "label").select("set_id", "component_id"), folder, "components")
+    discard(docs.sparkSession, folder, "stars", "members")
     rows = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     return rows.join(of_set, "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")

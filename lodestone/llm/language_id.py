@@ -33,7 +33,7 @@ from .vectext import SPACE_CUT, gather, joined, mix64, parts, slices
 #: Expected number of texts that the trigram model is fitted on, in equal shares for all languages.
 TRAIN_DOCS = 8000
 BUCKETS = 1 << 16
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 20
 #: A text's trigrams weigh as so many independent ones at most.
 EFFECTIVE = 60.0
 #: Records that a parent's shares weigh as, in the host hierarchy; pseudo-counts of the conditional shares and of buckets.

@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, work_dir
+from .shared import discard, stored, work_dir
 from .vectext import ASCII_SPACE, char_table, joined, line_parts, lower_ascii, mix64, powers, slices, span_hashes, word_spans
 
 MIN_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 5, 10
 #: First and last characters of scripts without blanks: Thai and Lao, Tibetan and Burmese, Khmer, kana and Han.
 UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
-SLICE_CHARS = 1 << 22
-#: Most rows of a side that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+SLICE_CHARS = 1 << 20
+#: Most rows, or bytes of lists, of a side that is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 26
 LAST = (1 << 63) - 1
 COUNTS = ("n_lines", "n_exact", "n_near")
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -271,8 +271,9 @@ def deduplicated(docs: DataFrame, counts: tuple[str, str, str] = COUNTS) -> Data
     `counts`."""
     folder = work_dir(docs.sparkSession, "lines")
     gone = stored(dropped_lines(docs, folder), folder, "gone").withColumnsRenamed({"d": "of_d", "t": "of_t"})
-    many = gone.agg(F.sum(1 + F.size("exact") + F.size("near"))).first()[0] or 0
-    if many <= BROADCAST_ROWS:
+    discard(docs.sparkSession, folder, "lines", "first", "near-candidates", "variants", "partners", "decided")
+    size = gone.agg(F.sum(64 + 4 * (F.size("exact") + F.size("near")))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     full = docs.select(F.struct("*").alias("doc"), *_order(), "text")  # in a struct, the names of the input can't clash
     full = full.join(gone, (F.col("d") == F.col("of_d")) & (F.col("t") == F.col("of_t")), "left")

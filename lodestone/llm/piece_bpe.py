@@ -27,7 +27,7 @@ from .vectext import gather, joined, parts, slices, span_hashes
 BLANK = 0x2581
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Words whose pieces a task remembers; beyond it the memory starts anew, which changes no result.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _NARROW = 1024
 _NONE = np.iinfo(np.int64).max
 

@@ -31,3 +31,11 @@ def unused(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes stored tables that no later step reads, so that disk is held for the tables at hand alone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(conf).delete(path, True)

@@ -27,7 +27,7 @@ BITS = 20
 TRAIN_ROWS = 16_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 20
 FOLDS = 5
 #: One of so many rows of the sample sets the threshold and is kept from the fit.
 CALIBRATION = 5

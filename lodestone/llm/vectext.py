@@ -132,7 +132,7 @@ def parts(texts: list[str | None], cut_at: re.Pattern = BLANK_CUT, limit: int |
         yield rows, group
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about `limit` characters of `column` each."""
     if not batch.num_rows:
         return
