@@ -352,20 +352,49 @@ def test_neighbours(spark):
         score[ids == q] = -9
         found += len(set(g.vec_id) & set(ids[np.argsort(-score)[:20]]))
         assert g.sort_values("rank").score.is_monotonic_decreasing
-    assert found >= 0.9 * len(got)
+    assert found >= 0.95 * len(got)
     assert (got.groupby("query_id").size() == 20).all()
 
 
+def brute_neighbours(rows, k):
+    """The k nearest of every vec_id that is divisible by 20; equal ids count once, by the least vector."""
+    one = {}
+    for i, v in rows:
+        if i is not None and v and len(v) == 3 and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            one[i] = min(v, one.get(i, v))
+    return {
+        (q, r + 1, i, s)
+        for q in one
+        if q % 20 == 0
+        for r, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(one[q], v, strict=True)), i) for i, v in one.items() if i != q), key=lambda x: (-x[0], x[1]))[:k])
+    }
+
+
 def test_neighbours_odd_vectors(spark):
     one = [1.0, 0.0, 0.0]
-    rows = [(0, one), (1, one), (2, one), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]), (7, [float("nan"), 1.0, 0.0]), (8, [float("inf"), 1.0, 0.0]), (9, [2.0, 0.0, 0.0]), (10, [1.0]), (20, [0.0, 1.0, 0.0]), (None, one), (0, one)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(0, one), (1, one), (2, one), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]), (7, [float("nan"), 1.0, 0.0]), (8, [float("inf"), 1.0, 0.0]), (9, [2.0, 0.0, 0.0]), (10, [1.0]), (20, [0.0, 1.0, 0.0]), (None, one), (0, one), (20, [0.0, 1.0, 0.0]), (29, [0.0, 2.0, 0.0]), (29, [0.0, 2.0, 0.0]), (29, [0.0, 3.0, 0.0])]
+    table = spark.createDataFrame([(i, v, i, "x", 0.5) for i, v in rows], "vec_id long, embedding array<double>, entry long, part string, score double").repartition(3)
     got = permutation_index.nearest_neighbours(table, F.col("vec_id") % 20 == 0, k=3)
-    assert {(r.rank, r.vec_id, r.score) for r in got.filter("query_id = 20").collect()} == {(1, 0, 0.0), (2, 0, 0.0), (3, 1, 0.0)}
-    assert [r.vec_id for r in got.filter("query_id = 0").orderBy("rank").limit(2).collect()] == [9, 9] or [r.vec_id for r in got.filter("query_id = 0").orderBy("rank").collect()][:1] == [9]
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found))
+    # vectors without a common pivot aren't met: what is found of each query is a beginning of the exact list
+    assert {r for r in found if r[3] > 0} == {r for r in brute_neighbours(rows, 3) if r[3] > 0}
     assert permutation_index.nearest_neighbours(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_equal_vectors(spark, monkeypatch):
+    """A vector that a third of the rows share, more vectors than one block, and no broadcast."""
+    monkeypatch.setattr(permutation_index, "BLOCK", 64)
+    monkeypatch.setattr(permutation_index, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(permutation_index, "BROADCAST_ROWS", 0)
+    r = np.random.default_rng(8)
+    rows = [(i, [1.0, 0.5, 0.25] if i % 3 == 0 else r.normal(size=3).round(3).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {tuple(x) for x in permutation_index.nearest_neighbours(table, F.col("vec_id") % 20 == 0, k=5).collect()}
+    assert {x[:3] for x in found} == {x[:3] for x in brute_neighbours(rows, 5)}
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 
