@@ -426,7 +426,7 @@ def test_network_learns():
     make = lambda good: "".join(r.choice("0123456789abcdef" if good else "0123456789") for _ in range(20)) + ("" if good else "1.2.3")
     y = np.array([i % 2 for i in range(600)], float)
     texts = [f"before {make(k)} after" for k in y]
-    x = np.concatenate([secret_scan.scan([t])[-1] for t in texts])
+    x = np.concatenate([secret_scan.scan([t])[1].window for t in texts])
     net = secret_scan.CharNet()
     net.train(x[:400], y[:400])
     s = net.scores(x[400:])
@@ -435,6 +435,69 @@ def test_network_learns():
     assert (s[y[400:] == 0] >= cut).mean() < 0.05
 
 
+def test_calibration():
+    r = np.random.default_rng(3)
+    logits = r.normal(0, 3, 20_000)
+    y = (r.random(20_000) < 1 / (1 + np.exp(-(0.5 * logits - 1)))).astype(float)
+    assert np.allclose(secret_scan.platt(logits, y), (0.5, -1), atol=0.05)
+
+
+def test_secrets_beyond_the_patterns_are_added(spark):
+    """Keys that no fixed pattern finds, and lookalikes, planted in a table that the model isn't told about."""
+    r = random.Random(99)
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars BETWEEN 200 AND 3000").orderBy("doc_id").limit(300).collect()]
+    rows = []
+    for i, text in enumerate(texts):
+        words, made = text.split(" "), secret_scan.made_secret(r) if i % 2 else secret_scan.made_other(r, ["alpha", "gamma", "delta"])
+        at = r.randrange(1, len(words))
+        rows.append((i, " ".join([*words[:at], made, *words[at:]]), len(" ".join(words[:at])) + 1, made))
+    table = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    spans = {x.doc_id: x.spans.split(",") for x in secret_scan.secrets(table).collect()}
+    hit = lambda i, at, made: any(s.startswith(("model:", "hex:")) and int(s.split(":")[1]) < at + len(made) and int(s.split(":")[2]) > at for s in spans[i])
+    assert sum(hit(i, at, made) for i, _, at, made in rows if i % 2) > 0.9 * 150
+    assert sum(any(s.startswith("model:") for s in spans[i]) for i, _, _, _ in rows if i % 2 == 0) < 0.02 * 150
+
+
+# --- texts beyond a part -------------------------------------------------------------------------------------------
+
+
+def test_parts_change_no_result(monkeypatch):
+    """Texts that are longer than a part give what they give whole."""
+    from lodestone.llm import vectext
+
+    r = random.Random(12)
+    pieces = ["alpha", "Beta,", "the", "x1", " ", "\n", "\n\n", "\t", "ünder", "token='abc123xyz'", "deadbeefdeadbeefdeadbeef12", "AbCdEfGh12345678901", "日本語テキスト", "e" * 90, "="]
+    texts = ["".join(r.choice(pieces) + r.choice(["", " ", "\n"]) for _ in range(n)) for n in (0, 1, 5, 300, 2000)] + [None]
+    model, tokenizer = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+
+    def results():
+        lines = [(int(a), int(b), int(h)) for g in vectext.line_parts(texts) for x in [line_dedup.Lines(*g)] for a, b, h in zip(x.text, x.number, x.whole(np.arange(len(x.n))), strict=True)]
+        ids = [[] for _ in texts]
+        for rows, counts, found in token_binary.SpanEncoder(tokenizer)(texts):
+            cut = np.append(0, np.cumsum(counts))
+            for k, row in enumerate(rows.tolist()):
+                ids[row] += found[cut[k] : cut[k + 1]].tolist()
+        grams = np.sort(np.concatenate([a << 20 | b for a, b in language_id.trigrams(texts)])).tolist()
+        spans, found = secret_scan.scan(texts)
+        return [
+            lines,
+            ids,
+            grams,
+            spans,
+            [x.tolist() for x in found],
+            *([x.tolist() for x in f(texts)] for f in (class_lm.tokens, toxicity.feature_sets)),
+            [x.tolist() for x in jaccard_join.shingle_sets(texts, 3)],
+            piece_bpe.PieceCodec(model).digests(texts),
+        ]
+
+    whole = results()
+    monkeypatch.setattr(vectext, "CHUNK_CHARS", 60)
+    monkeypatch.setattr(vectext, "_STEP", 64)
+    vectext._low_powers.cache_clear()
+    assert results() == whole
+    vectext._low_powers.cache_clear()
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
