@@ -1,7 +1,8 @@
 """Questions answered in rounds: retrieve, grade, rewrite what found too little, and search again.
 
-All open questions of a round are one batch; the rounds are few and unrolled into one plan. Retrieval, grading and
-rewriting are functions over DataFrames, so a model takes part as an Arrow function inside one of them."""
+All open questions of a round are one batch. What a round finds and what it leaves open is written to the folder that
+spark.checkpoint.dir names, so that each retrieval runs once. Retrieval, grading and rewriting are functions over
+DataFrames, so a model takes part as an Arrow function inside one of them."""
 
 from __future__ import annotations
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .written import written
+
 MOST_ROUNDS = 5
 
 
@@ -28,11 +31,12 @@ def answer_rounds(
     rounds = max(1, min(MOST_ROUNDS, rounds))
     found, open_ = None, questions
     for step in range(1, rounds + 1):
-        rows = grade(retrieve(open_)).withColumn("round", F.lit(step))
+        rows = written(grade(retrieve(open_)).withColumn("round", F.lit(step)), "round")
         enough = rows.groupBy("query_id").agg(F.count_if("relevant").alias("__n")).filter(F.col("__n") >= least_relevant).select("query_id")
         kept = rows if step == rounds else rows.join(enough, "query_id", "left_semi")
         found = kept if found is None else found.unionByName(kept)
-        open_ = rewrite(open_.join(enough, "query_id", "left_anti"))
+        if step < rounds:
+            open_ = written(rewrite(open_.join(enough, "query_id", "left_anti")), "open")
     return found
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,13 +19,15 @@ BREAKS = (("\n\n",), ("\n",), ("。", "！", "？", "!", "?", ". "), ("；", ";"
 
 
 def split_segments(docs: DataFrame, delimiter: str, collapse: bool = False) -> DataFrame:
-    """doc_id, seq, start_offset, end_offset, segment: the stripped non-blank parts of each text, with the offset of the part."""
+    """doc_id, seq, start_offset, end_offset, segment: the stripped non-blank parts of each text, with the offset of the part.
+    A null or blank text has none; rows that repeat a doc_id are numbered each."""
     text = collapse_whitespace(F.col("text")) if collapse else F.col("text")
-    parts = F.split(text, "\\Q" + delimiter + "\\E", -1)
-    before = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0), lambda a, x: a + F.length(x) + len(delimiter))
-    rows = docs.select("doc_id", parts.alias("parts")).select("doc_id", "parts", F.posexplode("parts").alias("i", "raw"))
-    rows = rows.select("doc_id", "i", before.cast("long").alias("start_offset"), strip(F.col("raw")).alias("segment")).filter("segment <> ''")
-    seq = F.row_number().over(W.partitionBy("doc_id").orderBy("i")) - 1
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(text, "\\Q" + delimiter + "\\E", -1).alias("parts"))
+    rows = rows.select("doc_id", "row", F.posexplode("parts").alias("i", "raw"))
+    by = W.partitionBy("doc_id", "row").orderBy("i")
+    before = F.sum(F.length("raw") + len(delimiter)).over(by.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.select("doc_id", "row", "i", F.coalesce(before, F.lit(0)).cast("long").alias("start_offset"), strip(F.col("raw")).alias("segment")).filter("segment <> ''")
+    seq = F.row_number().over(by) - 1
     return rows.select("doc_id", seq.cast("long").alias("seq"), "start_offset", (F.col("start_offset") + F.length("segment")).alias("end_offset"), "segment")
 
 
@@ -35,44 +40,69 @@ def parent_children(docs: DataFrame, parent_delimiter: str, child_delimiter: str
     return rows.select("doc_id", "parent_index", child.cast("long").alias("child_index"), "parent_preview", "segment")
 
 
-def chunk_end(text: str, start: int, size: int) -> int:
-    """Where the chunk from `start` ends: after the last break of the best kind in its second half, else at its size."""
-    limit = start + size
-    if limit >= len(text):
-        return len(text)
-    half = start + max(size // 2, 1)
-    for kind in BREAKS:
-        at = max(text.rfind(mark, half, limit) for mark in kind)
-        if at > start:
-            return at + 1
-    return limit
+class Breaks:
+    """The places of all break marks of a text, found once, kind by kind."""
+
+    def __init__(self, text: str):
+        self.size = len(text)
+        self.places: list[tuple[list[int], list[int]]] = []  # of each kind, where marks begin and end
+        for kind in BREAKS:
+            found = [(m.start(), m.start() + len(m[1])) for m in re.finditer("(?=(%s))" % "|".join(map(re.escape, kind)), text)]
+            self.places.append(([a for a, _ in found], [b for _, b in found]))
+
+    def last(self, least: int, most: int) -> int | None:
+        """Where the last mark of the best kind begins that lies within least..most."""
+        for begins, ends in self.places:
+            at = bisect.bisect_left(begins, most) - 1
+            if at >= 0 and ends[at] > most:
+                at -= 1  # it reaches beyond; the one before it can't, as marks have two characters at most
+            if at >= 0 and begins[at] >= least:
+                return begins[at]
+        return None
+
+
+def chunk_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of overlapping chunks of up to `size` characters; each ends after a mark in its second half, if any."""
+    breaks = Breaks(text) if len(text) > size else None
+    start = 0
+    while True:
+        end = start + size
+        if breaks is None or end >= len(text):
+            yield start, len(text)
+            return
+        mark = breaks.last(start + max(size // 2, 1), end)
+        end = end if mark is None else mark + 1
+        yield start, end
+        start = max(end - overlap, start + 1)
 
 
 def windows_of(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """Start, end and stripped content of the overlapping chunks of a text."""
-    at, done = 0, not text.strip()
-    while not done:
-        end = chunk_end(text, at, size)
-        raw = text[at:end]
-        content = raw.strip()
-        if content:
-            begin = at + len(raw) - len(raw.lstrip())
-            yield begin, at + len(raw) - (len(raw.lstrip()) - len(content)), content
-        done = end >= len(text)
-        at = max(end - overlap, at + 1)
+    """Start, end and stripped content of the overlapping chunks of a text, but for blank ones."""
+    for a, b in chunk_spans(text, size, overlap):
+        raw = text[a:b]
+        if content := raw.strip():
+            begin = a + raw.index(content[0])
+            yield begin, begin + len(content), content
 
 
 def sliding_chunks(segments: DataFrame, size: int, overlap: int) -> DataFrame:
     """doc_id, seq, part, start_offset, end_offset, content: chunks of each segment; the fold stays inside a segment."""
 
+    names = ["doc_id", "seq", "part", "start_offset", "end_offset", "content"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (doc, seq, i, (base or 0) + a, (base or 0) + b, content)
-                for doc, seq, base, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for i, (a, b, content) in enumerate(windows_of(text or "", size, overlap))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int64()] * 5 + [pa.string()], strict=True)], ["doc_id", "seq", "part", "start_offset", "end_offset", "content"])
+            source, part, begin, end, content = [], [], [], [], []
+            base = pc.fill_null(batch.column(2), 0).to_pylist()
+            for row, text in enumerate(batch.column(3).to_pylist()):
+                for i, (a, b, piece) in enumerate(windows_of(text or "", size, overlap)):
+                    source.append(row)
+                    part.append(i)
+                    begin.append(base[row] + a)
+                    end.append(base[row] + b)
+                    content.append(piece)
+            keys = [batch.column(c).take(pa.array(source, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, pa.int64()) for x in (part, begin, end)), pa.array(content, pa.string())], names)
 
     return segments.select("doc_id", "seq", "start_offset", F.col("segment")).mapInArrow(run, "doc_id long, seq long, part long, start_offset long, end_offset long, content string")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .written import written
+
 
 def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Number of nodes, and of edges between different nodes, parallel ones each."""
@@ -33,11 +35,12 @@ def induced_edges(edges: DataFrame, chosen: DataFrame, rel_type: str = "DIRECTED
 
 def ego(nodes: DataFrame, edges: DataFrame, center: str, depth: int, limit: int) -> DataFrame:
     """entity_id, hop, degree of the nodes within `depth` hops: the centre first, then by degree."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "ego-edges")
     reached = nodes.filter(F.col("entity_id") == center).select("entity_id", F.lit(0).alias("hop"))
     front = reached
     for hop in range(1, depth + 1):
-        front = front.join(both, front["entity_id"] == both["src"]).select(F.col("dst").alias("entity_id")).distinct().join(reached, "entity_id", "left_anti").withColumn("hop", F.lit(hop))
+        front = front.join(both, front["entity_id"] == both["src"]).select(F.col("dst").alias("entity_id")).distinct().join(reached, "entity_id", "left_anti")
+        front = written(front.withColumn("hop", F.lit(hop)), "ego-front")
         reached = reached.union(front)
     found = degrees(nodes, edges).join(reached, "entity_id")
     return found.select("entity_id", "hop", "degree").orderBy(F.col("hop") > 0, F.desc("degree"), "entity_id").limit(limit)

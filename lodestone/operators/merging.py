@@ -1,82 +1,72 @@
 """Order-dependent merging of a query's ranked rows: greedy near-duplicate removal and fair merging with floors.
 
-Both are folds over the rows of one query, of which recall limits leave a few hundred; queries run in parallel."""
+Removal is a fold over the rows of one query, as an aggregate over their array: the caller passes what a recall limit
+leaves (MOST_ROWS of a query at most; more are an error, not a silent cut). Queries run in parallel."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Overlap from which two rows of a document are the same, and how a common beginning counts.
 OVERLAP, PREFIX, LEAST_PREFIX = 0.72, 120, 40
 TYPE_SHARE = 0.3
+#: Rows of one query that the fold takes.
+MOST_ROWS = 5000
 
 
-def overlap(a: str, b: str) -> float:
-    """How much of the longer text, without white space, the shorter one covers."""
-    short, long = sorted((re.sub(r"\s+", "", a or ""), re.sub(r"\s+", "", b or "")), key=len)
-    if not short:
-        return 0.0
-    if short in long:
-        return len(short) / len(long)
-    n = min(len(short), PREFIX)
-    return n / len(long) if n >= LEAST_PREFIX and short[:n] == long[:n] else 0.0
+def bare(c: Column) -> Column:
+    """A text without white space."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
 
 
-def _distinct(rows: list[dict], limit: int) -> list[dict]:
-    kept: list[dict] = []
-    for row in rows:
-        twin = next((i for i, k in enumerate(kept) if k["document_id"] == row["document_id"] and overlap(row["content"], k["content"]) >= OVERLAP), None)
-        if twin is None:
-            kept.append(row)
-        elif kept[twin]["is_image"] and not row["is_image"]:
-            kept[twin] = row  # body text takes the place of an image's
-        if len(kept) >= limit:
-            break
-    return kept[:limit]
+def overlap(a: Column, b: Column) -> Column:
+    """Share of the longer of two bare texts that the shorter covers, as a part of it or as its first characters."""
+    n, m = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    inside = F.contains(a, b) | F.contains(b, a)
+    head = F.least(n, F.lit(PREFIX))
+    covered = F.when(inside, n).when((head >= LEAST_PREFIX) & (F.substr(a, F.lit(1), head) == F.substr(b, F.lit(1), head)), head)
+    return F.when(n > 0, F.coalesce(covered / m, F.lit(0.0))).otherwise(0.0)
 
 
-def dedupe(rows: DataFrame, limit: int) -> DataFrame:
-    """The rows of each query in order of `ord`, without those that repeat an earlier one of their document."""
+def dedupe(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The rows of each query in order (of `ord`, unless given), `limit` at most, without those that repeat an earlier one
+    of their document; body text takes the place of an image's that came before it."""
+    columns = rows.columns
+    row = F.struct(*(order or (F.col("ord"),)), bare(F.col("content")).alias("bare"), F.struct(*columns).alias("row"))
+    packed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    ordered = F.transform("rows", lambda x: F.struct(x["bare"], x["row"]))
+    packed = packed.select(F.when(F.size("rows") <= MOST_ROWS, ordered).otherwise(F.raise_error(F.lit(f"more than {MOST_ROWS} rows of a query"))).alias("rows"))
+    kind = packed.schema["rows"].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = _distinct(frame.sort_values("ord").to_dict("records"), limit)
-        return pd.DataFrame(found, columns=frame.columns)
+    def step(kept: Column, x: Column) -> Column:
+        same = lambda k: (k["row"]["document_id"] == x["row"]["document_id"]) & (overlap(k["bare"], x["bare"]) >= OVERLAP)
+        twin = F.array_position(F.transform(kept, lambda k: F.coalesce(same(k), F.lit(False))), F.lit(True)) - 1
+        swap = F.transform(kept, lambda k, i: F.when((i == twin) & k["row"]["is_image"] & ~x["row"]["is_image"], x).otherwise(k))
+        return F.when(F.size(kept) >= limit, kept).when(twin < 0, F.concat(kept, F.array(x))).otherwise(swap)
 
-    return rows.groupBy("query_id").applyInPandas(run, rows.schema)
+    kept = F.aggregate("rows", F.array().cast(kind), step)
+    return packed.select(F.explode(kept).alias("x")).select("x.row.*")
 
 
 def merge_collections(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows of several collections (kb_id, kb_type, uid, score, content, document_id, is_image) merged per query: the best
-    of each collection, then of each type up to its floor, then by the score within the collection; last the repeats go."""
+    """Rows of several collections (query_id, kb_id, kb_type, uid, score, content, document_id, is_image) merged per query:
+    the best of each collection, then of each type up to its floor, then by the score within the collection; last the
+    repeats go. Of rows that repeat (kb_id, uid) the best counts."""
     by = W.partitionBy("query_id", "kb_id")
     low, high = F.min("score").over(by), F.max("score").over(by)
     scored = rows.withColumn("merge_score", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ranked = frame.sort_values(["merge_score", "kb_id", "uid"], ascending=[False, True, True], kind="stable").to_dict("records")
-        if frame["kb_id"].nunique() <= 1:
-            return pd.DataFrame(_distinct(ranked, limit), columns=frame.columns)
-        chosen: dict[tuple, dict] = {}
-
-        def take(row: dict) -> None:
-            if len(chosen) < limit:
-                chosen.setdefault((row["kb_id"], row["uid"]), row)
-
-        for kb in sorted(frame["kb_id"].unique()):
-            take(next(r for r in ranked if r["kb_id"] == kb))
-        if frame["kb_type"].nunique() > 1:
-            floor = max(1, int(limit * TYPE_SHARE))
-            for row in ranked:
-                if sum(r["kb_type"] == row["kb_type"] for r in chosen.values()) < floor:
-                    take(row)
-        for row in ranked:
-            take(row)
-        ordered = sorted(chosen.values(), key=lambda r: -r["merge_score"])
-        return pd.DataFrame(_distinct(ordered, limit), columns=frame.columns)
-
-    return scored.groupBy("query_id").applyInPandas(run, scored.schema)
+    best_first = [F.desc("merge_score"), F.col("kb_id"), F.col("uid")]
+    place = lambda *keys: F.row_number().over(W.partitionBy("query_id", *keys).orderBy(*best_first))
+    ranked = scored.withColumn("copy", place("kb_id", "uid")).filter("copy = 1").drop("copy").withColumn("in_kb", place("kb_id"))
+    reserved = (F.col("in_kb") == 1).cast("int")
+    of_type = W.partitionBy("query_id", "kb_type")
+    ranked = ranked.withColumn("held", F.sum(reserved).over(of_type)).withColumn("many", F.size(F.collect_set("kb_type").over(W.partitionBy("query_id"))))
+    within = F.row_number().over(of_type.orderBy(reserved, *best_first))  # among those that aren't reserved
+    floor = F.greatest(F.lit(1), F.floor(F.lit(limit * TYPE_SHARE)))
+    tier = F.when(reserved == 1, 0).when((F.col("many") > 1) & (within <= floor - F.col("held")), 1).otherwise(2)
+    order = W.partitionBy("query_id").orderBy("tier", F.when(F.col("tier") == 0, F.col("kb_id")), *best_first)
+    chosen = ranked.withColumn("tier", tier).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    negative = (-F.col("merge_score")).alias("by_score")
+    return dedupe(chosen.select(*scored.columns, "place"), limit, negative, F.col("place")).drop("place")

@@ -1,25 +1,52 @@
-"""Batch retrieval: a table of queries against all chunks, each chunk read once; tasks keep each query's best only."""
+"""Batch retrieval: a table of queries against all chunks; tasks keep each query's best only.
+
+Queries are dealt into blocks of bounded size by hash. Each block is one pass over the chunks, in which its terms or its
+vectors go to the tasks; there is no limit on the number of blocks. Queries without an id take no part."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import anchor_weight, latin_anchors
+from ..functions.terms import accepted_parts, layer_weight, spellings, term_layers
 
-#: Most queries that are sent to the tasks at once; more are searched in several passes.
-QUERY_BLOCK = 20_000
+#: Most queries, and characters of queries, of a block in expectation.
+QUERY_BLOCK, QUERY_CHARS = 4096, 4_000_000
+#: Cells of the score tables that a task holds at once.
+CELLS = 1 << 20
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, weight: the anchors of queries in Latin script."""
-    terms = queries.select("query_id", F.explode(latin_anchors(F.col("text"))).alias("term"))
-    return terms.withColumn("weight", anchor_weight(F.col("term")))
+    """query_id, term, weight, auxiliary: both layers of every query's terms."""
+    layers = queries.select("query_id", term_layers(F.col("text")).alias("layers"))
+    each = lambda name, auxiliary: layers.select("query_id", F.explode(f"layers.{name}").alias("term"), F.lit(auxiliary).alias("auxiliary"))
+    rows = each("anchors", False).union(each("auxiliaries", True))
+    return rows.select("query_id", "term", layer_weight(F.col("term"), F.col("auxiliary")).alias("weight"), "auxiliary")
+
+
+def query_needles(queries: DataFrame) -> DataFrame:
+    """query_id, needle, term, weight: what to look for in passages. A term counts once, whichever of its spellings is
+    met; needles with a null term are the ones of which a passage must hold one."""
+    terms = query_terms(queries).select("query_id", F.explode(spellings(F.col("term"))).alias("needle"), "term", "weight")
+    required = queries.select("query_id", F.explode(term_layers(F.col("text"))["required"]).alias("part"))
+    required = required.select("query_id", F.explode(accepted_parts(F.col("part"))).alias("needle")).distinct()
+    return terms.filter("weight > 0").unionByName(required.select("query_id", "needle", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight")))
+
+
+def _blocks(queries: DataFrame, size: Column) -> list[DataFrame]:
+    """The queries with an id in blocks of bounded size."""
+    rows = queries.filter("query_id IS NOT NULL")
+    many, chars = rows.agg(F.count("*"), F.sum(size)).first()
+    blocks = max(math.ceil(many / QUERY_BLOCK), math.ceil((chars or 0) / QUERY_CHARS))
+    return [rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
 def _best(found: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -27,82 +54,164 @@ def _best(found: DataFrame, k: int, *ties: str) -> DataFrame:
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def _keep(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((chunk, -score, query))
-    query, chunk, score = query[order], chunk[order], score[order]
-    first = np.searchsorted(query, query)
-    keep = np.arange(len(query)) - first < k
-    return query[keep], chunk[keep], score[keep]
+class _Best:
+    """The best k hits of each query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        query, chunk, score = (np.concatenate(x) for x in zip(self.held, (query, chunk, score), strict=True))
+        order = np.lexsort((chunk, -score, query))
+        query, chunk, score = query[order], chunk[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.held = query[keep], chunk[keep], score[keep]
+
+    def rows(self, ids: np.ndarray, name: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[self.held[0]], pa.int64()), pa.array(self.held[1]), pa.array(self.held[2])], ["query_id", name, "score"])
+
+
+def _spread(groups: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[g] ... first[g] + many[g] - 1 of every group in turn."""
+    n = many[groups]
+    return np.repeat(first[groups] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class _Needles:
+    """All needles of a block of queries in one automaton, with the terms that each stands for and their queries."""
+
+    def __init__(self, ids: np.ndarray, rows: pa.Table):
+        self.ids = ids
+        query = np.searchsorted(ids, rows.column("query_id").to_numpy())
+        needle, self.names = self._numbered(rows.column("needle"))
+        term = rows.column("term")
+        must = term.is_null().to_numpy(zero_copy_only=False)
+        self.must = self._lists(needle[must], query[must])
+        # terms of one query are numbered together, so that a term counts once for it
+        keys = pc.binary_join_element_wise(pc.cast(rows.column("query_id"), pa.string()), pc.fill_null(term, ""), "\0")
+        number, names = self._numbered(keys)
+        self.terms = self._lists(needle[~must], number[~must])
+        self.query_of, self.weight_of = np.zeros(len(names), np.int64), np.zeros(len(names))
+        self.query_of[number[~must]] = query[~must]
+        self.weight_of[number[~must]] = rows.column("weight").to_numpy()[~must]
+
+    @staticmethod
+    def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
+        coded = column.combine_chunks().dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+    def _lists(self, needle: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(needle, kind="stable")
+        many = np.bincount(needle, minlength=len(self.names))
+        return np.cumsum(many) - many, many, value[order]
+
+    def automaton(self):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, name in enumerate(self.names):
+            machine.add_word(name, i)
+        machine.make_automaton()
+        return machine
+
+    def scores(self, chunk: np.ndarray, needle: np.ndarray, chunks: int) -> np.ndarray:
+        """chunks x queries, from the pairs of a chunk and a needle that it holds; 0 without a required needle."""
+        size = len(self.ids)
+
+        def cells(lists: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> np.ndarray:
+            first, many, value = lists
+            return np.unique(np.repeat(chunk, many[needle]) * width + value[_spread(needle, first, many)])
+
+        width = max(len(self.query_of), 1)
+        met = cells(self.terms, width)
+        term = met % width
+        total = np.bincount(met // width * size + self.query_of[term], self.weight_of[term], chunks * size)
+        allowed = np.zeros(chunks * size, bool)
+        allowed[cells(self.must, size)] = True
+        return np.round(np.where(allowed, total, 0.0), 9).reshape(chunks, size)  # equal sums stay equal in any order
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: the sum of the weights of the query's terms that a chunk holds as substrings.
-
-    All terms go into one automaton, which runs over every text once; terms of a block of queries are bounded."""
-    terms = query_terms(queries)
-    ids = sorted(r.query_id for r in queries.select("query_id").distinct().collect()) if queries.count() <= QUERY_BLOCK else None
-    if ids is None:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
-    rows = terms.collect()
-    place = {q: i for i, q in enumerate(ids)}
-    of_term: dict[str, list[tuple[int, float]]] = {}
-    for r in rows:
-        of_term.setdefault(r.term, []).append((place[r.query_id], r.weight))
-    told = chunks.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), of_term))
+    """query_id, chunk_id, score, rank: the weights of the query's terms that a chunk holds as substrings, for chunks that
+    hold one of its required pieces; scores above 0, ties to the smaller chunk_id."""
+    found = [_keyword_pass(chunks, block, k) for block in _blocks(queries, F.length("text"))]
+    if not found:
+        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+    return _best(reduce(DataFrame.unionAll, found), k, "chunk_id")
+
+
+def _keyword_pass(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = query_needles(queries.select(F.col("query_id").cast("long").alias("query_id"), "text")).toArrow()  # of one block
+    needles = _Needles(np.unique(rows.column("query_id").to_numpy()), rows)
+    told = chunks.sparkSession.sparkContext.broadcast(needles)
+    group = max(1, CELLS // max(len(needles.ids), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+        needles, best = told.value, _Best(k)
+        machine = needles.automaton() if needles.names else None
+        for batch in batches if machine else ():
+            for at in range(0, batch.num_rows, group):
+                part = batch.slice(at, group)
+                hits = [np.unique(np.fromiter((i for _, i in machine.iter(text)), np.int64)) for text in (x or "" for x in part.column(1).to_pylist())]
+                score = needles.scores(np.repeat(np.arange(len(hits)), [len(x) for x in hits]), np.concatenate(hits), len(hits))
+                if k < len(hits):  # of each query the k best of the group, with all that tie with the last of them
+                    least = np.partition(score, len(hits) - k, axis=0)[len(hits) - k]
+                    chunk, query = np.nonzero((score > 0) & (score >= least))
+                else:
+                    chunk, query = np.nonzero(score)
+                best.add(query, part.column(0).to_numpy()[chunk], score[chunk, query])
+        yield best.rows(needles.ids, "chunk_id")
+
+    return chunks.filter("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
+def _directions(vectors: DataFrame, column: str) -> DataFrame:
+    """Vectors as doubles, without those that are null, empty or zero or hold a null or a value that isn't finite."""
+    v = F.col(column).cast("array<double>")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rows = vectors.withColumn("v", v)
+    return rows.filter(F.coalesce(~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False)))
 
-        ids, of_term = told.value
-        names = list(of_term)
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(names):
-            automaton.add_word(t, i)
-        if names:
-            automaton.make_automaton()
-        lists = [(np.array([q for q, _ in of_term[t]]), np.array([w for _, w in of_term[t]])) for t in names]
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for batch in batches:
-            found = [held]
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total = np.zeros(len(ids))
-                for i in sorted({i for _, i in automaton.iter(text)}) if text and names else ():
-                    total[lists[i][0]] += lists[i][1]
-                hit = np.flatnonzero(total)
-                found.append([hit, np.full(len(hit), chunk), np.round(total[hit], 9)])  # equal sums stay equal in any order
-            held = list(_keep(*(np.concatenate(x) for x in zip(*found, strict=True)), k))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "chunk_id", "score"])
 
-    return _best(chunks.select("chunk_id", "text").mapInArrow(run, "query_id long, chunk_id long, score double"), k, "chunk_id")
+def _unit(column: pa.Array) -> np.ndarray:
+    v = pc.list_flatten(column).to_numpy().reshape(len(column), -1)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def vector_search(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest others by cosine, exactly, for the rows for which `asked` holds."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), asked.alias("asked"))
-    queries = rows.filter("asked").select("vec_id", "v")
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
-    table = queries.orderBy("vec_id").toArrow()
-    q_ids = table.column("vec_id").to_numpy()
-    q = np.array(table.column("v").to_pylist()).reshape(len(q_ids), -1)
-    told = vectors.sparkSession.sparkContext.broadcast((q_ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q))
+    """query_id, vec_id, score, rank: the k nearest others by cosine, exactly, for the rows for which `asked` holds, among
+    vectors of the query's length. Rows without a usable vector or id take no part."""
+    rows = _directions(vectors.filter("vec_id IS NOT NULL").withColumn("asked", F.coalesce(asked, F.lit(False))), "embedding")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v", "asked")
+    queries = rows.filter("asked").select(F.col("vec_id").alias("query_id"), "v")
+    found = []
+    for block in _blocks(queries, 8 * F.size("v")):
+        for (width,) in block.select(F.size("v")).distinct().collect():  # one, but for tables of several models
+            found.append(_vector_pass(rows.filter(F.size("v") == width), block.filter(F.size("v") == width), k))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    return _best(reduce(DataFrame.unionAll, found), k, "vec_id")
+
+
+def _vector_pass(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    block = queries.orderBy("query_id").toArrow().combine_chunks()
+    told = rows.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), _unit(block.column("v").combine_chunks())))
+    group = max(1, CELLS // max(block.num_rows, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = told.value
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        (q_ids, q), best = told.value, _Best(k)
         for batch in batches:
-            for at in range(0, batch.num_rows if len(q_ids) else 0, 2048):
-                part = batch.slice(at, 2048)
-                ids, v = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                score = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+            for at in range(0, batch.num_rows, group):
+                part = batch.slice(at, group)
+                ids = part.column(0).to_numpy()
+                score = q @ _unit(part.column(1)).T
                 score[q_ids[:, None] == ids[None, :]] = -2
-                take = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                found = [np.repeat(np.arange(len(q_ids)), take.shape[1]), ids[take].ravel(), np.take_along_axis(score, take, 1).ravel()]
-                held = list(_keep(*(np.concatenate(x) for x in zip(held, found, strict=True)), k))
-        keep = held[2] >= -1.5
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[held[0][keep]], pa.int64()), pa.array(held[1][keep]), pa.array(held[2][keep])], ["query_id", "vec_id", "score"])
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] if k < len(ids) else -2.0
+                query, hit = np.nonzero((score > -1.5) & (score >= least))
+                best.add(query, ids[hit], score[query, hit])
+        yield best.rows(q_ids, "vec_id")
 
-    return _best(rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double"), k, "vec_id")
+    return rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def hit_rate(results: DataFrame, queries: DataFrame, threshold: float | None) -> DataFrame:

@@ -73,7 +73,7 @@ def dominant_identifiers(spark, sf_dir):
 (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(string_split_regex(trim(text), '\s+')) AS term FROM benchmark) WHERE length(term) >= 2 AND regexp_matches(term, '[A-Za-z0-9]'))""")
 def query_anchors(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.query_terms(items).withColumnRenamed("query_id", "item_id")
+    return retrieval.query_terms(items).select(F.col("query_id").alias("item_id"), "term", "weight")
 
 
 @query(r"""SELECT doc_id, line, noise FROM (SELECT doc_id, i - 1 AS line, length(s) <= 1 OR regexp_full_match(s, '-?\d{1,3}') OR (length(s) <= 32 AND regexp_full_match(s, '[\w.+-]+@[\w.-]+\.\w+')) AS noise

@@ -32,24 +32,6 @@ def decoded(data: bytes) -> str:
     return data.decode("latin-1")
 
 
-def markdown(data: bytes) -> Iterator[Part]:
-    """A part for each heading with what follows it, under the path of the headings above."""
-    path: list[tuple[int, str]] = []
-    body: list[str] = []
-
-    def part() -> Iterator[Part]:
-        if text := "\n".join(body).strip():
-            yield text, " / ".join(t for _, t in path) or None, None
-        body.clear()
-
-    for line in decoded(data).splitlines():
-        if m := re.match(r"(#{1,6})\s+(.*\S)", line):
-            yield from part()
-            path[:] = [x for x in path if x[0] < len(m[1])] + [(len(m[1]), m[2])]
-        body.append(line)
-    yield from part()
-
-
 def plain(data: bytes) -> Iterator[Part]:
     yield decoded(data), None, None
 
@@ -158,8 +140,8 @@ def pdf_literals(data: bytes) -> Iterator[Part]:
     yield " ".join(" ".join(found).split()), None, None
 
 
-#: Parsers by suffix; a file of another suffix is plain text.
-PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {"md": markdown, "csv": delimited, "html": html, "htm": html, "docx": docx, "xlsx": xlsx, "xlsm": xlsx, "pdf": pdf_literals}
+#: Parsers by suffix; a file of another suffix is plain text (Markdown is cut by markdown.markdown_sections).
+PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {"csv": delimited, "html": html, "htm": html, "docx": docx, "xlsx": xlsx, "xlsm": xlsx, "pdf": pdf_literals}
 
 
 def read_segments(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], Iterator[Part]]] = PARSERS) -> DataFrame:

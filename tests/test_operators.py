@@ -101,7 +101,7 @@ def test_graph_counts(spark):
 
 def test_chunk_ends():
     text = "x" * 70 + "。" + "x" * 29
-    assert chunking.chunk_end(text, 0, 80) == 71
+    assert list(chunking.chunk_spans(text, 80, 10))[0] == (0, 71)
     assert list(chunking.windows_of("ab", 1, 5)) == [(0, 1, "a"), (1, 2, "b")]
     assert list(chunking.windows_of("  \n ", 4, 1)) == []
 
@@ -117,8 +117,73 @@ def test_keyword_search_ties_and_nulls(spark):
     assert [tuple(r) for r in retrieval.keyword_search(chunks, queries, 1).collect()] == [(7, 1, 1.2, 1)]
 
 
+def test_keyword_search_in_several_passes(spark, monkeypatch):
+    """More queries than a block, repeated and null ids; the same result as in one pass."""
+    chunks = spark.createDataFrame([(i, f"alpha{i % 7} beta{i % 3} 新生儿医保 {i}") for i in range(60)] + [(None, "alpha1")], "chunk_id long, text string")
+    queries = spark.createDataFrame([(i, f"alpha{i % 7} 新生儿") for i in range(40)] + [(3, "beta2"), (None, "alpha1")], "query_id long, text string")
+    whole = sorted(map(tuple, retrieval.keyword_search(chunks, queries, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
+    assert sorted(map(tuple, retrieval.keyword_search(chunks, queries, 4).collect())) == whole
+    assert len(whole) == 160
+    assert retrieval.keyword_search(chunks, queries.limit(0), 4).count() == 0
+
+
+def test_keyword_search_scores_layers(spark):
+    from lodestone.functions import terms
+
+    passages = ["城乡居民参保登记（新生儿）需在出生后办理医保参保手续。", "医保基金结算政策", "事项编号：YZ0000000QR13010003", "新生儿落户", "杀人者处有期徒刑"]
+    questions = ["新生儿医保如何办理", "YZ0000000QR13010003", "落户怎么办", "杀了人判刑吗", ""]
+    chunks = spark.createDataFrame(list(enumerate(passages)), "chunk_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(questions)), "query_id long, text string")
+    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.keyword_search(chunks, queries, 9).collect()}
+    both = chunks.withColumnRenamed("text", "passage").crossJoin(queries)
+    plain = both.select("query_id", "chunk_id", terms.layered_score(F.col("passage"), terms.term_layers(F.col("text"))).alias("s")).collect()
+    assert got == {(r.query_id, r.chunk_id): round(r.s, 9) for r in plain if r.s > 0}
+    assert got[0, 0] >= 3.0
+    assert (0, 1) not in got
+    assert got[1, 2] >= 4.0
+
+
+def test_term_layers(spark):
+    from lodestone.functions import terms
+
+    layers = one(spark, terms.term_layers(F.lit("新生儿医保如何办理")))
+    assert {"新生儿医保", "新生儿", "医保"} <= set(layers.anchors)
+    assert not {"如何", "办理"} & set(layers.anchors)
+    assert layers.required == ["新生儿医保"]
+    layers = one(spark, terms.term_layers(F.lit("落户怎么办")))
+    assert layers.anchors == layers.required == ["落户"] or "落户" in layers.anchors
+    assert one(spark, terms.fallback_terms(F.lit("医"))) == ["医"]
+    assert one(spark, terms.flat_score(F.lit("医保 abc"), F.array(F.lit("医保"), F.lit("abc"), F.lit("正当")))) == 2.7
+
+
+def test_vector_search_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [0.0, 3.0]), (8, [1.0]), (None, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in retrieval.vector_search(table, F.col("vec_id") % 2 == 0, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1), (0, 7)]
+
+
+def test_markdown_sections(spark):
+    from lodestone.sources.markdown import markdown_sections
+
+    texts = ["intro\n# A\nx\n## B\ny\n# C\nz\n", "### deep\n  ## less\n###### six\n# top", "", None, "#no heading\nplain"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in markdown_sections(table).orderBy("doc_id", "seq").collect()]
+    assert got == [
+        (0, 0, "intro", 0, 5, None),
+        (0, 1, "# A\nx", 7, 12, "A"),
+        (0, 2, "## B\ny", 14, 20, "A / B"),
+        (0, 3, "# C\nz", 22, 27, "C"),
+        (1, 0, "### deep", 0, 8, "deep"),
+        (1, 1, "## less", 10, 17, "deep / less"),
+        (1, 2, "###### six", 19, 29, "deep / less / six"),
+        (1, 3, "# top", 31, 36, "top"),
+        (4, 0, "#no heading\nplain", 0, 17, None),
+    ]
+
+
 def test_files(spark, tmp_path):
-    (tmp_path / "a.md").write_text("intro\n# A\nx\n## B\ny\n# C\nz\n")
     (tmp_path / "b.txt").write_bytes("中文".encode("gb18030"))
     (tmp_path / "c.csv").write_text("a;b\n; \n1; 2\n")
     (tmp_path / "d.html").write_text("<p>one<script>no</script></p><p>two</p>")
@@ -133,7 +198,6 @@ def test_files(spark, tmp_path):
     found = {}
     for r in files.read_segments(spark, str(tmp_path)).orderBy("path", "seq").collect():
         found.setdefault(r.path[-4:], []).append((r.text, r.heading_path, r.block))
-    assert found["a.md"] == [("intro", None, None), ("# A\nx", "A", None), ("## B\ny", "A / B", None), ("# C\nz", "C", None)]
     assert found[".txt"][0][0] == "中文"
     assert found[".csv"][0][0] == "a\tb\n1\t2"
     assert [x[0] for x in found["html"]] == ["one", "two"]
@@ -168,12 +232,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(key, spark.table("usage_windows").collect())) == sorted(map(key, usage.windowed_usage(events).collect()))
 
 
-def test_overlap():
+def test_overlap(spark):
     text = "".join(chr(0x4E00 + i) for i in range(100))
-    assert merging.overlap(text, text[:72]) == 0.72
-    assert merging.overlap(text, text[:71]) < merging.OVERLAP
-    assert merging.overlap("a b", "ab") == 1.0
-    assert merging.overlap("", "x") == merging.overlap(None, None) == 0.0
+    cases = [(text, text[:72]), (text, text[:71]), ("a b", "ab"), ("", "x"), (None, None), (text[:50] + "q", text[:50] + "r"), (text + text[:20] + "q" * 10, text + text[:20] + "r" * 10)]
+    both = [merging.bare(F.lit(x).cast("string")) for pair in cases for x in pair]
+    got = spark.range(1).select(*(merging.overlap(a, b).alias(f"x{i}") for i, (a, b) in enumerate(zip(both[::2], both[1::2], strict=True)))).first()
+    assert list(got) == [0.72, 0.71, 1.0, 0.0, 0.0, 0.0, 120 / 130]
 
 
 HITS = "query_id long, kb_id int, kb_type string, uid long, score double, document_id long, content string, is_image boolean, ord int"
