@@ -83,12 +83,12 @@ def layout_noise_lines(spark, sf_dir):
     return lines.select("doc_id", big("line").alias("line"), T.layout_noise(F.col("s")).alias("noise"))
 
 
-@query("""SELECT doc_id, excerpt, greatest(n - 100, 0) AS a, b > n AS cut FROM (SELECT doc_id, n, least(n_all, 120) AS b, text[greatest(n - 100, 0) + 1 : least(n_all, 120)] AS excerpt FROM
-(SELECT doc_id, text, CAST(0 AS BIGINT) AS n, length(text) AS n_all FROM documents)) WHERE false UNION ALL
-SELECT doc_id, text[1 : least(length(text), 120)] AS excerpt, CAST(0 AS BIGINT) AS a, length(text) > 120 AS cut FROM documents""")
+@query("""SELECT doc_id, text[greatest(n - 100, 0) + 1 : least(n + 120, length(text))] AS excerpt, least(n, 100) AS a, n > 100 AS cut_before, n + 120 < length(text) AS cut_after FROM
+(SELECT doc_id, text, length(text) // 2 AS n FROM documents)""")
 def excerpts(spark, sf_dir):
-    e = T.excerpt(F.col("text"), F.lit(0), F.least(F.length("text"), F.lit(20)), 100)
-    return table(spark, sf_dir, "documents").select("doc_id", e.alias("e")).select("doc_id", "e.excerpt", big("e.from").alias("a"), F.col("e.cut_after").alias("cut"))
+    middle = F.floor(F.length("text") / 2).cast("int")
+    e = T.excerpt(F.col("text"), middle, F.least(F.length("text"), middle + 20), 100)
+    return table(spark, sf_dir, "documents").select("doc_id", e.alias("e")).select("doc_id", "e.excerpt", big("e.from").alias("a"), "e.cut_before", "e.cut_after")
 
 
 @query("""SELECT doc_id, sha256('7' || chr(0) || text) AS key, printf('doc%d-%04d-', doc_id, 3) || substring(sha256(doc_id || ':3'), 1, 12) AS uid FROM documents""")
@@ -360,10 +360,10 @@ def new_uploads(spark, sf_dir):
     return lifecycle.insert_absent(docs.filter("source = 'src0'"), docs, ["sha"], F.col("doc_id")).select("doc_id", "sha")
 
 
-@query("""SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 97 = 0) UNION ALL
-SELECT l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey) AS p FROM lineitem WHERE l_orderkey % 97 = 0) WHERE p = 1""")
+@query("""SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_tax = 0.08) UNION ALL
+SELECT l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey) AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_tax = 0.08) WHERE p = 1""")
 def upserted_balances(spark, sf_dir):
-    changes = table(spark, sf_dir, "lineitem").filter("l_orderkey % 97 = 0")
+    changes = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity = 50 AND l_tax = 0.08D")
     fresh = changes.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_extendedprice").alias("s_acctbal"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     rows = lifecycle.latest(fresh, ["s_suppkey"], F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).select("s_suppkey", "s_acctbal")
     return lifecycle.upsert(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), rows, ["s_suppkey"], F.col("s_acctbal"))

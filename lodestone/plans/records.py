@@ -33,9 +33,9 @@ def synced_keys(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(least(greatest(CASE WHEN l_returnflag = 'A' THEN 3 WHEN l_returnflag = 'R' THEN 0 ELSE CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END END, 0), 2) AS INTEGER) AS grade,
-(l_returnflag = 'R' AND l_tax > 0.05) OR least(greatest(CASE WHEN l_returnflag = 'A' THEN 3 WHEN l_returnflag = 'R' THEN 0 ELSE CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END END, 0), 2) >= 1 AS relevant FROM lineitem WHERE l_orderkey % 10 = 0""")
+(l_returnflag = 'R' AND l_tax > 0.05) OR least(greatest(CASE WHEN l_returnflag = 'A' THEN 3 WHEN l_returnflag = 'R' THEN 0 ELSE CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END END, 0), 2) >= 1 AS relevant FROM lineitem""")
 def graded_candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0")
+    rows = table(spark, sf_dir, "lineitem")
     keyed = rows.withColumn("query_id", F.col("l_orderkey")).withColumn("index", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"))
     candidates = keyed.select("query_id", "index", F.col("l_discount").alias("score"))
     given = keyed.filter("l_returnflag IN ('A', 'R')").select("query_id", "index", F.when(F.col("l_returnflag") == "A", 3).otherwise(0).alias("grade"), ((F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.05)).alias("relevant"))
@@ -94,20 +94,32 @@ def document_page(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, c_custkey, tier FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY tier, c_custkey) AS p FROM
-(SELECT o_orderkey, c_custkey, 0 AS tier FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0 AND c_custkey % 2 = 0 UNION ALL
-SELECT o_orderkey, c_custkey, 1 FROM orders JOIN customer ON o_custkey + 1 = c_custkey WHERE o_orderkey % 3 = 0 AND c_custkey % 2 = 0)) WHERE p = 1""")
+(SELECT o_orderkey, c_custkey, 0 AS tier FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 UNION ALL
+SELECT o_orderkey, c_custkey, 1 FROM orders JOIN customer ON o_custkey + 1 = c_custkey WHERE c_acctbal > 0)) WHERE p = 1""")
 def first_matches(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b"))
-    names = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select("c_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b"))
+    names = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey")
     return records.first_match(orders, names, [("a", "c_custkey"), ("b", "c_custkey")], "o_orderkey", F.col("c_custkey")).select("o_orderkey", "c_custkey", "tier")
 
 
 def _hits(spark, sf_dir):
+    """The benchmark's hits among the documents of sources (collections), where long texts stand for those of images."""
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.keyword_search(chunks, items, 40).join(docs.select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("content")), "chunk_id")
-    return found.select("query_id", F.hash("source").alias("kb_id"), F.when(F.col("source") == "src0", "graph").otherwise("classic").alias("kb_type"), F.col("chunk_id").alias("uid"), "score", F.lit(1).alias("document_id"), "content", F.lit(False).alias("is_image"), F.col("rank").alias("ord"))
+    about = docs.select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("content"), "n_chars")
+    found = retrieval.keyword_search(chunks, items, 40).join(about, "chunk_id")
+    return found.select(
+        "query_id",
+        F.hash("source").alias("kb_id"),
+        F.when(F.col("source") == "src0", "graph").otherwise("classic").alias("kb_type"),
+        F.col("chunk_id").alias("uid"),
+        "score",
+        F.hash("source").cast("long").alias("document_id"),
+        "content",
+        (F.col("n_chars") > 5000).alias("is_image"),
+        F.col("rank").alias("ord"),
+    )
 
 
 @query()

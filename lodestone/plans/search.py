@@ -38,9 +38,9 @@ def prefixed_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.with_prefix(F.col("text"), F.col("source")).alias("body"))
 
 
-@query(r"""SELECT page_id, CASE WHEN s = '' THEN ' ' ELSE s END AS prepared FROM (SELECT page_id, regexp_replace(html, '^\s+|\s+$', '', 'g')[1:500] AS s FROM pages)""")
+@query(r"""SELECT page_id, CASE WHEN s = '' THEN ' ' ELSE s END AS prepared FROM (SELECT page_id, regexp_replace(html, '^\s+|\s+$', '', 'g')[1:8192] AS s FROM pages)""")
 def embedding_texts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", S.prepared_for_embedding(F.col("html"), 500).alias("prepared"))
+    return table(spark, sf_dir, "pages").select("page_id", S.prepared_for_embedding(F.col("html")).alias("prepared"))
 
 
 @query("""SELECT c_custkey, c_name[1:12] || '__deleted' AS name FROM customer""")
@@ -48,12 +48,12 @@ def deleted_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", S.suffixed_name(F.col("c_name"), "__deleted", 21).alias("name"))
 
 
-@query("""SELECT d.doc_id, c.doc_id IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT DISTINCT text, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 0 AND n_chars > 500 GROUP BY text) c USING (text)""")
+@query("""SELECT d.doc_id, c.doc_id IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT DISTINCT text, min(doc_id) AS doc_id FROM documents WHERE lang = 'en' AND n_chars > 500 GROUP BY text) c USING (text)""")
 def cache_hits(spark, sf_dir):
     from ..functions.text import cache_key
 
     docs = table(spark, sf_dir, "documents").withColumn("key", cache_key(F.lit(1), F.col("text")))
-    cache = docs.filter("doc_id % 3 = 0").select("key", F.lit(10).alias("expires_at"), F.when(F.col("n_chars") > 500, 64).otherwise(32).alias("width"))
+    cache = docs.filter("lang = 'en'").select("key", F.lit(10).alias("expires_at"), F.when(F.col("n_chars") > 500, 64).otherwise(32).alias("width"))
     return lifecycle.cache_lookup(docs.select("doc_id", "key"), cache, F.lit(5), F.lit(64)).select("doc_id", "hit")
 
 
@@ -75,14 +75,16 @@ def paired_rates(spark, sf_dir):
     return both.select("q", F.round("b", 4).alias("baseline"), F.round("a", 4).alias("agentic"), F.round(F.col("a") - F.col("b"), 4).alias("gain"), "n")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity = floor(l_quantity) AND length(l_returnflag) > 0 AS header FROM lineitem WHERE l_orderkey % 20 = 0""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity = floor(l_quantity) AND length(l_returnflag) > 0 AS header FROM lineitem""")
 def header_rows(spark, sf_dir):
     cells = F.array(F.col("l_returnflag"), F.col("l_linestatus"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", S.plausible_header(cells).alias("header"))
 
 
-@query()
+@query("""SELECT query_id, vec_id, source, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM
+(SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0))
+JOIN documents ON doc_id = vec_id WHERE rank <= 10 AND lang = 'en'""")
 def vector_then_join(spark, sf_dir):
     """Filters come after the top k, so fewer than k rows may be left."""
     found = retrieval.vector_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
