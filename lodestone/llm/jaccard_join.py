@@ -3,14 +3,21 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Sets are dealt into size bands so that sets
 that link lie in the same or in neighbouring bands; for bands j-1 and j, sets that link differ in at most
 k = (u[j-1] + u[j]) * (q - p) / (q + p) features (threshold p/q, u the upper ends). The feature domain is cut into
-partitions of two cells, SPARE * (k + 1) cells in all, and the subsets of one cell are enumerated: with its number, a
-cell's content is a signature. k differences spoil k cells at most, so all but k of the two sets' signatures are equal;
+partitions of two cells, SPARE * (k + 1) cells in all, and the subsets of one cell are enumerated (n1 = 1 partition at
+a time, n2 = 1 of its cells; larger subsets would be rarer but far more than the k + 1 signatures that one cell each
+needs): with its number, a cell's content is a signature. k differences spoil k cells at most, so all but k of the two
+sets' signatures are equal;
 then the first k + 1 of them in one common order (cells with the most features first, ties by hash) hold an equal one,
 and only these are kept. Cells of few features, which unlike sets share by chance, are thereby left out.
 
-Sets that share signatures form candidate clusters; every pair within a cluster is verified exactly, block against
-block of bounded size, and blocks give back only a spanning forest of their links. No link between different sets is
-lost, no bucket is capped, and no pairs are emitted.
+Of the sets that share a signature any two may link. In HUB_ROUNDS rounds each set is verified against one hub, the
+first set (in an order of the round's own) of those signatures that it shares with it most often; links contract. Only
+signatures whose sets are then still in different components remain. Their sets form clusters, in which the stragglers,
+the sets outside the cluster's largest component, are compared with all of the cluster, so that near copies of one text
+cost a comparison or two each, not one for each pair. Comparisons are dealt into cells of bounded size in features,
+which give back only a spanning forest of their links. No link between different sets is lost, no bucket is capped, and
+no pairs are emitted. Where many sets are alike but link with none, as pages of one template, the stragglers are many,
+and the work is quadratic in such a cluster.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer words than the width has
 one shingle, the whole sequence; rows that repeat a doc_id are one document for the purpose of links; a null doc_id
@@ -33,8 +40,9 @@ from .vectext import ASCII_SPACE, SPACE_CUT, char_table, joined, lower_ascii, mi
 SLICE_CHARS = 1 << 20
 #: Cells for each signature that is kept.
 SPARE = 1.3
-#: Members of a verification block.
-BLOCK = 384
+#: Rounds of comparisons with hubs, and features of each side of a cell in expectation.
+HUB_ROUNDS = 2
+CELL = 1 << 20
 #: Largest number of ids that is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -164,15 +172,19 @@ def set_table(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_id long, sigs array<long>")
 
 
-def candidate_edges(sets: DataFrame, folder: str) -> DataFrame:
-    """a, b: from the first set of each signature to its other sets. Signatures are dealt by ranges of (signature, set),
-    so that a frequent one spreads over partitions; the first sets of the partitions' outer runs are joined afterwards."""
+def signature_rows(sets: DataFrame) -> DataFrame:
+    return sets.filter("n > 0 AND doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), F.col("set_id").alias("node"))
+
+
+def signature_stars(rows: DataFrame, step: int, folder: str) -> DataFrame:
+    """sig, a, b: from a hub of each signature to its other sets. Signatures are dealt by ranges of (signature, order of
+    sets), so that a frequent one spreads over partitions; the hubs of the partitions' outer runs are joined afterwards."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # signature and first set of the run at hand
+        last: tuple[int, int] | None = None  # signature and hub of the run at hand
         out = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            sig, node = (batch.column(c).to_numpy() for c in ("sig", "set_id"))
+            sig, node = (batch.column(c).to_numpy() for c in ("sig", "node"))
             if not len(sig):
                 continue
             if last is None:
@@ -188,109 +200,199 @@ def candidate_edges(sets: DataFrame, folder: str) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last[0], last[1], last[1])], schema=out)
 
-    many = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.filter("n > 0 AND doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), "set_id")
-    dealt = rows.repartitionByRange(many, "sig", "set_id").sortWithinPartitions("sig", "set_id")
-    found = stored(dealt.mapInArrow(stars, "sig long, a long, b long"), folder, "stars")
-    ends = found.filter("a = b")  # two for each partition
-    joins = ends.groupBy("sig").agg(F.min("a").alias("first")).join(ends.select("sig", "b"), "sig").select(F.col("first").alias("a"), "b")
-    return found.select("a", "b").union(joins).filter("a <> b")
-
-
-def links_in_block(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between the two sides, or among all where there is one side."""
-    sizes = np.array([len(x) for x in sets])
-    _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)
-    back = back.ravel()
-    keep = shared[back]
-    row, column = row[keep], column[back[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    inter = np.zeros((len(sets), len(sets)), np.float32)
-    step = 4096
-    for at in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(column, [at, at + step])
-        x = np.zeros((len(sets), step), np.float32)
-        x[row[a:b], column[a:b] - at] = 1
-        inter += x @ x.T
-    common = inter.astype(np.int64)
-    link = q * common >= p * (sizes[:, None] + sizes[None, :] - common)
-    if side.any() and not side.all():
-        link &= side[:, None] != side[None, :]
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.withColumn("o", F.col("node") if step == 0 else F.xxhash64("node", F.lit(step)))
+    dealt = ordered.repartitionByRange(many, "sig", "o").sortWithinPartitions("sig", "o").select("sig", "node")
+    found = stored(dealt.mapInArrow(stars, "sig long, a long, b long"), folder, f"runs-{step}")
+    ends = found.filter("a = b").select("sig", "a")  # two for each partition
+    joins = ends.groupBy("sig").agg(F.min("a").alias("first")).join(ends, "sig").select("sig", F.col("first").alias("a"), F.col("a").alias("b"))
+    return found.union(joins).filter("a <> b")
+
+
+def forest(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of a symmetric matrix of links."""
+    label = np.arange(len(ids))
     np.fill_diagonal(link, True)
-    label = np.arange(len(sets))
     while True:
-        low = np.where(link, label[None, :], len(sets)).min(1)
+        low = np.where(link, label[None, :], len(ids)).min(1)
         low = low[low]
         if (low == label).all():
             break
         label = low
-    tied = np.flatnonzero(label != np.arange(len(sets)))
+    tied = np.flatnonzero(label != np.arange(len(ids)))
     return ids[tied], ids[label[tied]]
 
 
-def verified_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, width: int, p: int, q: int, folder: str) -> DataFrame:
-    """a, b: links that span each cluster's components. clusters: node, label; classes: set_id, doc_id (its least)."""
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("m"))
-    members = clusters.join(sizes, "label").join(classes, clusters["node"] == classes["set_id"]).select("set_id", "label", "m", "doc_id")
-    members = stored(members, folder, "members")
-    ids = members.select("doc_id").distinct()
-    if members.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def links_between(left: list[np.ndarray], right: list[np.ndarray], p: int, q: int) -> np.ndarray:
+    """Which sets of one side link with which of the other; blocks of the right side keep the tables small."""
+    domain = np.unique(np.concatenate(left))
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    place = np.searchsorted(domain, np.concatenate(left))
+    row = np.repeat(np.arange(len(left)), sizes[0])
+    common = np.zeros((len(left), len(right)), np.int32)
+    values = np.concatenate(right)
+    at = np.minimum(np.searchsorted(domain, values), len(domain) - 1)
+    hit = domain[at] == values
+    column, at = np.repeat(np.arange(len(right)), sizes[1])[hit], at[hit]
+    if len(left) == 1:
+        common[0] = np.bincount(column, minlength=len(right))
+    else:
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        order = np.argsort(at, kind="stable")
+        column, at = column[order], at[order]
+        for low in range(0, len(domain), 2048):
+            a, b = np.searchsorted(place, [low, low + 2048])
+            c, d = np.searchsorted(at, [low, low + 2048])
+            if a < b and c < d:
+                x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+                x[row[a:b], place[a:b] - low] = 1
+                y[column[c:d], at[c:d] - low] = 1
+                common += (x @ y.T).astype(np.int32)
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    return q * common.astype(np.int64) >= p * union
+
+
+class _Cell:
+    """One cell at work: the sets of its first side are held, those of the second come by and are compared in portions."""
+
+    def __init__(self, p: int, q: int):
+        self.p, self.q = p, q
+        self.first: list[tuple[int, int, np.ndarray]] = []  # node, label, features
+        self.second: list[tuple[int, int, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, side: int, node: int, label: int, features: bytes) -> bool:
+        """True if a portion is full."""
+        (self.second if side else self.first).append((node, label, np.frombuffer(features, np.uint64)))
+        self.held += len(features) // 8 if side else 0
+        return self.held >= CELL or len(self.second) >= 4096
+
+    def flush(self) -> pa.RecordBatch:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for at in range(0, len(self.first) if self.second else 0, 512):
+            first = self.first[at : at + 512]
+            link = links_between([x[2] for x in first], [x[2] for x in self.second], self.p, self.q)
+            link &= np.array([x[1] for x in first])[:, None] != np.array([x[1] for x in self.second])[None, :]
+            some = np.flatnonzero(link.any(0))
+            ids, others = (np.array([x[0] for x in side], np.int64) for side in (first, self.second))
+            for low in range(0, len(some), 2048):
+                portion = some[low : low + 2048]
+                if len(first) == 1:
+                    pairs = others[portion], np.repeat(ids, len(portion))
+                else:
+                    both = np.zeros((len(first) + len(portion),) * 2, bool)
+                    both[: len(first), len(first) :] = link[:, portion]
+                    pairs = forest(np.append(ids, others[portion]), both | both.T)
+                found = [np.append(x, y) for x, y in zip(found, pairs, strict=True)]
+        self.second, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+
+def set_features(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """set_id, features of the documents `ids` (doc_id)."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_CHARS):
                 values, counts = shingle_sets(part.column("text").to_pylist(), width)
                 data, cut = values.tobytes(), (8 * np.append(0, np.cumsum(counts))).tolist()
-                yield pa.RecordBatch.from_arrays([_signed(set_ids(values, counts)), pa.array([data[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["set_id", "features"])
+                cells = pa.array([data[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([_signed(set_ids(values, counts)), cells], ["set_id", "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(sets_of, "set_id long, features binary").dropDuplicates(["set_id"])
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    rows = members.join(sets, "set_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "set_id", "features")
+    return texts.select("text").mapInArrow(run, "set_id long, features binary").dropDuplicates(["set_id"])
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, p: int, q: int, folder: str, name: str) -> DataFrame:
+    """a, b: links that span, within each group, those between sets for which `first` holds and all others of another
+    label. groups: grp, node, label, first; classes: set_id, doc_id (its least), n."""
+    rows = groups.join(classes.withColumnRenamed("set_id", "node"), "node")
+    rows = stored(rows, folder, f"members-{name}")
+    size = rows.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("first"), F.col("n"))) / CELL).cast("int").alias("j"), F.ceil(F.sum("n") / CELL).cast("int").alias("g"))
+    size = stored(size.filter("j > 0"), folder, f"cells-{name}")
+    ids = rows.select("doc_id").distinct()
+    if rows.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    features = set_features(docs, ids, width)
+    if size.count() <= BROADCAST_IDS:
+        size = F.broadcast(size)
+    placed = rows.join(size, "grp").withColumn("own", F.xxhash64("node"))
+    cell = lambda many, salt: F.pmod(F.xxhash64("own", F.lit(salt)), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    first = placed.filter("first").select("grp", cell("j", 1).alias("cj"), every("g").alias("cg"), F.lit(0).alias("side"), "node", "label")
+    second = placed.select("grp", every("j").alias("cj"), cell("g", 2).alias("cg"), F.lit(1).alias("side"), "node", "label")
+    dealt = first.union(second).join(features.withColumnRenamed("set_id", "node"), "node")
+    dealt = dealt.repartition("grp", "cj", "cg").sortWithinPartitions("grp", "cj", "cg", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            ids, features = np.array([x[1] for x in held], np.int64), [np.frombuffer(x[2], np.uint64) for x in held]
-            a, b = links_in_block(ids, np.array([x[0] for x in held]) == key[2], features, p, q)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        key, held = None, []
+        key, work = None, _Cell(p, q)
         for batch in batches:
-            for label, lo, hi, own_, set_id, features in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (label, lo, hi):
-                    if len(held) > 1:
-                        yield flush()
-                    key, held = (label, lo, hi), []
-                held.append((own_, set_id, features))
-        if len(held) > 1:
-            yield flush()
-
-    dealt = rows.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long")
+            for grp, cj, cg, side, node, label, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (grp, cj, cg):
+                    yield work.flush()
+                    key, work = (grp, cj, cg), _Cell(p, q)
+                if work.add(side, node, label, data):
+                    yield work.flush()
+        yield work.flush()
+
+    return stored(dealt.select("grp", "cj", "cg", "side", "node", "label", "features").mapInArrow(run, "a long, b long"), folder, f"links-{name}")
+
+
+def _labelled(rows: DataFrame, node: str, labels: DataFrame | None, name: str) -> DataFrame:
+    """rows with the label of `node` as `name`; a node without links is its own label."""
+    if labels is None:
+        return rows.withColumn(name, F.col(node))
+    return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def all_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, width: int, p: int, q: int, folder: str) -> DataFrame:
+    """a, b: links that span all components of the different sets."""
+    spark = docs.sparkSession
+    rows, links, labels, stars = signature_rows(sets), None, None, None
+    for step in range(HUB_ROUNDS):
+        stars = signature_stars(rows, step, folder)
+        pairs = stars.groupBy("a", "b").agg(F.count("*").alias("shared"))
+        if labels is not None:
+            pairs = _labelled(_labelled(pairs, "a", labels, "la"), "b", labels, "lb").filter("la <> lb")
+        hubs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+        hubs = stored(hubs, folder, f"hubs-{step}")
+        node = hubs.select(F.col("a").alias("grp"), F.col("b").alias("node"), F.lit(False).alias("first"))
+        hub = hubs.select(F.col("a").alias("grp")).distinct().select("grp", F.col("grp").alias("node"), F.lit(True).alias("first"))
+        groups = _labelled(node.union(hub), "node", labels, "label")
+        found = verified_links(docs, groups, classes, width, p, q, folder, f"hubs-{step}")
+        links = found if links is None else links.union(found)
+        labels = connected_components(links, folder, f"joined-{step}")
+        open_ = _labelled(_labelled(stars, "a", labels, "la"), "b", labels, "lb").filter("la <> lb").select("sig").distinct()
+        rows = stored(rows.join(open_, "sig", "left_semi"), folder, f"open-{step}")
+        discard(spark, folder, f"runs-{step}", f"members-hubs-{step}", f"cells-hubs-{step}", f"hubs-{step}")
+        if rows.isEmpty():
+            return links
+    clusters = connected_components(signature_stars(rows, HUB_ROUNDS, folder).select("a", "b"), folder, "clusters")
+    members = _labelled(clusters.select(F.col("label").alias("grp"), "node"), "node", labels, "label")
+    parts_ = members.groupBy("grp", "label").agg(F.count("*").alias("m"))
+    largest = parts_.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    if largest.count() <= BROADCAST_IDS:
+        largest = F.broadcast(largest)
+    groups = members.join(largest, "grp").select("grp", "node", "label", (F.col("label") != F.col("largest")).alias("first"))
+    found = verified_links(docs, groups, classes, width, p, q, folder, "stragglers")
+    discard(spark, folder, f"runs-{HUB_ROUNDS}", *(f"open-{step}" for step in range(HUB_ROUNDS)), "members-stragglers", "cells-stragglers")
+    return links.union(found)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, where q * intersection >= p * union links two documents."""
     folder = work_dir(docs.sparkSession, "jaccard")
     sets = stored(set_table(docs, width, p, q), folder, "sets")
-    clusters = connected_components(candidate_edges(sets, folder), folder, "clusters")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    found = verified_edges(docs, clusters, classes, width, p, q, folder)
+    classes = stored(known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), folder, "classes")
+    found = all_links(docs, sets, classes, width, p, q, folder)
     same = known.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a <> b")
     extra = same.select("a", "doc_id").join(known.select("doc_id", F.col("set_id").alias("b")), "doc_id").select("a", "b")
     labels = connected_components(found.union(extra), folder, "links")
     named = classes.join(labels, classes["set_id"] == labels["node"], "left").select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = stored(named.join(least, "label").select("set_id", "component_id"), folder, "components")
-    discard(docs.sparkSession, folder, "stars", "members")
     rows = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     return rows.join(of_set, "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")

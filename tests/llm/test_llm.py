@@ -526,14 +526,15 @@ def test_jaccard(docs, empty, width, p):
     assert jaccard_join.jaccard_components(empty, width, p, 100).count() == 0
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+@pytest.mark.parametrize("cell", [200, 1 << 20])
+def test_jaccard_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
     r = random.Random(9)
     base = [f"w{r.randrange(10**6)}" for _ in range(80)]
     rows = []
     for i in range(60):
         words = list(base)
-        for _ in range(r.randrange(4)):
+        for _ in range(r.randrange(5)):
             words[r.randrange(80)] = f"n{r.randrange(10**6)}"
         rows.append((i, " ".join(words)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
@@ -541,6 +542,15 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_links_between_sides():
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 1 << 60, 6000).astype(np.uint64))
+    sets = [np.sort(r.choice(base, r.integers(1, 3000), False)) for _ in range(12)] + [base, base[:-300], base[200:]]
+    for left in (sets[:1], sets[12:13], sets[:7], sets):
+        want = [[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in left]
+        assert jaccard_join.links_between(left, sets, 80, 100).tolist() == want
+
+
 def test_signatures_lose_no_link():
     """Sets at the very threshold share a signature, at all sizes."""
     r = np.random.default_rng(4)
