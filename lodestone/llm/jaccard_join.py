@@ -203,7 +203,7 @@ def signature_stars(rows: DataFrame, step: int, folder: str) -> DataFrame:
     many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.withColumn("o", F.col("node") if step == 0 else F.xxhash64("node", F.lit(step)))
     dealt = ordered.repartitionByRange(many, "sig", "o").sortWithinPartitions("sig", "o").select("sig", "node")
-    found = stored(dealt.mapInArrow(stars, "sig long, a long, b long"), folder, f"runs-{step}")
+    found = stored(dealt.mapInArrow(stars, "sig long, a long, b long"), folder, f"runs-{step}", batch_rows=None)
     ends = found.filter("a = b").select("sig", "a")  # two for each partition
     joins = ends.groupBy("sig").agg(F.min("a").alias("first")).join(ends, "sig").select("sig", F.col("first").alias("a"), F.col("a").alias("b"))
     return found.union(joins).filter("a <> b")

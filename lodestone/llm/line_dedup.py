@@ -174,7 +174,7 @@ def _earliest_partners(rows: DataFrame, folder: str) -> DataFrame:
 
     many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(many, "key", "d", "t", "line").sortWithinPartitions("key", "d", "t", "line")
-    found = stored(dealt.mapInArrow(run, "key long, h long, earlier long, d long, t long, line int"), folder, "partners")
+    found = stored(dealt.mapInArrow(run, "key long, h long, earlier long, d long, t long, line int"), folder, "partners", batch_rows=None)
     # a partition's first line against the firsts of the key's runs in other partitions; the verification tells the order
     begins = found.filter("h = earlier").select("key", "h")
     runs = found.filter("h IS NULL").select("key", "earlier")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored, work_dir
 from .vectext import gather, joined, parts, slices, span_hashes
 
 BLANK = 0x2581
@@ -239,7 +240,7 @@ def piece_codec(path: str) -> PieceCodec:
 
 
 def encode_decode_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; no shuffle."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, as a stored table; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = piece_codec(model_path)
@@ -250,7 +251,8 @@ def encode_decode_digests(docs: DataFrame, model_path: str) -> DataFrame:
         codec.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return stored(found, work_dir(docs.sparkSession, "pieces"), "digests")
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:

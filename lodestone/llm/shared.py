@@ -18,10 +18,24 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes the frame once and returns the table that was written, which cuts its lineage."""
+#: Rows of texts that go to a Python worker at once while a table is written; the setting of the session would let
+#: batches take tens of megabytes on both sides.
+TEXT_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(frame: DataFrame, folder: str, name: str, batch_rows: int | None = TEXT_ROWS) -> DataFrame:
+    """Writes the frame once and returns the table that was written, which cuts its lineage. batch_rows: most rows of an
+    Arrow batch meanwhile; None leaves the session's setting (for narrow rows)."""
     path = f"{folder}/{name}"
-    frame.write.parquet(path)
+    conf = frame.sparkSession.conf
+    before = conf.get(_ROWS)
+    if batch_rows and not 0 < int(before) <= batch_rows:
+        conf.set(_ROWS, str(batch_rows))
+    try:
+        frame.write.parquet(path)
+    finally:
+        conf.set(_ROWS, before)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored, work_dir
 from .vectext import SPACE_CUT, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
 
 BITS = 20
@@ -153,4 +154,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    found = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return stored(found, work_dir(docs.sparkSession, "toxicity"), "scores")
