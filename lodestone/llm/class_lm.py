@@ -2,8 +2,9 @@
 
 Words are counted over the whole training part. Exchange clustering then assigns words to classes: in every round the
 neighbours' classes of each unit are counted over all training text, and each unit of the round's half moves to the
-class that raises the likelihood of the class bigrams most. A unit is one of the UNITS most frequent words, or all
-rarer words with one ending (their own neighbours are too few to place them singly). A text's probability is the
+class that raises the likelihood of the class bigrams most, until few move. A unit is a word that occurs LEAST times or
+more, or all other words with one ending (their own neighbours are too few to place them singly); words that aren't
+among the HOT most frequent are also placed by their endings. A text's probability is the
 product of class transitions, given the two classes before and smoothed by Witten-Bell interpolation down to single
 classes, and of word emissions with absolute discounting; the discount of all classes is the share of unknown words.
 
@@ -24,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, work_dir
+from .shared import discard, stored, work_dir
 from .vectext import ASCII_SPACE, SPACE_CUT, char_table, joined, lower_ascii, mix64, parts, slices, span_hashes, word_spans
 
-CLASSES, ROUNDS = 64, 6
-UNITS, ENDINGS = 20_000, 4096
+CLASSES = 64
+#: Half-rounds of exchange at most; they end when two in a row move less than the share SETTLED of the units.
+ROUNDS, SETTLED = 8, 0.01
+#: Occurrences that make a word a unit of its own, and units of all other words.
+LEAST, ENDINGS = 5, 4096
+#: Rows of a count table that a task keeps as a matrix; it keeps others as pairs.
+DENSE = 1 << 14
 #: Words whose counts go to every task; the counts of the others are joined.
 HOT = 1_000_000
 SLICE_CHARS = 1 << 20
@@ -80,13 +86,18 @@ def word_counts(docs: DataFrame, folder: str) -> DataFrame:
 
 
 class Hot(NamedTuple):
-    """The most frequent words in order of hash: their counts, the unit of each, and the endings of the first UNITS."""
+    """The most frequent words in order of hash: their counts, the unit of each, and the endings of those that are units
+    of their own, which come before the units of endings, the most frequent first."""
 
     w: np.ndarray
     c: np.ndarray
     unit: np.ndarray
     frequent: np.ndarray
 
+    @property
+    def own(self) -> int:
+        return len(self.frequent)
+
 
 def hot_words(counts: DataFrame) -> Hot:
     """Words of the highest counts, HOT at most: the least count is read off a histogram of counts, so that no task
@@ -102,9 +113,10 @@ def hot_words(counts: DataFrame) -> Hot:
     w, c, ending = (rows.column(x).to_numpy() for x in ("w", "c", "ending"))
     order = np.lexsort((w, -c))
     w, c, ending = w[order], c[order], ending[order]
-    unit = np.where(np.arange(len(w)) < UNITS, np.arange(len(w)), UNITS + ending).astype(np.int32)
+    own = int((c >= LEAST).sum())
+    unit = np.where(np.arange(len(w)) < own, np.arange(len(w)), own + ending).astype(np.int32)
     order = np.argsort(w)
-    return Hot(w[order], c[order], unit[order], ending[:UNITS])
+    return Hot(w[order], c[order], unit[order], ending[:own])
 
 
 def index_tokens(docs: DataFrame, hot: Hot, folder: str) -> DataFrame:
@@ -131,7 +143,7 @@ def index_tokens(docs: DataFrame, hot: Hot, folder: str) -> DataFrame:
     return stored(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, ids binary, cold binary"), folder, "tokens")
 
 
-def _sequences(column: pa.Array, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _sequences(column: pa.Array, unit: np.ndarray, own: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """ids, units and first-token flags of groups of texts, about a million tokens at a time."""
     group: list[np.ndarray] = []
     size = 0
@@ -142,7 +154,7 @@ def _sequences(column: pa.Array, unit: np.ndarray) -> Iterator[tuple[np.ndarray,
             ids = np.concatenate(group)
             first = np.zeros(len(ids), bool)
             first[np.cumsum([0, *map(len, group[:-1])])] = True
-            yield ids, np.where(ids >= 0, unit[np.maximum(ids, 0)] if len(unit) else 0, UNITS - 1 - ids), first
+            yield ids, np.where(ids >= 0, unit[np.maximum(ids, 0)] if len(unit) else 0, own - 1 - ids), first
             group, size = [], 0
 
 
@@ -155,49 +167,74 @@ def _contexts(of_class: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return one, two
 
 
-def _summed(index: DataFrame, unit: np.ndarray, classes: np.ndarray, count, folder: str, name: str) -> DataFrame:
-    """key, counts (int64): what `count(units, classes, first) -> matrix` gives, summed over the training texts."""
-    shared = index.sparkSession.sparkContext.broadcast((unit, classes))
+def _summed(index: DataFrame, hot: Hot, classes: np.ndarray, events, rows: int, width: int, folder: str, name: str) -> DataFrame:
+    """key, counts (int64): how often `events(units, classes, first)`, which gives rows and places in them, names each
+    place of each row, over the training texts. A task keeps frequent rows as a matrix and others as pairs."""
+    shared = index.sparkSession.sparkContext.broadcast((hot.unit, hot.own, classes))
+    dense = min(rows, DENSE)
+
+    def packed(keys: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["key", "counts"])
+
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Rows as (place, count) pairs; a marker byte tells them from whole rows."""
+        keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        both = np.column_stack([keys % width, np.bincount(back.ravel(), np.concatenate([n for _, n in found]))]).astype(np.int32)
+        row, first = np.unique(keys // width, return_index=True)
+        data, cut = both.tobytes(), (8 * np.append(first, len(keys))).tolist()
+        for at in range(0, len(row), 4096):
+            yield packed(row[at : at + 4096], [b"p" + data[a:b] for a, b in zip(cut[at:], cut[at + 1 : at + 4097], strict=False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, classes = shared.value
-        total = None
+        unit, own, classes = shared.value
+        total, rest, held = np.zeros(dense * width, np.int32), [], 0
         for batch in batches:
-            for _, units, first in _sequences(batch.column(0), unit):
-                found = count(units, classes[units].astype(np.int64), first)
-                total = found if total is None else total + found
-        if total is not None:
-            some = np.flatnonzero(total.any(1))
-            for at in range(0, len(some), 2048):
-                keys = some[at : at + 2048]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["key", "counts"])
+            for _, units, first in _sequences(batch.column(0), unit, own):
+                row, place = events(units, classes[units].astype(np.int64), first)
+                key = row.astype(np.int64) * width + place
+                low = key < dense * width
+                total += np.bincount(key[low], minlength=dense * width).astype(np.int32)
+                if not low.all():
+                    rest.append(np.unique(key[~low], return_counts=True))
+                    held += len(rest[-1][0])
+                if held > 1 << 21:
+                    yield from pairs(rest)
+                    rest, held = [], 0
+        if rest:
+            yield from pairs(rest)
+        matrix = total.reshape(dense, width)
+        some = np.flatnonzero(matrix.any(1))
+        for at in range(0, len(some), 2048):
+            yield packed(some[at : at + 2048], [b"w" + matrix[k].tobytes() for k in some[at : at + 2048]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.frombuffer(data, np.int32)
-                total[key] = total[key] + row if key in total else row.astype(np.int64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["key", "counts"])
+                row = total.setdefault(key, np.zeros(width, np.int64))
+                found = np.frombuffer(data, np.int32, offset=1)
+                if data[:1] == b"w":
+                    row += found
+                else:
+                    row[found[::2]] += found[1::2]  # a place is named once
+        keys = list(total)
+        for at in range(0, len(keys), 4096):
+            yield packed(np.array(keys[at : at + 4096]), [total[k].tobytes() for k in keys[at : at + 4096]])
 
     partial = index.filter("NOT held_out").select("ids").mapInArrow(run, "key long, counts binary")
     return stored(partial.repartition("key").mapInArrow(add, "key long, counts binary"), folder, name)
 
 
-def _profile(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per unit, counts of the class before (with the start) and of the class after."""
-    rows = UNITS + ENDINGS
+def _profile(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit, the class before (or the start), and after these the class after."""
     one, _ = _contexts(classes, first)
-    left = np.bincount(units * _WIDE + one, minlength=rows * _WIDE).reshape(rows, _WIDE)
     follow = np.flatnonzero(~first)
-    right = np.bincount(units[follow - 1] * CLASSES + classes[follow], minlength=rows * CLASSES).reshape(rows, CLASSES)
-    return np.concatenate([left, right], 1).astype(np.int32)
+    return np.concatenate([units, units[follow - 1]]), np.concatenate([one, _WIDE + classes[follow]])
 
 
-def _trigrams(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _trigrams(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     one, two = _contexts(classes, first)
-    return np.bincount((two * _WIDE + one) * CLASSES + classes, minlength=_WIDE * _WIDE * CLASSES).reshape(-1, CLASSES).astype(np.int32)
+    return two * _WIDE + one, classes
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -221,18 +258,19 @@ def best_class(left: np.ndarray, right: np.ndarray, own: int, pair: np.ndarray)
 
 
 def exchange(index: DataFrame, hot: Hot, classes: np.ndarray, folder: str, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit after `rounds` rounds; each round half of the units may move."""
+    """The class of each unit after `rounds` rounds at most; each round half of the units may move."""
     context = index.sparkSession.sparkContext
+    still = 0
     for step in range(rounds):
-        rows = _summed(index, hot.unit, classes, _profile, folder, f"profile-{step}")
+        rows = _summed(index, hot, classes, _profile, len(classes), _WIDE + CLASSES, folder, f"profile-{step}")
         pair = np.zeros((_WIDE, CLASSES), np.int64)
         by_class = context.broadcast(classes)
 
         def pairs(batches: Iterator[pa.RecordBatch], by_class=by_class) -> Iterator[pa.RecordBatch]:
             total = np.zeros((CLASSES, _WIDE), np.int64)
             for batch in batches:
-                for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    total[by_class.value[key]] += np.frombuffer(data, np.int64)[:_WIDE]
+                rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, _WIDE + CLASSES)
+                np.add.at(total, by_class.value[batch.column(0).to_numpy()], rows[:, :_WIDE])
             k, c = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k), pa.array(total[k, c])], ["c", "k", "n"])
 
@@ -252,8 +290,12 @@ def exchange(index: DataFrame, hot: Hot, classes: np.ndarray, folder: str, round
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in moved], pa.int64()), pa.array([x[1] for x in moved], pa.int64())], ["key", "to"])
 
         moves = rows.mapInArrow(move, "key long, to long").toArrow()  # at most a row for each unit
-        classes = classes.copy()
+        before, classes = classes, classes.copy()
         classes[moves.column("key").to_numpy()] = moves.column("to").to_numpy()
+        discard(index.sparkSession, folder, f"profile-{step}")
+        still = still + 1 if (before != classes).sum() < SETTLED * max(moves.num_rows, 1) else 0
+        if still == 2:
+            break
     return classes
 
 
@@ -278,12 +320,11 @@ def smoothed(trigrams: np.ndarray) -> np.ndarray:
 
 def train(index: DataFrame, counts: DataFrame, hot: Hot, folder: str, rounds: int = ROUNDS) -> tuple[np.ndarray, Model]:
     ending_of = mix64(np.arange(ENDINGS, dtype=np.uint64) + np.uint64(11)) % np.uint64(CLASSES)
-    classes = np.concatenate([np.zeros(UNITS, np.int64), ending_of.astype(np.int64)])
-    frequent = hot.frequent
-    classes[: len(frequent)] = classes[UNITS + frequent]  # at first, words that end alike share a class
+    frequent, own = hot.frequent, hot.own
+    classes = np.concatenate([ending_of[frequent], ending_of]).astype(np.int64)  # at first, words that end alike share a class
     classes = exchange(index, hot, classes, folder, rounds)
     table = np.zeros((_WIDE * _WIDE, CLASSES), np.int64)
-    rows = _summed(index, hot.unit, classes, _trigrams, folder, "trigrams").toArrow()  # at most a row for each two classes
+    rows = _summed(index, hot, classes, _trigrams, _WIDE * _WIDE, CLASSES, folder, "trigrams").toArrow()  # at most a row for each two classes
     for key, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
         table[key] = np.frombuffer(data, np.int64)
     n1, n2 = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
@@ -292,8 +333,8 @@ def train(index: DataFrame, counts: DataFrame, hot: Hot, folder: str, rounds: in
     by_ending = np.zeros(ENDINGS)
     for r in counts.groupBy("ending").count().collect():  # ENDINGS rows
         by_ending[r.ending] = r["count"]
-    by_ending -= np.bincount(frequent, minlength=ENDINGS) + np.bincount(hot.unit[hot.unit >= UNITS] - UNITS, minlength=ENDINGS)
-    types += np.bincount(classes[UNITS:], np.maximum(by_ending, 0), CLASSES)
+    by_ending -= np.bincount(frequent, minlength=ENDINGS) + np.bincount(hot.unit[hot.unit >= own] - own, minlength=ENDINGS)
+    types += np.bincount(classes[own:], np.maximum(by_ending, 0), CLASSES)
     cube = table.reshape(_WIDE, _WIDE, CLASSES)
     size = cube.sum((0, 1)).astype(float)
     p = smoothed(cube)
@@ -312,16 +353,16 @@ def class_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     index = index_tokens(rows, hot, folder)
     classes, model = train(index, counts, hot, folder, rounds)
     scale = total + PSEUDO * (types + 1)
-    told = spark.sparkContext.broadcast((hot.c, hot.unit, classes, model))
+    told = spark.sparkContext.broadcast((hot.c, hot.unit, hot.own, classes, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, unit, classes, model = told.value
+        c, unit, own, classes, model = told.value
         base_of = np.log10((c + PSEUDO) / scale)
         emit = np.log10((c - model.discount) / np.maximum(model.size[classes[unit]], 1)) if len(c) else np.zeros(0)
         size = np.log10(np.maximum(model.size, 1))
         for batch in batches:
             at = 0
-            for ids, units, first in _sequences(batch.column("ids"), unit):
+            for ids, units, first in _sequences(batch.column("ids"), unit, own):
                 begin = np.flatnonzero(first)
                 part = batch.slice(at, len(begin))
                 at += len(begin)

@@ -42,7 +42,7 @@ SLICE_CHARS = 1 << 20
 SPARE = 1.3
 #: Rounds of comparisons with hubs, and features of each side of a cell in expectation.
 HUB_ROUNDS = 2
-CELL = 1 << 20
+CELL = 1 << 18
 #: Largest number of ids that is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)

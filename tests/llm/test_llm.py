@@ -110,6 +110,63 @@ def test_class_model(docs, empty):
     assert class_lm.class_scores(empty, rounds=1).count() == 0
 
 
+def test_class_scores_by_brute_force(spark):
+    """The model's scores, from classes found by exchange, against a plain reading of the model over whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [(r.doc_id, [*BLANK_WORD.findall((r.text or "").translate(LOW)), None]) for r in docs.collect()]
+    table = spark.createDataFrame([(i, " ".join(w[:-1])) for i, w in rows], "doc_id long, text string")
+    keyed = table.select(F.monotonically_increasing_id().alias("row"), "doc_id", class_lm.held_out(F.col("doc_id")).alias("held_out"), "text")
+    folder = class_lm.work_dir(spark, "test")
+    counts = class_lm.word_counts(keyed, folder)
+    hot = class_lm.hot_words(counts)
+    classes, model = class_lm.train(class_lm.index_tokens(keyed, hot, folder), counts, hot, folder, 3)
+    words = sorted({w for _, ws in rows for w in ws if w is not None})
+    hashes, endings, _ = class_lm.tokens([" ".join(words)])
+    unit = dict(zip(hot.w.tolist(), hot.unit.tolist(), strict=True))
+    of = {w: classes[unit.get(h, hot.own + e)] for w, h, e in zip(words, hashes[:-1].tolist(), endings[:-1].tolist(), strict=True)}
+    of[None] = classes[unit[int(class_lm.END)]]
+    train = [ws for i, ws in rows if zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(w for ws in train for w in ws)
+    k, bos = class_lm.CLASSES, class_lm._BOS
+    contexts = lambda ws: [(([bos, bos] + [of[w] for w in ws])[j : j + 2], of[w], w) for j, w in enumerate(ws)]
+    single, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for ws in train:
+        for (a, b), x, _ in contexts(ws):
+            single[x] += 1
+            two[b, x] += 1
+            three[a, b, x] += 1
+    n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.05), 0.95)
+    types = collections.Counter(of[w] for w in c)
+
+    def witten_bell(counts_, lower):
+        total, kinds = sum(counts_), sum(x > 0 for x in counts_)
+        return [(x + kinds * q) / (total + kinds) for x, q in zip(counts_, lower, strict=True)] if total else lower
+
+    memo = {}
+
+    def p(a, b):
+        if (a, b) not in memo:
+            whole = sum(single.values())
+            low = [(single[x] + 1) / (whole + k) for x in range(k)]
+            memo[a, b] = witten_bell([three[a, b, x] for x in range(k)], witten_bell([two[b, x] for x in range(k)], low))
+        return memo[a, b]
+
+    def score(ws):
+        total = 0.0
+        for (a, b), x, w in contexts(ws):
+            if c[w]:
+                total += math.log10(p(a, b)[x] * (c[w] - d) / single[x])
+            else:
+                leak = [d * types[y] / single[y] if single[y] else 1.0 for y in range(k)]
+                total += math.log10(max(sum(u * v for u, v in zip(p(a, b), leak, strict=True)), 1e-12))
+        return total
+
+    got = {r.doc_id: r.score for r in class_lm.class_scores(table, rounds=3).collect()}
+    for i, ws in rows[:25]:
+        assert math.isclose(got[i], score(ws), rel_tol=1e-6), i
+
+
 def test_class_transitions_sum_to_one():
     counts = np.random.default_rng(0).integers(0, 3, (class_lm._WIDE, class_lm._WIDE, class_lm.CLASSES))
     counts[3] = 0
