@@ -36,8 +36,10 @@ from .vectext import WHITE_SPACE, gather, joined, parts, slices, span_hashes
 
 BLOCK_IDS = 4096
 END_ID = 0
-#: Word spans whose ids a Python worker remembers; beyond it the memory starts anew, which changes no result.
-CACHE_WORDS = 1_500_000
+#: Word spans whose ids a task remembers; beyond it the memory starts anew, which changes no result.
+CACHE_WORDS = 300_000
+#: Ids after which a task begins another shard (at the next document), so that shards are bounded but for one document.
+SHARD_IDS = 1 << 23
 #: Ids that a writer packs at once.
 WRITE_IDS = 1 << 20
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
@@ -97,9 +99,9 @@ class SpanEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -110,7 +112,7 @@ class SpanEncoder:
             starts = span_starts(cp, bounds)
             ends = np.append(starts[1:], len(cp))
             if len(self.known) > CACHE_WORDS:
-                self._clear()
+                self.forget()
             values, first, back = np.unique(span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
             slot = np.array(list(map(self.known.get, values.tolist(), repeat(-1))), np.int64)
             if len(new := np.flatnonzero(slot < 0)):
@@ -141,7 +143,7 @@ class SpanEncoder:
 
 @lru_cache(1)
 def span_encoder(path: str) -> SpanEncoder:
-    """One encoder for the tasks of a Python worker, so that words met before stay known."""
+    """One encoder for the tasks of a Python worker; each task forgets its words, as the worker may serve other stages next."""
     return SpanEncoder(path)
 
 
@@ -220,42 +222,56 @@ _MANIFEST = "file string, first_doc long, first_hash long, n_docs long, n_tokens
 _NO_DOC = -(1 << 63)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
-    """Writes the texts' ids in ascending doc_id order as shard files in `folder`; returns the manifest, which names
-    the files of the attempts that counted. The texts are dealt by ranges of doc_id, encoded and written where they lie."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Writes the texts' ids in ascending doc_id order as shard files of bounded size in `folder`; returns the manifest,
+    which names the files of the attempts that counted. The texts are dealt by ranges of doc_id, encoded and written
+    where they lie."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = span_encoder(tokenizer_path)
-        name = f"{uuid.uuid4().hex}.tokb"
-        end, writer, first = np.array([end_id], np.uint32), None, None
+        end = np.array([end_id], np.uint32)
         system, base = pafs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        with system.open_output_stream(f"{base}/{name}") as out:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    ids_of = part.column("doc_id").to_pylist()
-                    if first is None and ids_of:
-                        first = (_NO_DOC if ids_of[0] is None else ids_of[0], part.column("h")[0].as_py())
-                        writer = ShardWriter(out, vocabulary)
-                    row = -1
-                    for rows, counts, ids in encoder(part.column("text").to_pylist()):
-                        at = 0
-                        for r, n in zip(rows.tolist(), counts.tolist(), strict=True):
-                            if r != row:
-                                if row >= 0:
-                                    writer.add(end)
-                                writer.begin(_NO_DOC if ids_of[r] is None else ids_of[r])
-                                row = r
-                            writer.add(ids[at : at + n])
-                            at += n
-                    if row >= 0:
-                        writer.add(end)
-            if writer:
-                writer.close()
-        if writer:
-            yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first[0], "first_hash": first[1], "n_docs": len(writer.docs), "n_tokens": writer.ids}])
-        else:
-            system.delete_file(f"{base}/{name}")
+        open_: list = []  # the shard at hand: its name, file, writer, first document and its text's hash
+
+        def closed() -> pa.RecordBatch:
+            name, out, writer, doc, text_hash = open_.pop()
+            writer.close()
+            out.close()
+            row = {"file": name, "first_doc": doc, "first_hash": text_hash, "n_docs": len(writer.docs), "n_tokens": writer.ids}
+            return pa.RecordBatch.from_pylist([row])
+
+        def writer_for(doc: int, text_hash: int) -> ShardWriter:
+            if not open_:
+                name = f"{uuid.uuid4().hex}.tokb"
+                out = system.open_output_stream(f"{base}/{name}")
+                open_.append((name, out, ShardWriter(out, vocabulary), doc, text_hash))
+            return open_[0][2]
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids_of = [_NO_DOC if x is None else x for x in part.column("doc_id").to_pylist()]
+                hashes = part.column("h").to_pylist()
+                row = -1
+                for rows, counts, ids in encoder(part.column("text").to_pylist()):
+                    at = 0
+                    for r, n in zip(rows.tolist(), counts.tolist(), strict=True):
+                        if r != row:
+                            if row >= 0:
+                                open_[0][2].add(end)
+                                if open_[0][2].ids >= shard_ids:
+                                    yield closed()
+                            writer_for(ids_of[r], hashes[r]).begin(ids_of[r])
+                            row = r
+                        open_[0][2].add(ids[at : at + n])
+                        at += n
+                if row >= 0:
+                    open_[0][2].add(end)
+                    if open_[0][2].ids >= shard_ids:
+                        yield closed()
+        if open_:
+            yield closed()
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     parts_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -292,11 +308,11 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     return named.join(F.broadcast(bases), "file").select("content", "base").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_binary(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
+def token_binary(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes, writes and reads back; see the module's text for the format and the defined results."""
     spark = docs.sparkSession
     folder = work_dir(spark, "tokens")
-    manifest = write_tokens(docs, folder, tokenizer_path, vocabulary, end_id)
+    manifest = write_tokens(docs, folder, tokenizer_path, vocabulary, end_id, shard_ids)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_tokens(spark, folder, manifest)

@@ -77,8 +77,9 @@ def test_contamination(spark, docs, empty):
     passage = fixture_rows()[1]
     items = [(1, passage), (10, "two words"), (2, "iota " + passage), (3, None), (4, ""), (1, passage), (5, "absent words of no text"), (None, "One")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((tuple(r) for r in decontamination.contamination(docs, table).collect()), key=str)
-    assert got == brute_contamination(texts_of(docs), items)
+    rows = decontamination.contamination(docs, table).collect()
+    assert sorted((tuple(r)[:-1] for r in rows), key=str) == brute_contamination(texts_of(docs), items)
+    assert all(r.n_near_items >= r.n_items for r in rows)
     assert decontamination.contamination(empty, table).count() == 0
     assert not any(r.contaminated for r in decontamination.contamination(docs, table.limit(0)).collect())
 
@@ -90,7 +91,8 @@ def test_proximity(spark, tmp_path):
     terms, spread = decontamination.window_terms(items, 10, folder)
     index = decontamination.build_index(rows, terms, folder)
     ranked = decontamination.ranked_terms(index, spread, folder)
-    near = decontamination.proximity_matches(index, ranked, 1).join(index.filter("term_id = -1").select("row", "doc_id"), "row")
+    lists = decontamination._list(index, ranked.filter("rank <= 2"))
+    near = decontamination.proximity_matches(index, ranked, lists, 1, folder).join(index.filter("term_id = -1").select("row", "doc_id"), "row")
     assert sorted(r.doc_id for r in near.collect()) == [1, 2]
 
 
@@ -305,6 +307,14 @@ def test_token_binary(docs, empty):
     assert token_binary.token_binary(empty, public_tokenizers.path("byte_bpe_50k.json"), 50257).count() == 0
 
 
+def test_token_shards_are_bounded(spark, docs, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_binary.write_tokens(docs, f"file://{tmp_path}/tokens", path, 50257, shard_ids=300)
+    assert manifest.count() > 8
+    whole = sorted(map(tuple, token_binary.token_binary(docs, path, 50257).collect()), key=str)
+    assert sorted(map(tuple, token_binary.token_binary(docs, path, 50257, shard_ids=300).collect()), key=str) == whole
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 16, 17, 20, 32])
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 4097, dtype=np.uint64).astype(np.uint32)
