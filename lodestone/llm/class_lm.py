@@ -30,9 +30,9 @@ from .vectext import ASCII_SPACE, SPACE_CUT, char_table, joined, lower_ascii, mi
 
 CLASSES = 64
 #: Half-rounds of exchange at most; they end when two in a row move less than the share SETTLED of the units.
-ROUNDS, SETTLED = 8, 0.01
+ROUNDS, SETTLED = 6, 0.01
 #: Occurrences that make a word a unit of its own, and units of all other words.
-LEAST, ENDINGS = 5, 4096
+LEAST, ENDINGS = 100, 4096
 #: Rows of a count table that a task keeps as a matrix; it keeps others as pairs.
 DENSE = 1 << 14
 #: Words whose counts go to every task; the counts of the others are joined.
