@@ -36,8 +36,8 @@ from .vectext import WHITE_SPACE, gather, joined, parts, slices, span_hashes
 
 BLOCK_IDS = 4096
 END_ID = 0
-#: Word spans whose ids a task remembers; beyond it the memory starts anew, which changes no result.
-CACHE_WORDS = 300_000
+#: Word spans whose ids a Python worker remembers; beyond it the memory starts anew, which changes no result.
+CACHE_WORDS = 1_000_000
 #: Ids after which a task begins another shard (at the next document), so that shards are bounded but for one document.
 SHARD_IDS = 1 << 23
 #: Ids that a writer packs at once.
@@ -92,6 +92,11 @@ def span_starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([begin[keep], start[blank_run], end[last_alone] - 1]))
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or twice as long a copy if it is too short, so that it is seldom copied as it grows."""
+    return array if size <= len(array) else np.append(array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype))
+
+
 class SpanEncoder:
     """Ids of whole texts: distinct spans go through the tokenizers library once, repeats come from memory."""
 
@@ -104,6 +109,7 @@ class SpanEncoder:
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.words = self.size = 0  # of these arrays, what is in use
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row of each text part, number of its ids) with the ids themselves, group by group."""
@@ -132,18 +138,21 @@ class SpanEncoder:
             for x in encode(words[at : at + 4096], add_special_tokens=False):
                 found += x.ids
                 counts.append(len(x))
-        count = np.array(counts, np.int64)
-        slots = np.arange(len(self.start), len(self.start) + len(count))
-        self.start = np.append(self.start, len(self.pool) + np.cumsum(count) - count)
-        self.count = np.append(self.count, count)
-        self.pool = np.append(self.pool, np.array(found, np.uint32))
+        count, ids = np.array(counts, np.int64), np.array(found, np.uint32)
+        slots = np.arange(self.words, self.words + len(count))
+        self.start, self.count = (_room(x, self.words + len(count)) for x in (self.start, self.count))
+        self.pool = _room(self.pool, self.size + len(ids))
+        self.start[slots] = self.size + np.cumsum(count) - count
+        self.count[slots] = count
+        self.pool[self.size : self.size + len(ids)] = ids
+        self.words, self.size = self.words + len(count), self.size + len(ids)
         self.known.update(zip(hashes, slots.tolist(), strict=True))
         return slots
 
 
 @lru_cache(1)
 def span_encoder(path: str) -> SpanEncoder:
-    """One encoder for the tasks of a Python worker; each task forgets its words, as the worker may serve other stages next."""
+    """One encoder for the tasks of a Python worker, so that words met before stay known."""
     return SpanEncoder(path)
 
 
@@ -271,7 +280,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
                         yield closed()
         if open_:
             yield closed()
-        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     parts_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
