@@ -225,11 +225,24 @@ def _summed(index: DataFrame, hot: Hot, classes: np.ndarray, events, rows: int,
     return stored(partial.repartition("key").mapInArrow(add, "key long, counts binary"), folder, name)
 
 
-def _profile(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each unit, the class before (or the start), and after these the class after."""
-    one, _ = _contexts(classes, first)
-    follow = np.flatnonzero(~first)
-    return np.concatenate([units, units[follow - 1]]), np.concatenate([one, _WIDE + classes[follow]])
+def _turn(units: np.ndarray, step: int) -> np.ndarray:
+    """Which units may move in a half-round."""
+    return mix64(units.astype(np.uint64)) % np.uint64(2) == step % 2
+
+
+def _profiles(of_turn: np.ndarray):
+    """Events of a half-round. Rows below _WIDE: of each context, the classes after it. Row _WIDE + u, of the units that may
+    move: the class before (or the start), and after these the class after."""
+
+    def events(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, _ = _contexts(classes, first)
+        follow = np.flatnonzero(~first)
+        may = of_turn[units]
+        here, after = np.flatnonzero(may), follow[may[follow - 1]]
+        rows = np.concatenate([one, _WIDE + units[here], _WIDE + units[after - 1]])
+        return rows, np.concatenate([classes, one[here], _WIDE + classes[after]])
+
+    return events
 
 
 def _trigrams(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,34 +275,23 @@ def exchange(index: DataFrame, hot: Hot, classes: np.ndarray, folder: str, round
     context = index.sparkSession.sparkContext
     still = 0
     for step in range(rounds):
-        rows = _summed(index, hot, classes, _profile, len(classes), _WIDE + CLASSES, folder, f"profile-{step}")
+        of_turn = _turn(np.arange(len(classes)), step)
+        rows = _summed(index, hot, classes, _profiles(of_turn), _WIDE + len(classes), _WIDE + CLASSES, folder, f"profile-{step}")
         pair = np.zeros((_WIDE, CLASSES), np.int64)
-        by_class = context.broadcast(classes)
-
-        def pairs(batches: Iterator[pa.RecordBatch], by_class=by_class) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((CLASSES, _WIDE), np.int64)
-            for batch in batches:
-                rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, _WIDE + CLASSES)
-                np.add.at(total, by_class.value[batch.column(0).to_numpy()], rows[:, :_WIDE])
-            k, c = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k), pa.array(total[k, c])], ["c", "k", "n"])
-
-        for r in rows.mapInArrow(pairs, "c long, k long, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).collect():  # CLASSES squared rows
-            pair[r.c, r.k] = r.n
+        for r in rows.filter(F.col("key") < _WIDE).collect():  # one for each context
+            pair[r.key] = np.frombuffer(r.counts, np.int64)[:CLASSES]
         told = context.broadcast((classes, pair))
 
-        def move(batches: Iterator[pa.RecordBatch], told=told, step=step) -> Iterator[pa.RecordBatch]:
+        def move(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             classes, pair = told.value
             for batch in batches:
-                keys = batch.column(0).to_numpy()
-                turn = mix64(keys.astype(np.uint64)) % np.uint64(2) == step % 2
-                moved = []
-                for k in np.flatnonzero(turn).tolist():
+                units, to = batch.column(0).to_numpy() - _WIDE, []
+                for k, unit in enumerate(units.tolist()):
                     row = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
-                    moved.append((int(keys[k]), best_class(row[:_WIDE], row[_WIDE:], int(classes[keys[k]]), pair)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in moved], pa.int64()), pa.array([x[1] for x in moved], pa.int64())], ["key", "to"])
+                    to.append(best_class(row[:_WIDE], row[_WIDE:], int(classes[unit]), pair))
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(to, pa.int64())], ["key", "to"])
 
-        moves = rows.mapInArrow(move, "key long, to long").toArrow()  # at most a row for each unit
+        moves = rows.filter(F.col("key") >= _WIDE).mapInArrow(move, "key long, to long").toArrow()  # at most a row for each unit
         before, classes = classes, classes.copy()
         classes[moves.column("key").to_numpy()] = moves.column("to").to_numpy()
         discard(index.sparkSession, folder, f"profile-{step}")
