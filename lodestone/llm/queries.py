@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup
+from . import byte_fst, decontamination, line_dedup
 from .class_lm import class_scores
 from .decontamination import contamination
 from .jaccard_join import jaccard_components
@@ -17,11 +17,14 @@ from .line_dedup import deduplicated
 from .permutation_index import nearest_neighbours
 from .piece_bpe import encode_decode_digests
 from .secret_scan import secrets
+from .spelling_variants import spelling_variants
 from .token_binary import token_binary
 from .toxicity import toxicity
+from .vector_codes import vector_codes
 
 BYTE_BPE = ("byte_bpe_50k.json", 50257)
 PIECE_BPE = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, p=90, q=100)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_fst.encode_decode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (
         op1_decontamination,
@@ -83,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_piece_bpe,
         op10_jaccard_join,
+        op11_spelling_variants,
+        op12_byte_fst,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in numbered}
 

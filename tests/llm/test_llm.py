@@ -718,4 +718,4 @@ def test_encoded_stage_gives_every_row(spark, odd_ids):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{k}" for k in range(1, 14)]
