@@ -86,10 +86,18 @@ def cited_references(c: Column) -> Column:
     return F.array_distinct(F.transform(found, number))
 
 
+#: What a site's furniture says, alone or in a short line.
+FURNITURE = "(?i)^(视力保护色[:：]?|网站地图|无障碍|RSS订阅|分享到[:：]?)$"
+POSITION, HOME = "当前位置|您现在所在的位置|您现在的位置", r"^首页( \S+){1,6}$"
+
+
 def layout_noise(c: Column) -> Column:
-    """Whether a text is page furniture: nothing, one character, a tick of up to three digits, or a short e-mail address."""
-    s = strip(F.coalesce(c, F.lit("")))
-    return (F.length(s) <= 1) | s.rlike(r"^-?\d{1,3}$") | ((F.length(s) <= 32) & s.rlike(r"^[\w.+-]+@[\w.-]+\.\w+$"))
+    """Whether a text is page furniture: nothing, one character, a tick of up to three characters, a short e-mail address,
+    or words of a site's navigation."""
+    s = collapse_whitespace(F.coalesce(c, F.lit("")))
+    n = F.length(s)
+    tick, address = (n <= 3) & s.rlike(r"^-?\d+$"), (n <= 32) & s.rlike(r"^[\w.+-]+@[\w.-]+\.\w+$")
+    return (n <= 1) | tick | address | s.rlike(FURNITURE) | ((n <= 48) & s.rlike(POSITION)) | ((n <= 36) & s.rlike(HOME))
 
 
 def retrievable(c: Column) -> Column:

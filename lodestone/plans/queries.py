@@ -76,7 +76,7 @@ def query_anchors(spark, sf_dir):
     return retrieval.query_terms(items).select(F.col("query_id").alias("item_id"), "term", "weight")
 
 
-@query(r"""SELECT doc_id, line, noise FROM (SELECT doc_id, i - 1 AS line, length(s) <= 1 OR regexp_full_match(s, '-?\d{1,3}') OR (length(s) <= 32 AND regexp_full_match(s, '[\w.+-]+@[\w.-]+\.\w+')) AS noise
+@query(r"""SELECT doc_id, line, noise FROM (SELECT doc_id, i - 1 AS line, length(s) <= 1 OR (length(s) <= 3 AND regexp_full_match(s, '-?\d+')) OR (length(s) <= 32 AND regexp_full_match(s, '[\w.+-]+@[\w.-]+\.\w+')) AS noise
 FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))""")
 def layout_noise_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
