@@ -74,8 +74,8 @@ def test_pieces_change_no_result(spark):
     rows = segments(spark, *(x for k in range(40) for x in ((f"第{k}章 总则", "heading", f"第{k}章 总则", k // 3), ("短说明", "paragraph", f"第{k}章 总则", k // 3), (TABLE, "table", None, k // 3), ("正文" * 20, "paragraph", f"第{k}章 总则", k // 3))))
     want = [x for k in range(40) for x in (f"第{k}章 总则\n\n短说明\n\n{TABLE}", "正文" * 20)]
     assert [r.text for r in merged(rows)] == want == [r.text for r in merged(rows, pages=True)]
-    turned = segments(spark, ("附件", "heading", "甲", 1), ("图", "image", None, 2), ("说明", "paragraph", "甲", 2), ("续", "paragraph", "甲", 3))
-    assert [r.text for r in merged(turned, pages=True)] == ["附件\n\n图", "说明", "续"]
+    turned = segments(spark, ("附件", "heading", "甲", 1), ("图", "image", None, 2), ("说明", "paragraph", "甲", 2), ("续页文", "paragraph", "甲", 3))
+    assert [r.text for r in merged(turned, pages=True)] == ["附件\n\n图", "说明", "续页文"]
 
 
 def test_split_merged(spark):
