@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table written under spark.checkpoint.dir, which cuts its lineage; where that is unset, the frame
-    itself, which is then computed anew wherever it is used."""
-    base = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder under spark.checkpoint.dir, or under the checkpoint folder that the context was given."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return frame
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = current.get()
+    return f"{base.rstrip('/')}/{name}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table written to the shared folder, which cuts its lineage."""
+    path = folder(frame.sparkSession, f"{name}-{uuid.uuid4().hex}")
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
