@@ -36,26 +36,32 @@ def with_total_before(rows: DataFrame, value: str, order: list[str], name: str =
 def preview_pieces(text: Column, most: int = 88) -> Column:
     """A text's pieces of `most` characters at most. A piece ends behind the last best mark in its later two thirds (from
     character 12 on at least), or where it is full. Blank pieces go; a blank text has none."""
-    t = strip(F.coalesce(text, F.lit("")))
     least = max(12, most // 3)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  body(value), computed once
+    state = "struct<left:string,out:array<string>>"
 
     def end(window: Column) -> Column:
-        def behind(mark: str) -> Column:
-            at = F.length(window) - F.instr(F.reverse(window), mark[::-1]) - len(mark) + 1  # of the last one, from 0
-            return F.when((F.instr(F.reverse(window), mark[::-1]) > 0) & (at >= least), at + len(mark))
+        def behind(back: Column) -> Column:
+            at = lambda mark: F.when(F.instr(back, mark[::-1]) > 0, most - F.instr(back, mark[::-1]) + 1)  # noqa: E731  behind the last one
+            return F.coalesce(*(F.when(at(mark) - len(mark) >= least, at(mark)) for mark in ENDS), F.lit(most))
 
-        return F.coalesce(*map(behind, ENDS), F.length(window))
+        return let(F.reverse(window), behind)
 
     def step(s: Column, _: Column) -> Column:
-        left = F.substr(t, s["at"] + 1)
-        window = F.substring(left, 1, most)
-        size = F.when(F.length(left) <= most, F.length(left)).otherwise(end(window))
-        piece = strip(F.substr(left, F.lit(1), size))
-        return F.when(s["at"] >= F.length(t), s).otherwise(F.struct((s["at"] + size).alias("at"), F.when(piece != "", F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out")))
-
-    turns = F.sequence(F.lit(0), F.ceil(F.length(t) / least).cast("int"))
-    cut = F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda s: s["out"])
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(cut)
+        def cut(size: Column) -> Column:
+            piece = let(strip(F.substr(s["left"], F.lit(1), size)), lambda x: F.when(x != "", F.concat(s["out"], F.array(x))).otherwise(s["out"]))
+            return F.struct(F.substr(s["left"], size + 1).alias("left"), piece.alias("out")).cast(state)
+
+        size = F.when(F.length(s["left"]) <= most, F.length(s["left"])).otherwise(end(F.substring(s["left"], 1, most)))
+        return F.when(s["left"] == "", s).otherwise(let(size, cut))
+
+    def pieces(t: Column) -> Column:
+        turns = F.sequence(F.lit(0), F.ceil(F.length(t) / least).cast("int"))
+        start = F.struct(t.alias("left"), F.array().cast("array<string>").alias("out")).cast(state)
+        folded = F.aggregate(turns, start, step, lambda s: s["out"])
+        return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(folded)
+
+    return let(strip(F.coalesce(text, F.lit(""))), pieces)
 
 
 def preview_groups(segments: DataFrame, most: int, piece: int = 88) -> DataFrame:

@@ -75,9 +75,9 @@ def stitched_texts(spark, sf_dir):
     return ordered.stitched(starts.select("doc_id", "start_offset", F.substr("text", F.col("start_offset") + 1, size).alias("content")))
 
 
-@query("""WITH snap AS (SELECT CAST(o_custkey AS VARCHAR) AS log, o_orderkey AS at, CAST(floor(o_totalprice) AS BIGINT) % 12 AS n FROM orders),
-told AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY log ORDER BY at, n), 0) AS b FROM snap)
-SELECT log, at, i AS line, 'line ' || i AS text, n < b AS reset FROM (SELECT *, unnest(range(CASE WHEN n < b THEN 0 ELSE b END, n)) AS i FROM told)""")
+@query(r"""WITH snap AS (SELECT CAST(o_custkey AS VARCHAR) AS log, o_orderkey AS "at", CAST(floor(o_totalprice) AS BIGINT) % 12 AS n FROM orders),
+told AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY log ORDER BY "at", n), 0) AS b FROM snap)
+SELECT log, "at", i AS line, 'line ' || i AS text, n < b AS reset FROM (SELECT *, unnest(range(CASE WHEN n < b THEN 0 ELSE b END, n)) AS i FROM told)""")
 def tailed_lines(spark, sf_dir):
     """Snapshots of customers' logs, one for each order."""
     n = (F.floor("o_totalprice") % 12).cast("int")
