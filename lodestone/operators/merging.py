@@ -1,7 +1,7 @@
 """Order-dependent merging of a query's ranked rows: greedy near-duplicate removal and fair merging with floors.
 
-Removal is a fold over the rows of one query, as an aggregate over their array: the caller passes what a recall limit
-leaves (MOST_ROWS of a query at most; more are an error, not a silent cut). Queries run in parallel."""
+Removal is a fold over the rows of one query, as an aggregate over their array, WAVE rows at a time: what is kept so far
+meets the next rows, until as many are kept as are asked for or the rows end. Queries run in parallel."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .written import written
+
 #: Overlap from which two rows of a document are the same, and how a common beginning counts.
 OVERLAP, PREFIX, LEAST_PREFIX = 0.72, 120, 40
 TYPE_SHARE = 0.3
-#: Rows of one query that the fold takes.
-MOST_ROWS = 5000
+#: Rows of one query that the fold takes at once.
+WAVE = 2000
 
 
 def bare(c: Column) -> Column:
@@ -34,11 +36,9 @@ def dedupe(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
     """The rows of each query in order (of `ord`, unless given), `limit` at most, without those that repeat an earlier one
     of their document; body text takes the place of an image's that came before it."""
     columns = rows.columns
-    row = F.struct(*(order or (F.col("ord"),)), bare(F.col("content")).alias("bare"), F.struct(*columns).alias("row"))
-    packed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    ordered = F.transform("rows", lambda x: F.struct(x["bare"], x["row"]))
-    packed = packed.select(F.when(F.size("rows") <= MOST_ROWS, ordered).otherwise(F.raise_error(F.lit(f"more than {MOST_ROWS} rows of a query"))).alias("rows"))
-    kind = packed.schema["rows"].dataType.simpleString()
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*(order or (F.col("ord"),)), bare(F.col("content")), F.struct(*columns)))
+    ranked = written(rows.select(place.alias("place"), F.struct(bare(F.col("content")).alias("bare"), F.struct(*columns).alias("row")).alias("x")), "hits")
+    kind = f"array<{ranked.schema['x'].dataType.simpleString()}>"
 
     def step(kept: Column, x: Column) -> Column:
         same = lambda k: (k["row"]["document_id"] == x["row"]["document_id"]) & (overlap(k["bare"], x["bare"]) >= OVERLAP)
@@ -46,8 +46,18 @@ def dedupe(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
         swap = F.transform(kept, lambda k, i: F.when((i == twin) & k["row"]["is_image"] & ~x["row"]["is_image"], x).otherwise(k))
         return F.when(F.size(kept) >= limit, kept).when(twin < 0, F.concat(kept, F.array(x))).otherwise(swap)
 
-    kept = F.aggregate("rows", F.array().cast(kind), step)
-    return packed.select(F.explode(kept).alias("x")).select("x.row.*")
+    most = ranked.agg(F.max("place")).first()[0] or 0
+    state = None
+    for first in range(0, max(most, 1), WAVE):
+        part = ranked.filter((F.col("place") > first) & (F.col("place") <= first + WAVE)).groupBy(F.col("x.row.query_id").alias("query"))
+        rows_of = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda y: y["x"]).alias("rows"))
+        met = rows_of.withColumn("kept", F.array().cast(kind)) if state is None else state.join(rows_of.withColumnRenamed("query", "of"), F.col("query").eqNullSafe(F.col("of")), "left")
+        state = met.select("query", F.aggregate(F.coalesce("rows", F.array().cast(kind)), F.col("kept"), step).alias("kept"))
+        if most > WAVE:
+            state = written(state, "kept")
+            if state.filter(F.size("kept") < limit).isEmpty():
+                break
+    return state.select(F.explode("kept").alias("x")).select("x.row.*")
 
 
 def merge_collections(rows: DataFrame, limit: int) -> DataFrame:
@@ -68,5 +78,5 @@ def merge_collections(rows: DataFrame, limit: int) -> DataFrame:
     tier = F.when(reserved == 1, 0).when((F.col("many") > 1) & (within <= floor - F.col("held")), 1).otherwise(2)
     order = W.partitionBy("query_id").orderBy("tier", F.when(F.col("tier") == 0, F.col("kb_id")), *best_first)
     chosen = ranked.withColumn("tier", tier).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-    negative = (-F.col("merge_score")).alias("by_score")
+    negative = -F.col("merge_score")
     return dedupe(chosen.select(*scored.columns, "place"), limit, negative, F.col("place")).drop("place")

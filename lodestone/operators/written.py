@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A folder under spark.checkpoint.dir, or under the checkpoint folder that the context was given."""
+    """A folder under spark.checkpoint.dir, or under the checkpoint folder that the context was given. Where neither is set,
+    a session whose tasks run in the driver gets a folder of its own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        current = context._jsc.sc().getCheckpointDir()
         base = current.get()
     return f"{base.rstrip('/')}/{name}"
 

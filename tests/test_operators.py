@@ -249,6 +249,19 @@ def test_dedupe_prefers_body_text(spark):
     assert sorted(r.uid for r in found) == [2, 3, 4]
 
 
+def test_dedupe_in_waves(spark, monkeypatch):
+    """More rows of a query than the fold takes at once give what one fold gives."""
+    import random
+
+    r = random.Random(6)
+    words = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "other words here", "quite another text", "last one of them"]
+    rows = [(q, 1, "classic", 100 * (q or 0) + i, 0.5, r.randrange(3), r.choice(words) + r.choice(["", " x", " yz"]), r.random() < 0.3, i) for q in (1, 2, None) for i in range(40)]
+    frame = spark.createDataFrame(rows, HITS)
+    whole = sorted((str(x.query_id), x.uid) for x in merging.dedupe(frame, 12).collect())
+    monkeypatch.setattr(merging, "WAVE", 3)
+    assert sorted((str(x.query_id), x.uid) for x in merging.dedupe(frame, 12).collect()) == whole
+
+
 def test_merge_reserves_collections_and_types(spark):
     rows = [(1, 2, "graph", i, 0.99 - i / 100, i, f"g{i}", False, i) for i in range(5)] + [(1, 1, "classic", 10 + i, 0.45 - i / 100, 10 + i, f"c{i}", False, i) for i in range(5)]
     found = merging.merge_collections(spark.createDataFrame(rows, HITS), 5).collect()
