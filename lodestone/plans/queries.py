@@ -384,9 +384,12 @@ def stale_runs(spark, sf_dir):
 # --- segments ------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, start_offset, start_offset + length(segment) AS end_offset, segment FROM
+LINES_SQL = r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, start_offset, start_offset + length(segment) AS end_offset, segment FROM
 (SELECT doc_id, i, CAST(CASE WHEN i = 1 THEN 0 ELSE list_sum(list_transform(x[1 : i - 1], lambda y: length(y) + 1)) END AS BIGINT) AS start_offset, regexp_replace(x[i], '^\s+|\s+$', '', 'g') AS segment FROM
-(SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))) WHERE segment <> ''""")
+(SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))) WHERE segment <> ''"""
+
+
+@query(LINES_SQL)
 def line_segments(spark, sf_dir):
     return chunking.split_segments(table(spark, sf_dir, "documents"), "\n")
 
@@ -432,7 +435,10 @@ def hourly_usage(spark, sf_dir):
     return rows.select("start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE call AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM (SELECT CAST(user_id AS VARCHAR) AS key, floor(epoch(ts)) / 3600 AS ts FROM events)),
+log AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS ts, false AS accepted, CAST([] AS DOUBLE[]) AS stamps FROM call
+UNION ALL SELECT key, i, ts, len(held) < 3, CASE WHEN len(held) < 3 THEN list_append(held, ts) ELSE held END FROM (SELECT log.key, call.i, call.ts, list_filter(stamps, lambda x: x >= call.ts - 24) AS held FROM log JOIN call ON call.key = log.key AND call.i = log.i + 1))
+SELECT key, ts, accepted FROM log WHERE i > 0""")
 def sliding_log(spark, sf_dir):
     day = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") / 3600
     return usage.rate_limited(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), day.alias("ts")), 3, 24.0)

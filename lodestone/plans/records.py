@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merging, records, retrieval
+from .queries import _KEYWORD_SQL as KEYWORD_SQL
 from .queries import big, query, table
 
 
@@ -122,9 +123,18 @@ def _hits(spark, sf_dir):
     )
 
 
-@query()
+@query(KEYWORD_SQL.replace("WITH", "WITH RECURSIVE", 1) + r""",
+hit AS (SELECT query_id, chunk_id AS uid, score, rank AS ord, source, n_chars > 5000 AS image, regexp_replace(text, '\s+', '', 'g') AS bare FROM best JOIN documents ON doc_id = chunk_id WHERE rank <= 40),
+fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(uid BIGINT, score DOUBLE, ord BIGINT, source VARCHAR, image BOOLEAN, bare VARCHAR)[]) AS kept FROM hit
+UNION ALL SELECT query_id, i, CASE WHEN len(kept) >= 10 THEN kept WHEN twin IS NULL THEN list_append(kept, me) WHEN kept[twin].image AND NOT me.image THEN list_concat(list_append(kept[: twin - 1], me), kept[twin + 1 :]) ELSE kept END
+FROM (SELECT f.query_id, h.ord AS i, f.kept, {'uid': h.uid, 'score': h.score, 'ord': h.ord, 'source': h.source, 'image': h.image, 'bare': h.bare} AS me,
+list_min(list_filter(range(1, len(f.kept) + 1), lambda j: f.kept[j].source = h.source AND least(length(f.kept[j].bare), length(h.bare)) > 0 AND
+CASE WHEN contains(f.kept[j].bare, h.bare) OR contains(h.bare, f.kept[j].bare) THEN least(length(f.kept[j].bare), length(h.bare))
+WHEN least(length(f.kept[j].bare), length(h.bare), 120) >= 40 AND f.kept[j].bare[1 : least(length(f.kept[j].bare), length(h.bare), 120)] = h.bare[1 : least(length(f.kept[j].bare), length(h.bare), 120)] THEN least(length(f.kept[j].bare), length(h.bare), 120) ELSE 0 END
+/ greatest(length(f.kept[j].bare), length(h.bare)) >= 0.72)) AS twin FROM fold f JOIN hit h ON h.query_id = f.query_id AND h.ord = f.i + 1))
+SELECT query_id, k.uid AS uid, k.score AS score, k.ord AS ord FROM (SELECT query_id, unnest(kept) AS k FROM (SELECT query_id, arg_max(kept, i) AS kept FROM fold GROUP BY 1))""")
 def deduped_hits(spark, sf_dir):
-    return merging.dedupe(_hits(spark, sf_dir), 10).select("query_id", "uid", "score", big("ord").alias("ord"))
+    return merging.dedupe(_hits(spark, sf_dir), 10).select("query_id", "uid", F.round("score", 6).alias("score"), big("ord").alias("ord"))
 
 
 @query()
