@@ -112,7 +112,7 @@ def _hits(spark, sf_dir):
     found = retrieval.keyword_search(chunks, items, 40).join(about, "chunk_id")
     return found.select(
         "query_id",
-        F.hash("source").alias("kb_id"),
+        F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("kb_id"),
         F.when(F.col("source") == "src0", "graph").otherwise("classic").alias("kb_type"),
         F.col("chunk_id").alias("uid"),
         "score",
@@ -123,20 +123,34 @@ def _hits(spark, sf_dir):
     )
 
 
-@query(KEYWORD_SQL.replace("WITH", "WITH RECURSIVE", 1) + r""",
-hit AS (SELECT query_id, chunk_id AS uid, score, rank AS ord, source, n_chars > 5000 AS image, regexp_replace(text, '\s+', '', 'g') AS bare FROM best JOIN documents ON doc_id = chunk_id WHERE rank <= 40),
-fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(uid BIGINT, score DOUBLE, ord BIGINT, source VARCHAR, image BOOLEAN, bare VARCHAR)[]) AS kept FROM hit
-UNION ALL SELECT query_id, i, CASE WHEN len(kept) >= 10 THEN kept WHEN twin IS NULL THEN list_append(kept, me) WHEN kept[twin].image AND NOT me.image THEN list_concat(list_append(kept[: twin - 1], me), kept[twin + 1 :]) ELSE kept END
+#: The hits of the benchmark among documents, and a fold over `hit` (query_id, uid, score, ord, source, image, bare) that
+#: keeps LIMIT rows of each query at most.
+_HITS_SQL = KEYWORD_SQL.replace("WITH", "WITH RECURSIVE", 1) + r""",
+about AS (SELECT query_id, chunk_id AS uid, score, rank AS ord, source, n_chars > 5000 AS image, regexp_replace(text, '\s+', '', 'g') AS bare FROM best JOIN documents ON doc_id = chunk_id WHERE rank <= 40)"""
+_KEPT_SQL = r"""fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(uid BIGINT, score DOUBLE, ord BIGINT, source VARCHAR, image BOOLEAN, bare VARCHAR)[]) AS kept FROM hit
+UNION ALL SELECT query_id, i, CASE WHEN len(kept) >= LIMIT THEN kept WHEN twin IS NULL THEN list_append(kept, me) WHEN kept[twin].image AND NOT me.image THEN list_concat(list_append(kept[: twin - 1], me), kept[twin + 1 :]) ELSE kept END
 FROM (SELECT f.query_id, h.ord AS i, f.kept, {'uid': h.uid, 'score': h.score, 'ord': h.ord, 'source': h.source, 'image': h.image, 'bare': h.bare} AS me,
 list_min(list_filter(range(1, len(f.kept) + 1), lambda j: f.kept[j].source = h.source AND least(length(f.kept[j].bare), length(h.bare)) > 0 AND
 CASE WHEN contains(f.kept[j].bare, h.bare) OR contains(h.bare, f.kept[j].bare) THEN least(length(f.kept[j].bare), length(h.bare))
 WHEN least(length(f.kept[j].bare), length(h.bare), 120) >= 40 AND f.kept[j].bare[1 : least(length(f.kept[j].bare), length(h.bare), 120)] = h.bare[1 : least(length(f.kept[j].bare), length(h.bare), 120)] THEN least(length(f.kept[j].bare), length(h.bare), 120) ELSE 0 END
-/ greatest(length(f.kept[j].bare), length(h.bare)) >= 0.72)) AS twin FROM fold f JOIN hit h ON h.query_id = f.query_id AND h.ord = f.i + 1))
-SELECT query_id, k.uid AS uid, k.score AS score, k.ord AS ord FROM (SELECT query_id, unnest(kept) AS k FROM (SELECT query_id, arg_max(kept, i) AS kept FROM fold GROUP BY 1))""")
+/ greatest(length(f.kept[j].bare), length(h.bare)) >= 0.72)) AS twin FROM fold f JOIN hit h ON h.query_id = f.query_id AND h.ord = f.i + 1)),
+kept AS (SELECT query_id, k.uid AS uid, k.score AS score, k.ord AS ord FROM (SELECT query_id, unnest(kept) AS k FROM (SELECT query_id, arg_max(kept, i) AS kept FROM fold GROUP BY 1)))"""
+
+
+@query(_HITS_SQL + ", hit AS (SELECT * FROM about), " + _KEPT_SQL.replace("LIMIT", "10") + " SELECT query_id, uid, score, ord FROM kept")
 def deduped_hits(spark, sf_dir):
     return merging.dedupe(_hits(spark, sf_dir), 10).select("query_id", "uid", F.round("score", 6).alias("score"), big("ord").alias("ord"))
 
 
-@query()
+@query(_HITS_SQL + """, scored AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS INT) AS kb_id, CASE WHEN source = 'src0' THEN 'graph' ELSE 'classic' END AS kb_type,
+CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS m FROM about WINDOW w AS (PARTITION BY query_id, source)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY m DESC, uid) = 1 AS first FROM scored),
+typed AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_type ORDER BY first, m DESC, kb_id, uid) AS within, count(*) FILTER (WHERE first) OVER (PARTITION BY query_id, kb_type) AS held,
+min(kb_type) OVER (PARTITION BY query_id) < max(kb_type) OVER (PARTITION BY query_id) AS several FROM placed),
+tiered AS (SELECT *, CASE WHEN first THEN 0 WHEN several AND within <= 2 - held THEN 1 ELSE 2 END AS tier FROM typed),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 0 THEN kb_id ELSE 0 END, m DESC, kb_id, uid) AS place FROM tiered),
+hit AS (SELECT * EXCLUDE (ord), row_number() OVER (PARTITION BY query_id ORDER BY m DESC, place) AS ord FROM chosen WHERE place <= 8), """ + _KEPT_SQL.replace("LIMIT", "8") + """
+SELECT query_id, kb_id, kb_type, uid, round(m, 6) AS merge_score FROM kept JOIN scored USING (query_id, uid)""")
 def merged_collections(spark, sf_dir):
-    return merging.merge_collections(_hits(spark, sf_dir), 8).select("query_id", "kb_id", "kb_type", "uid", "merge_score")
+    merged = merging.merge_collections(_hits(spark, sf_dir), 8)
+    return merged.select("query_id", "kb_id", "kb_type", "uid", F.round("merge_score", 6).alias("merge_score"))
