@@ -35,6 +35,8 @@ ROUNDS, SETTLED = 6, 0.01
 LEAST, ENDINGS = 100, 4096
 #: Rows of a count table that a task keeps as a matrix; it keeps others as pairs.
 DENSE = 1 << 14
+#: Rows of a count table that travel as one.
+RANGE = 64
 #: Words whose counts go to every task; the counts of the others are joined.
 HOT = 1_000_000
 SLICE_CHARS = 1 << 20
@@ -169,21 +171,26 @@ def _contexts(of_class: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _summed(index: DataFrame, hot: Hot, classes: np.ndarray, events, rows: int, width: int, folder: str, name: str) -> DataFrame:
     """key, counts (int64): how often `events(units, classes, first)`, which gives rows and places in them, names each
-    place of each row, over the training texts. A task keeps frequent rows as a matrix and others as pairs."""
+    place of each row, over the training texts. A task keeps frequent rows as a matrix and others as pairs, and sends what
+    it has of RANGE rows as one, so that the shuffle moves a row for each range and task at most."""
     shared = index.sparkSession.sparkContext.broadcast((hot.unit, hot.own, classes))
     dense = min(rows, DENSE)
+    span = RANGE * width
 
-    def packed(keys: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+    def packed(keys: list[int], data: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["key", "counts"])
 
+    def ranges(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sorted places in all rows, and their counts, as one row for each range: the places in it, then the counts."""
+        at, first = np.unique(keys // span, return_index=True)
+        place, many = (keys % span).astype(np.uint32), counts.astype(np.uint32)
+        cut = np.append(first, len(keys)).tolist()
+        for k in range(0, len(at), 512):
+            yield packed(at[k : k + 512].tolist(), [place[a:b].tobytes() + many[a:b].tobytes() for a, b in zip(cut[k:], cut[k + 1 : k + 513], strict=False)])
+
     def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """Rows as (place, count) pairs; a marker byte tells them from whole rows."""
         keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-        both = np.column_stack([keys % width, np.bincount(back.ravel(), np.concatenate([n for _, n in found]))]).astype(np.int32)
-        row, first = np.unique(keys // width, return_index=True)
-        data, cut = both.tobytes(), (8 * np.append(first, len(keys))).tolist()
-        for at in range(0, len(row), 4096):
-            yield packed(row[at : at + 4096], [b"p" + data[a:b] for a, b in zip(cut[at:], cut[at + 1 : at + 4097], strict=False)])
+        yield from ranges(keys, np.bincount(back.ravel(), np.concatenate([n for _, n in found])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, own, classes = shared.value
@@ -200,26 +207,23 @@ def _summed(index: DataFrame, hot: Hot, classes: np.ndarray, events, rows: int,
                 if held > 1 << 21:
                     yield from pairs(rest)
                     rest, held = [], 0
-        if rest:
-            yield from pairs(rest)
-        matrix = total.reshape(dense, width)
-        some = np.flatnonzero(matrix.any(1))
-        for at in range(0, len(some), 2048):
-            yield packed(some[at : at + 2048], [b"w" + matrix[k].tobytes() for k in some[at : at + 2048]])
+        some = np.flatnonzero(total)
+        rest.append((some, total[some]))
+        yield from pairs(rest)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = total.setdefault(key, np.zeros(width, np.int64))
-                found = np.frombuffer(data, np.int32, offset=1)
-                if data[:1] == b"w":
-                    row += found
-                else:
-                    row[found[::2]] += found[1::2]  # a place is named once
-        keys = list(total)
-        for at in range(0, len(keys), 4096):
-            yield packed(np.array(keys[at : at + 4096]), [total[k].tobytes() for k in keys[at : at + 4096]])
+                held = total.get(key)
+                if held is None:
+                    held = total[key] = np.zeros(span, np.int64)
+                place, many = np.frombuffer(data, np.uint32).reshape(2, -1)
+                held[place] += many  # a place is named once
+        for key, held in total.items():
+            matrix = held.reshape(RANGE, width)
+            some = np.flatnonzero(matrix.any(1))
+            yield packed((key * RANGE + some).tolist(), [matrix[k].tobytes() for k in some])
 
     partial = index.filter("NOT held_out").select("ids").mapInArrow(run, "key long, counts binary")
     return stored(partial.repartition("key").mapInArrow(add, "key long, counts binary"), folder, name)
