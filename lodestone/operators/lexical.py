@@ -68,8 +68,9 @@ def build_index(chunks: DataFrame, chunk_id: str, fields: dict[str, Column], fol
     # a chunk's terms lie together, so places are collected before they are shuffled
     postings = rows.groupBy("term", "field", "chunk_id", "size").agg(F.array_sort(F.collect_list("place")).alias("places"))
     dealt = postings.withColumn("shard", _shard(F.col("term")))
-    dealt.repartition("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))).sortWithinPartitions("shard", "term", "field").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
     spark = chunks.sparkSession
+    pieces = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)  # of a shard, so that no task writes all of a large one
+    dealt.repartition("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(pieces))).sortWithinPartitions("shard", "term", "field").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
     stored = spark.read.schema("term string, field string, chunk_id long, size int, places array<int>, shard int").parquet(f"{folder}/postings")
     stored.groupBy("term", "field").agg(F.count("*").alias("chunks")).write.mode("overwrite").parquet(f"{folder}/terms")
     one = stored.select("field", "chunk_id", "size").distinct()
