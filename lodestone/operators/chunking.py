@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,26 +85,31 @@ def windows_of(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, s
             yield begin, begin + len(content), content
 
 
-def sliding_chunks(segments: DataFrame, size: int, overlap: int) -> DataFrame:
-    """doc_id, seq, part, start_offset, end_offset, content: chunks of each segment; the fold stays inside a segment."""
+def sliding_chunks(segments: DataFrame, size: int | Column, overlap: int | Column, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, seq, part, start_offset, end_offset, content and the carried columns: chunks of each segment; the fold stays
+    inside a segment. Sizes and overlaps may differ from segment to segment."""
 
-    names = ["doc_id", "seq", "part", "start_offset", "end_offset", "content"]
+    column = lambda c: c if isinstance(c, Column) else F.lit(c)
+    rows = segments.select("doc_id", "seq", "start_offset", F.col("segment"), column(size).cast("int").alias("__size"), column(overlap).cast("int").alias("__overlap"), *carry)
+    names = ["doc_id", "seq", "part", "start_offset", "end_offset", "content", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, part, begin, end, content = [], [], [], [], []
-            base = pc.fill_null(batch.column(2), 0).to_pylist()
+            base, sizes, overlaps = (pc.fill_null(batch.column(c), 0).to_pylist() for c in (2, 4, 5))
             for row, text in enumerate(batch.column(3).to_pylist()):
-                for i, (a, b, piece) in enumerate(windows_of(text or "", size, overlap)):
+                for i, (a, b, piece) in enumerate(windows_of(text or "", sizes[row], overlaps[row])):
                     source.append(row)
                     part.append(i)
                     begin.append(base[row] + a)
                     end.append(base[row] + b)
                     content.append(piece)
-            keys = [batch.column(c).take(pa.array(source, pa.int64())) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, pa.int64()) for x in (part, begin, end)), pa.array(content, pa.string())], names)
+            at = pa.array(source, pa.int64())
+            keys, kept = ([batch.column(c).take(at) for c in some] for some in ((0, 1), range(6, 6 + len(carry))))
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, pa.int64()) for x in (part, begin, end)), pa.array(content, pa.string()), *kept], names)
 
-    return segments.select("doc_id", "seq", "start_offset", F.col("segment")).mapInArrow(run, "doc_id long, seq long, part long, start_offset long, end_offset long, content string")
+    kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, "doc_id long, seq long, part long, start_offset long, end_offset long, content string" + kept)
 
 
 def adapted_sizes(segments: DataFrame, size: int, overlap: int, least_chunks: int = 4, least: int = 160) -> DataFrame:

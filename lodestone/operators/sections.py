@@ -7,7 +7,7 @@ at headings that begin a section, and at texts that begin a page if no chunk cro
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +20,7 @@ from .segments import ATOMIC, inline_item, merge_orphan_headings, merge_orphan_t
 CONTEXT_CHARS, CONTEXT_SEGMENTS = 120, 6
 #: A budget below which nothing is merged.
 LEAST_BUDGET = 80
+_FIELDS = ["doc_id", "seq", "text", "block", "page_no", "heading_path", "start_offset", "end_offset"]
 _OUT = "array<struct<members:array<int>,whole:int>>"
 _TAIL = "array<struct<i:int,page:int>>"
 _OPEN = "struct<first:int,n:int,size:int,key:string,page:int,heads:boolean,context:boolean,line:boolean,poppable:boolean>"
@@ -94,7 +95,7 @@ def _whole(s: Column, i: Column, r: Column, rows: Column) -> Column:
     return _let(back, placed)
 
 
-def _text(s: Column, i: Column, r: Column, budget: int, joiner: int) -> Column:
+def _text(s: Column, i: Column, r: Column, budget: Column, joiner: int) -> Column:
     """After any other segment: it joins the open ones, or they become a chunk and it opens the next."""
     b = s["open"]
     chain = b["heads"] & r["head"] & r["page"].eqNullSafe(b["page"])
@@ -130,22 +131,28 @@ def _prepared(segments: DataFrame, keep_pages: Column) -> DataFrame:
     return rows.withColumn("piece", F.sum(cut).over(doc))
 
 
-def merge_sections(segments: DataFrame, budget: int, joiner: str = "\n\n", keep_pages: bool | Column = True) -> DataFrame:
+def merge_sections(segments: DataFrame, budget: int | Column, joiner: str = "\n\n", keep_pages: bool | Column = True) -> DataFrame:
     """Neighbours of one section (and page, if `keep_pages`) joined within the budget. Tables, pictures and preambles stay
     whole and take the headings and short lines right before them. Headings wait for what follows; noise joins text at
     hand, and goes if no text does. Adds merged (segments of a chunk) and context (segments that a whole one took).
 
     A document of one segment, and any document if the budget is below LEAST_BUDGET, stays as it is. As in the rule that
     this follows, an open chunk that can't introduce a table goes if the table takes back lines that stand before it."""
-    plain = segments.select("*", F.lit(1).alias("merged"), F.lit(0).alias("context"))
-    if budget < LEAST_BUDGET:
-        return plain
-    rows = _prepared(segments, keep_pages if isinstance(keep_pages, Column) else F.lit(keep_pages))
+    if not isinstance(budget, Column):
+        if budget < LEAST_BUDGET:
+            return segments.select("*", F.lit(1).alias("merged"), F.lit(0).alias("context"))
+        return _merged(segments, F.lit(budget), joiner, keep_pages)
+    small = segments.filter(budget < LEAST_BUDGET).select(*_FIELDS, F.lit(1).alias("merged"), F.lit(0).alias("context"))
+    return _merged(segments.filter(budget >= LEAST_BUDGET), budget, joiner, keep_pages).unionByName(small)
+
+
+def _merged(segments: DataFrame, budget: Column, joiner: str, keep_pages: bool | Column) -> DataFrame:
+    rows = _prepared(segments, keep_pages if isinstance(keep_pages, Column) else F.lit(keep_pages)).withColumn("budget", budget)
     fields = ["seq", "text", "t", "n", "block", "whole", "head", "noise", "opens", "context", "poppable", "line", "key", "heading_path", "start_offset", "end_offset"]
     row = F.struct(*fields, F.col("page_no").cast("int").alias("page"), F.coalesce(F.col("block") == "table", F.lit(False)).alias("table"))
-    pieces = rows.groupBy("doc_id", "piece").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("many").alias("many"))
+    pieces = rows.groupBy("doc_id", "piece").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("many").alias("many"), F.max("budget").alias("budget"))
     start = F.struct(F.lit(0).alias("i"), _empty().alias("open"), F.array().cast(_OUT).alias("out"), F.array().cast(_TAIL).alias("tail"))
-    step = lambda s, r: _let(s["i"] + 1, lambda i: F.when(r["whole"], _whole(s, i, r, F.col("rows"))).otherwise(_text(s, i, r, budget, len(joiner))))
+    step = lambda s, r: _let(s["i"] + 1, lambda i: F.when(r["whole"], _whole(s, i, r, F.col("rows"))).otherwise(_text(s, i, r, F.col("budget"), len(joiner))))
     folded = pieces.withColumn("out", F.aggregate("rows", start, step, lambda s: _flushed(s)["out"]))
     alone = F.array(F.struct(F.array(F.lit(1)).alias("members"), F.lit(0).alias("whole"))).cast(_OUT)
     chunks = folded.select("doc_id", F.explode(F.when(F.col("many") < 2, alone).otherwise(F.col("out"))).alias("o"), "rows")
@@ -171,9 +178,10 @@ def _pieces(items: Column, starts: Column, joiner: str) -> Column:
     return F.transform(starts, lambda s, j: F.array_join(F.slice(items, s + 1, end(j) - s), joiner))
 
 
-def split_merged_sections(chunks: DataFrame, joiner: str = "\n\n") -> DataFrame:
+def split_merged_sections(chunks: DataFrame, joiner: str = "\n\n", carry: Sequence[str] = ()) -> DataFrame:
     """Chunks in which two or more sections begin, cut before each; what is before the first is a chunk of its own. Lines
-    of lists in brackets don't begin a section; tables and pictures are cut only with what they took. Adds part."""
+    of lists in brackets don't begin a section; tables and pictures are cut only with what they took. Adds part; carried
+    columns are kept."""
     places = lambda a: F.transform(a, lambda _, i: i)
     line = lambda a, i: F.element_at(F.split(strip(F.get(a, i)), "\n"), 1)
     rows = chunks.withColumn("lines", F.split(strip(F.coalesce(F.col("text"), F.lit(""))), "\n", -1))
@@ -196,16 +204,16 @@ def split_merged_sections(chunks: DataFrame, joiner: str = "\n\n") -> DataFrame:
     block = F.when(~F.col("several"), F.col("block")).when(F.col("cell.title").isNull() & (F.col("block") == "document_preamble"), F.col("block")).otherwise("paragraph")
     return rows.select(
         "doc_id", "seq", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce(F.when(F.col("several"), F.col("cell.text")), "text").alias("text"), block.alias("block"), "page_no",
-        F.when(F.col("several"), F.coalesce("cell.title", "heading_path")).otherwise(F.col("heading_path")).alias("heading_path"), "start_offset", "end_offset", "merged", "context",
+        F.when(F.col("several"), F.coalesce("cell.title", "heading_path")).otherwise(F.col("heading_path")).alias("heading_path"), "start_offset", "end_offset", "merged", "context", *carry,
     )
 
 
-def prebuilt_segments(segments: DataFrame, budget: int, joiner: str = "\n\n") -> DataFrame:
+def prebuilt_segments(segments: DataFrame, budget: int | Column, joiner: str = "\n\n") -> DataFrame:
     """Segments as a parser's layout becomes chunks: of documents (parser_type, parser_backend) whose layouts are merged by
     section, chunks are merged, cut at sections, and titles and headings that stand alone join what follows; pdf chunks
     cross pages, those of other types don't. Segments of other documents stay. seq is numbered anew from 0."""
     applies = merges_sections(F.col("parser_backend"), F.col("parser_type"))
-    base = ["doc_id", "seq", "text", "block", "page_no", "heading_path", "start_offset", "end_offset"]
+    base = _FIELDS
     merged = merge_sections(segments.filter(applies), budget, joiner, ~F.col("parser_type").isin("pdf", "mineru"))
     cut = split_merged_sections(merged, joiner)
     number = F.row_number().over(W.partitionBy("doc_id").orderBy("seq", "part")) - 1

@@ -4,6 +4,8 @@ Runs and prefixes are windows inside a document; only bin packing by budget is a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,10 +50,11 @@ def _doc() -> W:
     return W.partitionBy("doc_id").orderBy("seq")
 
 
-def _grouped(rows: DataFrame, joiner: str, *carried: str) -> DataFrame:
-    """One row for each (doc_id, g): texts joined in order; offsets from the first to the last."""
+def _grouped(rows: DataFrame, joiner: str, *carried: str, first: bool = False) -> DataFrame:
+    """One row for each (doc_id, g): texts joined in order; offsets from the first to the last; what is carried is that of
+    the last row, or of the first."""
     texts = F.array_sort(F.collect_list(F.struct("seq", strip(F.col("text")).alias("t"))))
-    columns = [F.max_by(c, "seq").alias(c) for c in carried]
+    columns = [(F.min_by if first else F.max_by)(c, "seq").alias(c) for c in carried]
     return rows.groupBy("doc_id", "g").agg(
         F.min("seq").alias("seq"), F.array_join(F.transform(texts, lambda x: x["t"]), joiner).alias("text"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), F.count("*").alias("merged"), *columns
     ).drop("g")
@@ -71,7 +74,7 @@ def merge_preamble(segments: DataFrame, short: int = 280, budget: int = 1800, mo
     return _grouped(rows, "\n", "block", "page_no", "heading_path")
 
 
-def merge_orphan_headings(segments: DataFrame, most: int = 120, body: int = 40, joiner: str = "\n\n") -> DataFrame:
+def merge_orphan_headings(segments: DataFrame, most: int = 120, body: int = 40, joiner: str = "\n\n", carry: Sequence[str] = ()) -> DataFrame:
     """Runs of segments that are headings alone join the next segment, unless that is a table, an image or missing."""
     text = strip_markdown(F.col("text"))
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
@@ -82,10 +85,10 @@ def merge_orphan_headings(segments: DataFrame, most: int = 120, body: int = 40,
     end = W.partitionBy("doc_id", "__run")
     closes = F.max(F.when(~F.col("__orphan"), ~F.coalesce(F.col("block").isin(*ATOMIC), F.lit(False)))).over(end)
     rows = rows.withColumn("g", F.when(F.coalesce(closes, F.lit(False)), -1 - F.col("__run")).otherwise(F.col("seq")))
-    return _grouped(rows, joiner, "block", "page_no", "heading_path")
+    return _grouped(rows, joiner, "block", "page_no", "heading_path", *carry)
 
 
-def merge_orphan_titles(segments: DataFrame, most: int = 120, joiner: str = "\n\n") -> DataFrame:
+def merge_orphan_titles(segments: DataFrame, most: int = 120, joiner: str = "\n\n", carry: Sequence[str] = ()) -> DataFrame:
     """A short title joins the segment after it; the pair is used up, so of a run of titles every second one begins a pair."""
     text = strip_markdown(F.col("text"))
     atomic = lambda c: F.coalesce(c.isin(*ATOMIC), F.lit(False))
@@ -96,7 +99,7 @@ def merge_orphan_titles(segments: DataFrame, most: int = 120, joiner: str = "\n\
     place = F.row_number().over(W.partitionBy("doc_id", F.coalesce("__run", F.lit(0))).orderBy("seq"))
     rows = rows.withColumn("__first", F.col("__opens") & (place % 2 == 1))
     rows = rows.withColumn("g", F.when(F.lag("__first").over(_doc()), F.lag("seq").over(_doc())).otherwise(F.col("seq")))
-    return _grouped(rows, joiner, "block", "page_no", "heading_path")
+    return _grouped(rows, joiner, "block", "page_no", "heading_path", *carry)
 
 
 def split_at_sections(segments: DataFrame) -> DataFrame:
@@ -110,23 +113,25 @@ def split_at_sections(segments: DataFrame) -> DataFrame:
     return full.groupBy("doc_id", "seq", "part").agg(strip(body).alias("text")).filter("text <> ''")
 
 
-def merge_by_budget(segments: DataFrame, budget: int, joiner: str = "\n\n") -> DataFrame:
-    """Neighbours of one page and section packed into the budget; a heading opens a new one. Packing is sequential, so
-    the numbers of the packs come from a fold over a document's lengths; joining is a grouped aggregation."""
+def merge_by_budget(segments: DataFrame, budget: int | Column, joiner: str = "\n\n", carry: Sequence[str] = (), least: int = 80) -> DataFrame:
+    """Neighbours of one page and section packed into the budget, which may differ from document to document; a heading opens
+    a new one. A pack has the block, page and path of its first segment; below the least budget nothing is packed. Packing
+    is sequential, so the numbers of the packs come from a fold over a document's lengths; joining is a grouped aggregation."""
     rows = segments.filter(strip(F.col("text")) != "").withColumn("__n", F.length(strip(F.col("text"))))
     rows = rows.withColumn("__key", F.concat_ws("|", F.coalesce(F.col("page_no").cast("string"), F.lit("-")), F.coalesce(section_key(F.col("heading_path")), F.lit("-"))))
+    rows = rows.withColumn("__budget", budget if isinstance(budget, Column) else F.lit(budget))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
         packs, at, used, key = [], -1, 0, None
-        for n, k, head in zip(frame["__n"], frame["__key"], frame["__head"], strict=True):
-            joins = used > 0 and not head and k == key and used + len(joiner) + n <= budget
+        for n, k, head, most in zip(frame["__n"], frame["__key"], frame["__head"], frame["__budget"], strict=True):
+            joins = most >= least and used > 0 and not head and k == key and used + len(joiner) + n <= most
             at += not joins
-            used = used + len(joiner) + n if joins else 0 if n >= budget and not head else n
+            used = used + len(joiner) + n if joins else 0 if n >= most and not head else n
             key = k
             packs.append(at)
         return pd.DataFrame({"doc_id": frame["doc_id"], "seq": frame["seq"], "g": packs})
 
-    lengths = rows.select("doc_id", "seq", "__n", "__key", F.coalesce(F.col("block") == "heading", F.lit(False)).alias("__head"))
+    lengths = rows.select("doc_id", "seq", "__n", "__key", "__budget", F.coalesce(F.col("block") == "heading", F.lit(False)).alias("__head"))
     packs = lengths.groupBy("doc_id").applyInPandas(pack, "doc_id long, seq long, g long")
-    return _grouped(rows.join(packs, ["doc_id", "seq"]), joiner, "block", "page_no", "heading_path")
+    return _grouped(rows.join(packs, ["doc_id", "seq"]), joiner, "block", "page_no", "heading_path", *carry, first=True)

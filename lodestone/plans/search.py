@@ -101,7 +101,7 @@ def _segments(spark, sf_dir):
 pack AS (SELECT DISTINCT doc_id, CAST(-1 AS BIGINT) AS seq, CAST(-1 AS BIGINT) AS g, CAST(0 AS BIGINT) AS used, CAST(NULL AS INT) AS page_no FROM line
 UNION ALL SELECT doc_id, seq, CASE WHEN joins THEN g ELSE g + 1 END, CASE WHEN joins THEN used + 2 + n WHEN n >= 512 AND NOT head THEN 0 ELSE n END, page_no
 FROM (SELECT l.*, p.g, p.used, p.used > 0 AND NOT l.head AND l.page_no IS NOT DISTINCT FROM p.page_no AND p.used + 2 + l.n <= 512 AS joins FROM pack p JOIN line l ON l.doc_id = p.doc_id AND l.seq = p.seq + 1))
-SELECT doc_id, min(seq) AS seq, string_agg(t, chr(10) || chr(10) ORDER BY seq) AS text, min(start_offset) AS start_offset, max(end_offset) AS end_offset, count(*) AS merged, CASE WHEN arg_max(head, seq) THEN 'heading' END AS block, max(line.page_no) AS page_no, CAST(NULL AS VARCHAR) AS heading_path
+SELECT doc_id, min(seq) AS seq, string_agg(t, chr(10) || chr(10) ORDER BY seq) AS text, min(start_offset) AS start_offset, max(end_offset) AS end_offset, count(*) AS merged, CASE WHEN arg_min(head, seq) THEN 'heading' END AS block, max(line.page_no) AS page_no, CAST(NULL AS VARCHAR) AS heading_path
 FROM line JOIN pack USING (doc_id, seq) GROUP BY doc_id, g""")
 def budget_merged_segments(spark, sf_dir):
     return segments.merge_by_budget(_segments(spark, sf_dir), 512)
