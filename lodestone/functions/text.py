@@ -96,7 +96,7 @@ def layout_noise(c: Column) -> Column:
     or words of a site's navigation."""
     s = collapse_whitespace(F.coalesce(c, F.lit("")))
     n = F.length(s)
-    tick, address = (n <= 3) & s.rlike(r"^-?\d+$"), (n <= 32) & s.rlike(r"^[\w.+-]+@[\w.-]+\.\w+$")
+    tick, address = (n <= 3) & s.rlike(r"(?U)^-?\d+$"), (n <= 32) & s.rlike(r"(?U)^[\w.+-]+@[\w.-]+\.\w+$")
     return (n <= 1) | tick | address | s.rlike(FURNITURE) | ((n <= 48) & s.rlike(POSITION)) | ((n <= 36) & s.rlike(HOME))
 
 

@@ -190,3 +190,21 @@ def ready_chunks(chunks: DataFrame, documents: DataFrame, most: int = MOST_CHUNK
     """The chunks of documents that may be indexed."""
     ready = plan_outcomes(chunks, documents, most).filter("outcome = 'ready'").select("doc_id")
     return chunks.join(ready, "doc_id", "left_semi")
+
+
+def graph_inserts(chunks: DataFrame, documents: DataFrame, boundary: str, base_size: int, margin: int = 256, most: int = 32_768) -> DataFrame:
+    """doc_id, reuses, token_size, text: how a document goes into a graph index.
+
+    chunks: doc_id, chunk_index, content. documents: doc_id, n_chars, index_mode (auto, reuse_parse, native; others are auto),
+    least_chars. The chunks are used again if the mode says so or, in auto, if the document has least_chars or more; a document
+    without chunks uses none. `text` is then the chunks joined by the boundary, and token_size is raised so that the longest
+    chunk fits, at three characters for two tokens and up to `most`; else `text` is null and token_size is base_size."""
+    by_index = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"])
+    longest = F.max(F.when(strip(F.col("content")) != "", F.floor(F.length("content") / 1.5)))
+    joined = chunks.filter("content IS NOT NULL").groupBy("doc_id").agg(F.array_join(by_index, boundary).alias("joined"), F.coalesce(longest, F.lit(0)).alias("longest"))
+    rows = documents.select("doc_id", "n_chars", "index_mode", "least_chars").join(joined, "doc_id", "left")
+    large = F.coalesce(F.col("n_chars") >= F.col("least_chars"), F.lit(False))
+    asked = F.when(F.col("index_mode") == "native", False).when(F.col("index_mode") == "reuse_parse", True).otherwise(large)
+    rows = rows.withColumn("reuses", asked & F.col("joined").isNotNull())
+    needed = F.least(F.lit(most), F.greatest(F.lit(base_size), F.col("longest") + margin))
+    return rows.select("doc_id", "reuses", F.when(F.col("reuses"), needed).otherwise(base_size).cast("long").alias("token_size"), F.when(F.col("reuses"), F.col("joined")).alias("text"))

@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 
 from lodestone.plans import queries as plans
-from lodestone.plans import answers, dashboard, focus, layout, layouts, lexical, planning, records, search, sections, store, terms  # noqa: F401  they register their queries
+from lodestone.plans import answers, dashboard, focus, layout, layouts, lexical, planning, records, rules, search, sections, store, terms  # noqa: F401  they register their queries
 
 
 @pytest.fixture(scope="module")
