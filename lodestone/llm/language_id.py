@@ -11,8 +11,9 @@ A further class stands for languages that nobody declares: trigrams at random, w
 rejected if no letter is in its text, if that class is likeliest, or if no language reaches MIN_CONFIDENCE.
 
 Defined results: null and empty texts are rejected and have no language; missing evidence says nothing; a declared
-language that isn't two or three letters is no evidence; every language that is declared is known, however many there
-are; without any declared language every record is rejected; rows that repeat an id are judged each; other columns are
+language that isn't two or three letters is no evidence; a code that LEAST_TEXTS texts or more declare is a language,
+however many there are, and a rarer one is none, as its model would be fitted on the very texts that it judges; without
+any language every record is rejected; rows that repeat an id are judged each; other columns are
 ignored. Texts are taken whole.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .shared import stored, work_dir
 from .vectext import SPACE_CUT, gather, joined, mix64, parts, slices
 
+#: Texts that must declare a code before it is a language.
+LEAST_TEXTS = 5
 #: Expected number of texts that the trigram model is fitted on, in equal shares for all languages.
 TRAIN_DOCS = 8000
 BUCKETS = 1 << 16
@@ -117,7 +120,7 @@ class Trigrams(NamedTuple):
 def fit(records: DataFrame) -> tuple[list[str], Trigrams | None]:
     """Languages, and their trigram model."""
     declared = records.filter("declared IS NOT NULL AND length(text) > 0")
-    counts = {r.declared: r["count"] for r in declared.groupBy("declared").count().collect()}
+    counts = {r.declared: r["count"] for r in declared.groupBy("declared").count().filter(F.col("count") >= LEAST_TEXTS).collect()}
     languages = sorted(counts)
     if not languages:
         return [], None

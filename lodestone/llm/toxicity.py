@@ -7,9 +7,10 @@ exactly zero, so that the few that remain are broadcast and scoring touches only
 The model is fitted on at most TRAIN_ROWS labelled rows (in expectation), drawn by the hash of doc_id; features are
 extracted in parallel, and one task runs the updates over that bounded sample. Every text is scored whole.
 
-Defined results: null and empty texts get the score of the bias alone; rows that repeat a doc_id are scored each; a
-doc_id with several labels counts as toxic if one of them says so; labels that are null are left out; without any label
-to learn from every score is 0.5 and predicted 1; other columns are ignored.
+Defined results: null and empty texts get the score of the bias alone; rows that repeat a doc_id are scored each,
+but only the greatest of their texts is learned from; a doc_id with several labels counts as toxic if one of them says
+so; labels that are null are left out; without any label to learn from every score is 0.5 and predicted 1; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -108,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     share = min(scale, int(scale * TRAIN_ROWS / max(total, 1)))
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share)  # TRAIN_ROWS rows at most, in expectation
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # one text of each id, however often it repeats
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
