@@ -99,12 +99,18 @@ def image_keywords(caption: Column, heading: Column, content: Column, size: int
 
 def markdown_table(grid: Column) -> Column:
     """Rows of cells as a Markdown table: blank rows go, short rows are filled up, a rule follows the first row."""
-    rows = F.filter(F.transform(grid, lambda r: F.transform(r, strip)), lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  body(value), computed once
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    full = F.transform(rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
-    rule = F.when(F.size(rows) >= 2, F.array(line(F.array_repeat(F.lit("---"), width)))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(full, 1, 1), rule, F.slice(full, 2, F.greatest(F.size(full), F.lit(1)))), "\n")).otherwise("")
+
+    def lines(t: Column) -> Column:
+        rows, width = t["rows"], t["width"]
+        full = lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        rule = F.when(F.size(rows) >= 2, F.array(line(F.array_repeat(F.lit("---"), width)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.transform(F.slice(rows, 1, 1), full), rule, F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), full))
+
+    sized = lambda rows: let(F.struct(rows.alias("rows"), F.array_max(F.transform(rows, F.size)).alias("width")), lambda t: F.array_join(lines(t), "\n"))
+    rows = F.filter(F.transform(grid, lambda r: F.transform(r, strip)), lambda r: F.exists(r, lambda c: c != ""))
+    return let(rows, lambda x: F.when(F.size(x) > 0, sized(x)).otherwise(""))
 
 
 def table_batch(rows: Column, mean_size: Column, most_chars: int = 6500, most_rows: int = 10, most_segments: int = 3200) -> Column:

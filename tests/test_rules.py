@@ -22,3 +22,12 @@ def test_furniture_of_any_script(spark):
     lines = {"张三@例子.cn": True, "zhang.三+1@x-y.cn": True, "12": True, "１２": True, "1234": False, "": True, None: True, "网站地图": True, "a@b": False, "x" * 30 + "@y.cn": False}
     rows = spark.createDataFrame([(k,) for k in lines], "line string").withColumn("noise", T.layout_noise(F.col("line")))
     assert {r.line: r.noise for r in rows.collect()} == lines
+
+
+def test_markdown_table_strips_each_cell_once(spark):
+    from lodestone.functions.fields import markdown_table
+
+    rows = spark.createDataFrame([([[" a", "b "], [" "], ["c"], ["d", "e", "f"]],), ([["x"]],), ([[" "]],), ([],)], "grid array<array<string>>").select(markdown_table(F.col("grid")).alias("t"))
+    want = ["| a | b |  |\n| --- | --- | --- |\n| c |  |  |\n| d | e | f |", "| x |", "", ""]
+    assert [r.t for r in rows.collect()] == want
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1  # not once more for each row of the table
