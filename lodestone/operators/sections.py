@@ -2,8 +2,9 @@
 
 Rows are segments: doc_id, seq, text, block, page_no, heading_path, start_offset, end_offset. What a row does depends on
 those before it (the open section, headings and noise that wait for text, what is left of the budget), so a document is
-folded by one `aggregate` whose state is a struct. A document is cut beforehand where the fold must be empty in any case:
-at headings that begin a section, and at texts that begin a page if no chunk crosses pages. Only such a piece is in one row."""
+folded by one `aggregate` whose state is a struct. A document is cut beforehand where nothing before can matter any more: at
+headings that begin a section, unless a table may follow that takes back lines before them, and at texts that begin a page
+if no chunk crosses pages and no later page goes back. Only such a piece is in one row."""
 
 from __future__ import annotations
 
@@ -126,8 +127,16 @@ def _prepared(segments: DataFrame, keep_pages: Column) -> DataFrame:
     key = F.concat(page, F.lit("|"), F.coalesce(F.concat(F.lit("/"), section_key(F.when(strip(F.col("heading_path")) != "", F.col("heading_path")))), F.lit("")))
     rows = rows.withColumns({"opens": F.col("head") & ~F.col("noise") & F.col("section") & ~F.col("whole"), "context": context, "poppable": poppable, "key": key})
     before = F.max("page_no").over(doc.rowsBetween(W.unboundedPreceding, -1))
-    turns = F.col("pages") & ~F.col("whole") & (F.count_if(F.col("page_no").isNull()).over(every) == 0) & (F.col("page_no") > before)
-    cut = F.when(F.col("opens") | F.coalesce(turns, no), 1).otherwise(0)
+    least = F.min("page_no").over(doc.rowsBetween(W.currentRow, W.unboundedFollowing))
+    turns = F.col("pages") & ~F.col("whole") & (F.count_if(F.col("page_no").isNull()).over(every) == 0) & (least > before)
+    # a table takes back lines from before a heading if text that can't introduce it came between; what ends such a run of
+    # lines is a whole segment or a chunk that isn't one of them
+    clears = F.col("whole") | (~F.col("poppable") & F.col("line"))
+    rows = rows.withColumn("clears", F.coalesce(clears, no))
+    end = F.when(F.col("whole") | F.col("opens"), F.struct(F.coalesce(F.col("block") == "table", no).alias("table"), F.col("seq").alias("at")))
+    end = F.first(end, ignorenulls=True).over(doc.rowsBetween(1, W.unboundedFollowing))
+    back = F.coalesce(end["table"], no) & (end["at"] > F.lead("seq").over(doc)) & ~F.coalesce(F.lag("clears").over(doc), F.lit(True))
+    cut = F.when((F.col("opens") & ~back) | F.coalesce(turns, no), 1).otherwise(0)
     return rows.withColumn("piece", F.sum(cut).over(doc))
 
 

@@ -78,6 +78,20 @@ def test_pieces_change_no_result(spark):
     assert [r.text for r in merged(turned, pages=True)] == ["附件\n\n图", "说明", "续页文"]
 
 
+def test_table_takes_back_lines_from_before_a_section(spark):
+    """A heading that begins a section is no cut if text that can't introduce the table comes after it, nor is a page to
+    which a later one goes back; the open list goes, as in the rule."""
+    rows = segments(spark, ("说明甲", "paragraph", "甲", 1), ("第 1 章 总则", "heading", "乙", 1), ("列", "list", "乙", 1), (TABLE, "table", None, 1))
+    for pages in (False, True):
+        assert [r.text for r in merged(rows, pages=pages)] == [f"说明甲\n\n{TABLE}"]
+        # a long text before the heading, or a heading right before the table, leaves nothing to take back
+        long = rows.withColumn("text", F.when(F.col("seq") == 0, "长" * 121).otherwise(F.col("text")))
+        assert [r.text for r in merged(long, pages=pages)] == ["长" * 121, "第 1 章 总则\n\n列", TABLE]
+        assert [r.text for r in merged(rows.filter("seq <> 2"), pages=pages)] == ["说明甲", f"第 1 章 总则\n\n{TABLE}"]
+    turned = segments(spark, ("说明甲", "paragraph", "甲", 1), ("列", "list", "乙", 2), (TABLE, "table", None, 1))
+    assert [r.text for r in merged(turned, pages=True)] == [f"说明甲\n\n{TABLE}"]
+
+
 def test_split_merged(spark):
     joined = segments(spark, ("标题行\n一、对象\n甲\n二、材料\n乙\n（一）丙", "paragraph", "x", 1), ("一、表\n| a |\n二、表\n| b |", "table", None, 1), ("第三十三条 种类如下：\n（一）管制；\n（二）拘役；", "paragraph", None, 1), ("只有一节\n一、对象", "paragraph", "y", 1))
     joined = joined.withColumns({"merged": F.lit(2), "context": F.lit(0)})
