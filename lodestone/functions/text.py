@@ -14,13 +14,17 @@ COLLOQUIAL = (("被动防御", "正当防卫"), ("被动防卫", "正当防卫")
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 
 
+#: The characters that are white space in Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -44,7 +48,9 @@ def expand_colloquial(c: Column) -> Column:
 def strip_markdown(c: Column, depth: int = 3) -> Column:
     """Without pairs of ** and __ around text, nested `depth` deep at most; ideographic spaces become blanks."""
     pair = lambda x: F.regexp_replace(F.regexp_replace(x, r"\*\*(.+?)\*\*", "$1"), r"__(.+?)__", "$1")
-    return strip(reduce(lambda x, _: pair(x), range(depth), F.translate(c, "　", " ")))
+    plain = F.translate(c, "　", " ")
+    marked = F.contains(plain, F.lit("**")) | F.contains(plain, F.lit("__"))
+    return strip(F.when(marked, reduce(lambda x, _: pair(x), range(depth), plain)).otherwise(plain))
 
 
 def estimated_tokens(c: Column) -> Column:
@@ -94,10 +100,14 @@ POSITION, HOME = "当前位置|您现在所在的位置|您现在的位置", r"^
 def layout_noise(c: Column) -> Column:
     """Whether a text is page furniture: nothing, one character, a tick of up to three characters, a short e-mail address,
     or words of a site's navigation."""
-    s = collapse_whitespace(F.coalesce(c, F.lit("")))
-    n = F.length(s)
-    tick, address = (n <= 3) & s.rlike(r"(?U)^-?\d+$"), (n <= 32) & s.rlike(r"(?U)^[\w.+-]+@[\w.-]+\.\w+$")
-    return (n <= 1) | tick | address | s.rlike(FURNITURE) | ((n <= 48) & s.rlike(POSITION)) | ((n <= 36) & s.rlike(HOME))
+
+    def noise(s: Column) -> Column:
+        n = F.length(s)
+        tick, address = (n <= 3) & s.rlike(r"(?U)^-?\d+$"), (n <= 32) & s.rlike(r"(?U)^[\w.+-]+@[\w.-]+\.\w+$")
+        return (n <= 1) | tick | address | s.rlike(FURNITURE) | ((n <= 48) & s.rlike(POSITION)) | ((n <= 36) & s.rlike(HOME))
+
+    # the text without repeated blanks is made once, not once for each pattern
+    return F.get(F.transform(F.array(collapse_whitespace(F.coalesce(c, F.lit("")))), noise), F.lit(0))
 
 
 def retrievable(c: Column) -> Column:

@@ -4,9 +4,9 @@ Runs and prefixes are windows inside a document; only bin packing by budget is a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,12 +23,11 @@ ATOMIC = ("table", "image", "document_preamble")
 
 
 def starts_section(c: Column) -> Column:
-    t = strip_markdown(c)
-    return t.rlike(CHAPTER_LINE) | t.rlike(SECTION_LINE) | t.rlike(NUMBERED_LINE)
+    return strip_markdown(c).rlike(f"{CHAPTER_LINE}|{SECTION_LINE}|{NUMBERED_LINE}")
 
 
 def starts_body(c: Column) -> Column:
-    return starts_section(c) | strip_markdown(c).rlike(ITEM_LINE)
+    return strip_markdown(c).rlike(f"{CHAPTER_LINE}|{SECTION_LINE}|{NUMBERED_LINE}|{ITEM_LINE}")
 
 
 def inline_item(line: Column, before: Column, short: int = 40) -> Column:
@@ -39,11 +38,13 @@ def inline_item(line: Column, before: Column, short: int = 40) -> Column:
 
 def section_key(path: Column) -> Column:
     """The last section of a heading path, else its last part that is no list item; null without a path."""
-    parts = F.filter(F.transform(F.split(path, " / "), lambda p: strip_markdown(p)), lambda p: p != "")
-    plain = F.filter(parts, lambda p: ~p.rlike(ITEM_LINE))
-    marked = F.filter(plain, lambda p: p.rlike(CHAPTER_LINE) | p.rlike(SECTION_LINE) | p.rlike(NUMBERED_LINE))
-    last = lambda a: F.get(a, F.size(a) - 1)
-    return F.coalesce(last(marked), last(plain), last(parts))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  body(value), computed once
+    last = lambda a: F.element_at(a, -1)
+    some = lambda a, body: F.when(F.size(a) > 0, body(a))
+    plain = lambda parts: F.filter(parts, lambda p: ~p.rlike(ITEM_LINE))
+    marked = lambda parts: F.filter(parts, lambda p: p.rlike(f"{CHAPTER_LINE}|{SECTION_LINE}|{NUMBERED_LINE}"))
+    chosen = lambda parts: F.coalesce(let(plain(parts), lambda a: F.coalesce(let(marked(a), lambda b: some(b, last)), some(a, last))), some(parts, last))
+    return let(F.filter(F.transform(F.split(path, " / "), lambda p: strip_markdown(p)), lambda p: p != ""), chosen)
 
 
 def _doc() -> W:
@@ -116,22 +117,30 @@ def split_at_sections(segments: DataFrame) -> DataFrame:
 def merge_by_budget(segments: DataFrame, budget: int | Column, joiner: str = "\n\n", carry: Sequence[str] = (), least: int = 80) -> DataFrame:
     """Neighbours of one page and section packed into the budget, which may differ from document to document; a heading opens
     a new one. A pack has the block, page and path of its first segment; below the least budget nothing is packed. Packing
-    is sequential, so the numbers of the packs come from a fold over a document's lengths; joining is a grouped aggregation."""
+    is sequential, so the numbers of the packs come from a fold over the segments in order, a task's documents one after the
+    other; joining is a grouped aggregation."""
     rows = segments.filter(strip(F.col("text")) != "").withColumn("__n", F.length(strip(F.col("text"))))
     rows = rows.withColumn("__key", F.concat_ws("|", F.coalesce(F.col("page_no").cast("string"), F.lit("-")), F.coalesce(section_key(F.col("heading_path")), F.lit("-"))))
     rows = rows.withColumn("__budget", budget if isinstance(budget, Column) else F.lit(budget))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        packs, at, used, key = [], -1, 0, None
-        for n, k, head, most in zip(frame["__n"], frame["__key"], frame["__head"], frame["__budget"], strict=True):
-            joins = most >= least and used > 0 and not head and k == key and used + len(joiner) + n <= most
-            at += not joins
-            used = used + len(joiner) + n if joins else 0 if n >= most and not head else n
-            key = k
-            packs.append(at)
-        return pd.DataFrame({"doc_id": frame["doc_id"], "seq": frame["seq"], "g": packs})
-
-    lengths = rows.select("doc_id", "seq", "__n", "__key", "__budget", F.coalesce(F.col("block") == "heading", F.lit(False)).alias("__head"))
-    packs = lengths.groupBy("doc_id").applyInPandas(pack, "doc_id long, seq long, g long")
-    return _grouped(rows.join(packs, ["doc_id", "seq"]), joiner, "block", "page_no", "heading_path", *carry, first=True)
+    rows = rows.withColumn("__head", F.coalesce(F.col("block") == "heading", F.lit(False)))
+    rows = rows.select("doc_id", "seq", "text", "start_offset", "end_offset", "block", "page_no", "heading_path", *carry, "__n", "__key", "__budget", "__head")
+    gap = len(joiner)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, at, used, key = None, -1, 0, None
+        for batch in batches:
+            packs = []
+            for d, n, k, head, most in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__n", "__key", "__head", "__budget")), strict=True):
+                if d != doc:
+                    doc, at, used, key = d, -1, 0, None
+                joins = most >= least and used > 0 and not head and k == key and used + gap + n <= most
+                at += not joins
+                used = used + gap + n if joins else 0 if n >= most and not head else n
+                key = k
+                packs.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int64())], names=[*batch.schema.names, "g"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    packs = rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(pack, f"{kinds}, g long")
+    return _grouped(packs, joiner, "block", "page_no", "heading_path", *carry, first=True)

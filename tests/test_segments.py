@@ -51,3 +51,18 @@ def test_orphan_titles_use_up_pairs(spark):
 def test_budget(spark):
     rows = table(spark, ("a" * 30, None, "A"), ("b" * 30, None, "A"), ("c" * 50, None, "A"), ("d" * 10, None, "B"), ("H", "heading", "B"), ("e" * 10, None, "B"), ("f" * 120, None, "B"), ("g" * 5, None, "B"))
     assert texts(S.merge_by_budget(rows, 100)) == ["a" * 30 + "\n\n" + "b" * 30, "c" * 50, "d" * 10, "H\n\n" + "e" * 10, "f" * 120, "g" * 5]
+
+
+def test_packs_do_not_depend_on_batches(spark):
+    """Documents follow one another in a task's batches, whatever their size; no group is handed over as a whole, none is joined."""
+    rows = spark.createDataFrame([(d, i, "x" * (5 + (d * 7 + i) % 40), "heading" if i % 9 == 4 else None, i // 6, None, i, i + 1) for d in range(5) for i in range(30)], SCHEMA)
+    want = {(r.doc_id, r.seq, r.text, r.merged) for r in S.merge_by_budget(rows, 100).collect()}
+    assert len(want) > 30
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        packed = S.merge_by_budget(rows, 100)
+        assert {(r.doc_id, r.seq, r.text, r.merged) for r in packed.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Join" not in plan
