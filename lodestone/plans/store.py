@@ -70,9 +70,11 @@ CASE WHEN doc_id % 2 = 0 THEN 0 ELSE (length(text) - 1) // 40 END AS gaps, CASE
 def stitched_texts(spark, sf_dir):
     """Documents cut into chunks that overlap, or leave gaps, and put together again."""
     docs = table(spark, sf_dir, "documents").filter("text <> ''")
-    starts = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(40))).alias("start_offset"))
-    size = F.when(F.col("doc_id") % 2 == 0, 60).otherwise(30)
-    return ordered.stitched(starts.select("doc_id", "start_offset", F.substr("text", F.col("start_offset") + 1, size).alias("content")))
+    parts = docs.select("doc_id", F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0)).alias("parts"))  # each text is read once, not once a chunk
+    longer = F.zip_with("parts", F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, 20), F.lit(""))))
+    chunks = F.when(F.col("doc_id") % 2 == 0, longer).otherwise(F.transform("parts", lambda a: F.substring(a, 1, 30)))
+    rows = parts.select("doc_id", F.posexplode(chunks).alias("at", "content"))
+    return ordered.stitched(rows.select("doc_id", (F.col("at") * 40).alias("start_offset"), "content"))
 
 
 @query(r"""WITH snap AS (SELECT CAST(o_custkey AS VARCHAR) AS log, o_orderkey AS "at", CAST(floor(o_totalprice) AS BIGINT) % 12 AS n FROM orders),

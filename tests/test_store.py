@@ -119,6 +119,22 @@ def test_preview_groups(spark):
     assert sorted((r.chunk_index, r.doc_id, r.parent_index, r.content) for r in got.collect()) == [(0, 1, 7, "a"), (1, 1, 7, "c"), (2, 1, 3, "b"), (3, 2, 0, "d")]
 
 
+def test_chunks_to_stitch_are_cut_once(spark, monkeypatch):
+    """The text isn't copied into a row for each of its chunks, which made the work grow with the square of its length."""
+    from lodestone.plans import store as plan
+
+    monkeypatch.setattr(plan.ordered, "stitched", lambda rows: rows)
+    rows = plan.stitched_texts(spark, "/root/testdata/sf0.001")
+    assert "explode(sequence" not in rows._jdf.queryExecution().analyzed().toString()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {}
+    for r in rows.collect():
+        size = 60 if r.doc_id % 2 == 0 else 30
+        assert r.content == texts[r.doc_id][r.start_offset : r.start_offset + size]
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {d: (len(t) + 39) // 40 for d, t in texts.items() if t}
+
+
 def test_stitched(spark):
     rows = [(1, 0, "abcdef"), (1, 4, "efgh"), (1, 2, "cd"), (1, 4, "efgh"), (1, 10, "xy"), (1, 12, "z"), (2, 5, "late"), (3, 0, None), (3, 0, ""), (3, None, "lost")]
     got = O.stitched(spark.createDataFrame(rows, "doc_id long, start_offset long, content string").repartition(3))
