@@ -69,7 +69,13 @@ def preview_groups(segments: DataFrame, most: int, piece: int = 88) -> DataFrame
     parent_index, seq, text) in order, numbered through from 0. Documents come by id; a document's parents in the order in
     which they first appear, each with all its children. Children without a parent take no part."""
     first = F.min("seq").over(W.partitionBy("doc_id", "parent_index"))
-    rows = segments.filter("parent_index IS NOT NULL").withColumn("__first", first).withColumn("__pieces", preview_pieces(F.col("text"), piece))
+    # a child that isn't blank has a piece at least: documents before which there are `most` such children show nothing
+    named = written(segments.filter("parent_index IS NOT NULL"), "children")
+    shown = F.count_if(strip(F.coalesce("text", F.lit(""))) != "")
+    counts = with_total_before(named.groupBy("doc_id").agg(shown.alias("__some")), "__some", ["doc_id"], "__earlier")
+    reached = written(counts.filter(F.col("__earlier") < most).select(F.col("doc_id").alias("__doc")), "reached")  # `most` documents with text at most
+    named = named.join(reached, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    rows = named.withColumn("__first", first).withColumn("__pieces", preview_pieces(F.col("text"), piece))
     rows = rows.withColumn("__n", F.size("__pieces")).filter("__n > 0")
     placed = with_total_before(rows.select("doc_id", "__first", "parent_index", "seq", "__n", "__pieces"), "__n", ["doc_id", "__first", "parent_index", "seq"], "__before")
     kept = placed.filter(F.col("__before") < most).select("doc_id", "parent_index", "__before", F.posexplode("__pieces").alias("__i", "content"))

@@ -135,6 +135,17 @@ def test_chunks_to_stitch_are_cut_once(spark, monkeypatch):
     assert got == {d: (len(t) + 39) // 40 for d, t in texts.items() if t}
 
 
+def test_preview_cuts_only_documents_that_show(spark, monkeypatch):
+    """Documents before which there are enough children with text are not cut into pieces; blank children don't count."""
+    rows = spark.createDataFrame([(d, d and d % 2, i, "  " if i == 0 else f"text {d} {i}") for d in (None, *range(20)) for i in range(3)], "doc_id long, parent_index long, seq long, text string")
+    rows = rows.withColumn("parent_index", F.coalesce("parent_index", F.lit(0)))
+    total, seen = O.with_total_before, []
+    monkeypatch.setattr(O, "with_total_before", lambda frame, *a: seen.append({r.doc_id for r in frame.collect()}) or total(frame, *a))
+    got = O.preview_groups(rows, 5).orderBy("chunk_index").collect()
+    assert [(r.doc_id, r.chunk_index, r.content) for r in got] == [(None, 0, "text None 1"), (None, 1, "text None 2"), (0, 2, "text 0 1"), (0, 3, "text 0 2"), (1, 4, "text 1 1")]
+    assert len(seen[0]) == 21 and seen[-1] == {None, 0, 1}
+
+
 def test_stitched(spark):
     rows = [(1, 0, "abcdef"), (1, 4, "efgh"), (1, 2, "cd"), (1, 4, "efgh"), (1, 10, "xy"), (1, 12, "z"), (2, 5, "late"), (3, 0, None), (3, 0, ""), (3, None, "lost")]
     got = O.stitched(spark.createDataFrame(rows, "doc_id long, start_offset long, content string").repartition(3))
