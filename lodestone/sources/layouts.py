@@ -14,6 +14,8 @@ from ..operators.written import written
 
 #: Height of a page that doesn't tell its own, and most levels of nesting.
 PAGE_HEIGHT, DEEPEST = 792.0, 200
+#: Levels of nesting that are taken at once.
+LEVELS = 4
 #: Names of fields, types of page furniture and of pictures, lines that introduce an attachment, and endings
 #: and words of lines that aren't titles.
 PAGE_FIELDS, BOX_FIELDS = ("page number", "page_number", "pageNumber", "page"), ("bounding box", "bounding_box", "bbox")
@@ -29,23 +31,32 @@ def _field(node: Column, kind: str, *names: str) -> Column:
     return F.coalesce(*(F.try_variant_get(node, f"$['{name}']", kind) for name in names))
 
 
-def flattened(docs: DataFrame) -> DataFrame:
-    """doc_id, path, node of every element of the documents (doc_id, json): nodes below `kids`, whose type is known and
-    isn't document or page, and the pages too, with their type in `type`. The order of paths is depth-first: a node comes
-    before its kids, and these before its next sibling. Text that isn't JSON has no elements.
+def flattened(docs: DataFrame, *shown: Column) -> DataFrame:
+    """doc_id, path, type and what is `shown` of the `node` of every element of the documents (doc_id, json), the node itself
+    if nothing is named: nodes below `kids`, whose type is known and isn't document, pages too. Each document is an element
+    as well, with an empty path and no type. The order of paths is depth-first: a node comes before its kids, and these before
+    its next sibling. Text that isn't JSON has no elements.
 
-    The depth isn't known: each round takes the kids of the round before, for all documents at once."""
-    kids = lambda node: F.posexplode(F.try_variant_get(node, "$.kids", "array<variant>"))
-    level = docs.select("doc_id", F.try_parse_json("json").alias("root")).select("doc_id", kids(F.col("root")).alias("at", "node"))
-    level = written(level.select("doc_id", F.array("at").alias("path"), "node"), "elements")
-    found = level
-    for _ in range(DEEPEST):
-        level = written(level.select("doc_id", "path", kids(F.col("node")).alias("at", "node")).select("doc_id", F.concat("path", F.array("at")).alias("path"), "node"), "elements")
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
+    The depth isn't known: each round takes LEVELS levels at once, in one row, and writes what is shown of their nodes; a node
+    is written whole, with all below it, only if the next round must go on from it."""
+    kids = lambda node: F.coalesce(F.try_variant_get(node, "$.kids", "array<variant>"), F.array().cast("array<variant>"))
+    below = lambda x: F.transform(kids(x["node"]), lambda node, at: F.struct(F.concat(x["path"], F.array(at)).alias("path"), node.alias("node")))
     kind = F.lower(F.coalesce(F.try_variant_get("node", "$.type", "string"), F.lit("")))
-    return found.withColumn("type", kind).filter("type NOT IN ('', 'document')")
+    root = F.struct(F.array().cast("array<int>").alias("path"), F.try_parse_json("json").alias("node"))
+    start, found = docs.select("doc_id", F.array(root).alias("level0")), None
+    for first in range(0, DEEPEST, LEVELS):
+        for k in range(LEVELS):
+            start = start.withColumn(f"level{k + 1}", F.flatten(F.transform(f"level{k}", below)))
+        mark = lambda k: F.transform(f"level{k}", lambda x: F.struct(x["path"], x["node"], F.lit(k == LEVELS).alias("last")))
+        each = start.select("doc_id", F.explode(F.concat(*(mark(k) for k in range(1 if first else 0, LEVELS + 1)))).alias("e")).select("doc_id", "e.path", "e.node", "e.last")
+        on = F.when(F.col("last") & (F.size(kids(F.col("node"))) > 0), F.col("node"))
+        part = written(each.select("doc_id", "path", F.when(F.size("path") > 0, kind).alias("type"), *(shown or [F.col("node")]), on.alias("on")), "elements")
+        found = part if found is None else found.unionByName(part)
+        deeper = part.filter("on IS NOT NULL")
+        if deeper.isEmpty():
+            break
+        start = deeper.select("doc_id", F.array(F.struct("path", F.col("on").alias("node"))).alias("level0"))
+    return found.drop("on").filter("type IS NULL OR type NOT IN ('', 'document')")
 
 
 def _listed_type(kind: Column, level: Column) -> Column:
@@ -68,25 +79,25 @@ def content_list(docs: DataFrame) -> DataFrame:
     """doc_id, index, type, page_idx, bbox, text_level, text, cells, caption of every element that shows something, in
     order. Boxes [left, bottom, right, top] become [left, top, right, bottom] from the page's upper edge. Headers, footers
     and the like go, but not what is nested in them."""
-    nodes = written(flattened(docs), "nodes")
-    page = _field(F.col("node"), "double", *PAGE_FIELDS)
-    nodes = nodes.withColumn("page", F.when(page >= 1, F.floor(page).cast("int")))
-    own = docs.select("doc_id", _field(F.try_parse_json("json"), "double", "page height", "page_height").alias("tall")).groupBy("doc_id").agg(F.max(F.when(F.col("tall") > 0, F.col("tall"))).alias("tall"))
-    height = _field(F.col("node"), "double", "height", "page height", "page_height")
-    pages = nodes.filter("type = 'page' AND page IS NOT NULL").join(own, "doc_id", "left")
-    pages = pages.groupBy("doc_id", "page").agg(F.coalesce(F.max_by(height, F.when(height > 0, F.col("path"))), F.max("tall"), F.lit(PAGE_HEIGHT)).alias("high"))
-    rows = nodes.filter(~F.col("type").isin("page", *FURNITURE)).join(pages, ["doc_id", "page"], "left")
-    raw = F.transform(_field(F.col("node"), "array<double>", *BOX_FIELDS), lambda x: x)
+    node = F.col("node")
+    page = _field(node, "double", *PAGE_FIELDS)
+    told = F.lower(F.coalesce(F.try_variant_get(node, "$.type", "string"), F.lit("")))
+    nodes = flattened(
+        docs, F.when(page >= 1, F.floor(page).cast("int")).alias("page"), _field(node, "double", "height", "page height", "page_height").alias("height"), _field(node, "double", "page height", "page_height").alias("tall"),
+        _field(node, "array<double>", *BOX_FIELDS).alias("raw"), _field(node, "int", *LEVEL_FIELDS).alias("level"), strip(F.coalesce(_field(node, "string", *TEXT_FIELDS, "code_body"), F.lit(""))).alias("content"),
+        collapse_whitespace(_field(node, "string", "description", "alt", "caption", "image_caption", "table_caption")).alias("told"), F.when(told == "table", cells_of(node)).alias("cells"), _field(node, "string", "image path", "image_path", "img_path").alias("img_path"))
+    own = nodes.filter("type IS NULL").groupBy("doc_id").agg(F.max(F.when(F.col("tall") > 0, F.col("tall"))).alias("tall"))
+    pages = nodes.filter("type = 'page' AND page IS NOT NULL").drop("tall").join(own, "doc_id", "left")
+    pages = pages.groupBy("doc_id", "page").agg(F.coalesce(F.max_by("height", F.when(F.col("height") > 0, F.col("path"))), F.max("tall"), F.lit(PAGE_HEIGHT)).alias("high"))
+    rows = nodes.filter("type IS NOT NULL").filter(~F.col("type").isin("page", *FURNITURE)).join(pages, ["doc_id", "page"], "left")
+    raw = F.col("raw")
     high, b = F.coalesce("high", F.lit(PAGE_HEIGHT)), F.when(F.size(raw) >= 4, raw)
     box = F.when(b.isNotNull(), F.array(b[0], F.least(high - b[3], high - b[1]), b[2], F.greatest(high - b[3], high - b[1])))
-    level = F.coalesce(_field(F.col("node"), "int", *LEVEL_FIELDS))
-    level = F.when(level >= 1, level)
+    level = F.when(F.col("level") >= 1, F.col("level"))
     kind = _listed_type(F.col("type"), level)
-    text = strip(F.coalesce(_field(F.col("node"), "string", *TEXT_FIELDS, "code_body"), F.lit("")))
-    caption = collapse_whitespace(_field(F.col("node"), "string", "description", "alt", "caption", "image_caption", "table_caption"))
+    text, caption = F.col("content"), F.col("told")
     rows = rows.select("doc_id", "path", kind.alias("type"), (F.col("page") - 1).alias("page_idx"), box.alias("bbox"), F.when(F.col("type") == "heading", F.coalesce(level, F.lit(1))).alias("text_level"),
-                       F.when(~kind.isin("table", "image") & (text != ""), text).alias("text"), F.when(kind == "table", cells_of(F.col("node"))).alias("cells"), F.when(kind.isin("table", "image") & (caption != ""), caption).alias("caption"),
-                       _field(F.col("node"), "string", "image path", "image_path", "img_path").alias("img_path"))
+                       F.when(~kind.isin("table", "image") & (text != ""), text).alias("text"), F.when(kind == "table", F.col("cells")).alias("cells"), F.when(kind.isin("table", "image") & (caption != ""), caption).alias("caption"), "img_path")
     shows = F.when(F.col("type") == "table", F.lit(True)).when(F.col("type") == "image", F.col("caption").isNotNull() | F.col("img_path").isNotNull()).otherwise(F.col("text").isNotNull() | F.col("bbox").isNotNull())
     return rows.filter(shows).withColumn("index", F.row_number().over(W.partitionBy("doc_id").orderBy("path")) - 1).drop("path", "img_path")
 
@@ -104,13 +115,20 @@ def html_cells(html: Column) -> Column:
     entities = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
     def plain(c: Column) -> Column:
-        c = F.regexp_replace(F.regexp_replace(c, r"(?is)<br\s*/?>|</p>|</div>", " "), r"(?s)<[^>]*>", "")
-        for name, mark in entities:
-            c = F.replace(c, F.lit(name), F.lit(mark))
-        return collapse_whitespace(c)
+        untagged = lambda c: F.when(F.contains(c, F.lit("<")), F.regexp_replace(F.regexp_replace(c, r"(?is)<br\s*/?>|</p>|</div>", " "), r"(?s)<[^>]*>", "")).otherwise(c)
+
+        def read(c: Column) -> Column:
+            marks = c
+            for name, mark in entities:
+                marks = F.replace(marks, F.lit(name), F.lit(mark))
+            return F.when(F.contains(c, F.lit("&")), marks).otherwise(c)
 
-    span = lambda cell, name: F.greatest(F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(cell, rf"(?is)^<t[dh][^>]*\b{name}\s*=\s*[\"']?(\d{{1,4}})", 1), F.lit("")), F.lit("9999")).cast("int"), F.lit(1)), F.lit(1))
-    one = lambda cell: F.struct(plain(F.regexp_replace(cell, r"(?is)^<t[dh]\b[^>]*>", "")).alias("text"), span(cell, "rowspan").alias("rows"), span(cell, "colspan").alias("columns"), cell.rlike("(?i)^<th").alias("head"))
+        return collapse_whitespace(_let(_let(c, untagged), read))
+
+    bare = lambda cell: F.substring(cell, 1, 4).isin("<td>", "<th>")  # noqa: E731  without attributes
+    span = lambda cell, name: F.when(bare(cell), 1).otherwise(tagged(cell, name))
+    tagged = lambda cell, name: F.greatest(F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(cell, rf"(?is)^<t[dh][^>]*\b{name}\s*=\s*[\"']?(\d{{1,4}})", 1), F.lit("")), F.lit("9999")).cast("int"), F.lit(1)), F.lit(1))
+    one = lambda cell: F.struct(plain(F.when(bare(cell), F.substr(cell, F.lit(5))).otherwise(F.regexp_replace(cell, r"(?is)^<t[dh]\b[^>]*>", ""))).alias("text"), span(cell, "rowspan").alias("rows"), span(cell, "colspan").alias("columns"), cell.rlike("(?i)^<th").alias("head"))
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?:</tr>|(?=<tr\b)|$)"), F.lit(1))
     cells = F.transform(rows, lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>.*?(?=</t[dh]>|<t[dh]\b|$)"), F.lit(0)), one))
     return F.filter(cells, lambda row: F.exists(row, lambda c: c["text"] != "")).cast(CELLS)
@@ -127,18 +145,19 @@ def spanned_grid(cells: Column, repeat: bool = True) -> Column:
 
     def row_of(open_: Column, row: Column) -> Column:
         """The rectangles that begin in this row."""
-        taken = F.flatten(F.transform(open_, columns))
-        far = F.coalesce(F.array_max(taken), F.lit(-1)) + 1
 
-        def put(s: Column, c: Column) -> Column:
-            at = F.get(F.filter(F.sequence(s["x"], F.greatest(s["x"], far)), lambda k: ~F.array_contains(taken, k)), F.lit(0))
-            return F.struct((at + c["columns"]).alias("x"), F.concat(s["put"], F.array(F.struct(at.alias("at"), c["columns"].alias("columns"), c["text"].alias("text"), c["rows"].alias("rows")))).cast(rect).alias("put"))
+        def placed(taken: Column) -> Column:
+            def put(s: Column, c: Column) -> Column:
+                new = lambda at: F.struct((at + c["columns"]).alias("x"), F.concat(s["put"], F.array(F.struct(at.alias("at"), c["columns"].alias("columns"), c["text"].alias("text"), c["rows"].alias("rows")))).alias("put"))
+                free = F.array_min(F.array_except(F.sequence(s["x"], F.greatest(s["x"], F.array_max(taken) + 1)), taken))
+                return _let(F.when(F.array_contains(taken, s["x"]), free).otherwise(s["x"]), new)
+
+            return F.aggregate(row, F.struct(F.lit(0).alias("x"), none.alias("put")), put, lambda s: s["put"])
 
-        return F.aggregate(row, F.struct(F.lit(0).alias("x"), none.alias("put")), put, lambda s: s["put"])
+        return _let(F.flatten(F.transform(open_, columns)), placed)
 
     def step(s: Column, row: Column) -> Column:
-        def after(new: Column) -> Column:
-            every = F.concat(new, s["open"])
+        def after(every: Column) -> Column:
             below = F.filter(F.transform(every, lambda r: F.struct(r["at"], r["columns"], F.when(F.lit(repeat), r["text"]).otherwise("").alias("text"), (r["rows"] - 1).alias("rows"))).cast(rect), lambda r: r["rows"] > 0)
             wide = F.coalesce(F.array_max(F.transform(every, lambda r: r["at"] + r["columns"])), F.lit(0))
             covers = lambda k: F.get(F.filter(every, lambda r: (r["at"] <= k) & (k < r["at"] + r["columns"])), F.lit(0))
@@ -146,7 +165,7 @@ def spanned_grid(cells: Column, repeat: bool = True) -> Column:
             line = F.when(wide > 0, F.transform(F.sequence(F.lit(0), wide - 1), lambda k: F.coalesce(shown(k), F.lit("")))).otherwise(F.array().cast("array<string>"))
             return F.struct(F.concat(s["grid"], F.array(line)).alias("grid"), below.alias("open"))
 
-        return _let(row_of(s["open"], row), after)
+        return _let(F.concat(row_of(s["open"], row), s["open"]), after)
 
     start = F.struct(F.array().cast("array<array<string>>").alias("grid"), none.alias("open"))
     padded = lambda x: F.transform(x["grid"], lambda r: F.concat(r, F.array_repeat(F.lit(""), x["wide"] - F.size(r))))

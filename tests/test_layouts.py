@@ -36,6 +36,16 @@ def test_depth_first(listed):
     assert {r.doc_id for r in listed} == {1, 6}
 
 
+def test_nodes_are_written_without_what_is_below(spark, monkeypatch):
+    """Only a node from which the next round goes on is written whole; the others as the columns that are shown."""
+    tables, keep = [], L.written
+    monkeypatch.setattr(L, "written", lambda frame, name: tables.append(keep(frame, name)) or tables[-1])
+    docs = spark.createDataFrame([(1, json.dumps(tree()))], "doc_id long, json string")
+    assert L.content_list(docs).count() == 10
+    assert all("node" not in t.columns for t in tables)
+    assert [t.filter("on IS NOT NULL").count() for t in tables] == [1, 0]  # eight levels
+
+
 def test_boxes_and_pages(listed):
     title, table = (next(r for r in listed if r.type == t) for t in ("title", "table"))
     assert (title.page_idx, title.bbox, title.text_level) == (0, [10, 10, 60, 20], 1)
