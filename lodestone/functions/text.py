@@ -48,8 +48,8 @@ def expand_colloquial(c: Column) -> Column:
 def strip_markdown(c: Column, depth: int = 3) -> Column:
     """Without pairs of ** and __ around text, nested `depth` deep at most; ideographic spaces become blanks."""
     pair = lambda x: F.regexp_replace(F.regexp_replace(x, r"\*\*(.+?)\*\*", "$1"), r"__(.+?)__", "$1")
-    plain = F.translate(c, "　", " ")
-    marked = F.contains(plain, F.lit("**")) | F.contains(plain, F.lit("__"))
+    plain = F.replace(c, F.lit("　"), F.lit(" "))
+    marked = F.contains(c, F.lit("**")) | F.contains(c, F.lit("__"))
     return strip(F.when(marked, reduce(lambda x, _: pair(x), range(depth), plain)).otherwise(plain))
 
 

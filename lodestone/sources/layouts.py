@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse_whitespace, strip, strip_markdown
 from ..operators.segments import ITEM_LINE, NUMERAL
-from ..operators.written import written
+from ..operators.written import once, written
 
 #: Height of a page that doesn't tell its own, and most levels of nesting.
 PAGE_HEIGHT, DEEPEST = 792.0, 200
@@ -217,8 +217,8 @@ def with_heading_paths(rows: DataFrame, rank: Column, title: Column) -> DataFram
 
 def looks_like_title(text: Column) -> Column:
     """A short line that doesn't end a sentence, isn't a footer, and doesn't tell an attachment at length."""
-    t = collapse_whitespace(F.coalesce(text, F.lit("")))
-    return (t != "") & (F.length(t) <= 80) & ~t.rlike(SENTENCE) & ~t.rlike(FOOTER) & ~(t.rlike("^附件[：:]") & (F.length(t) > 24))
+    title = lambda t: (t != "") & (F.length(t) <= 80) & ~t.rlike(SENTENCE) & ~t.rlike(FOOTER) & ~(t.rlike("^附件[：:]") & (F.length(t) > 24))
+    return _let(collapse_whitespace(F.coalesce(text, F.lit(""))), title)
 
 
 def layout_segments(items: DataFrame, short: int = 120) -> DataFrame:
@@ -229,10 +229,11 @@ def layout_segments(items: DataFrame, short: int = 120) -> DataFrame:
     section, others items. A table is its rows as Markdown after the headings and short texts of its page since the last
     table there. A picture is its caption. Headers and footers go, but a header that names an attachment is a heading."""
     text = collapse_whitespace(F.coalesce(F.col("text"), F.lit("")))
-    attachment = (F.col("type") == "header") & text.rlike(ATTACHMENT)
-    rows = items.withColumns({"t": text, "seq": F.col("index")}).filter(~F.col("type").isin("header", "footer", "page_number") | attachment)
+    rows = once(items.withColumn("seq", F.col("index")), t=text)
+    attachment = (F.col("type") == "header") & F.col("t").rlike(ATTACHMENT)
+    rows = rows.filter(~F.col("type").isin("header", "footer", "page_number") | attachment)
     heading = (F.col("type") == "title") | ((F.col("type") == "text") & (F.coalesce("text_level", F.lit(0)) > 0)) | attachment | ((F.col("type") == "text") & looks_like_title(F.col("t")))
-    rows = rows.withColumn("block", F.when(heading, "heading").when(F.col("type").isin("text", "list", "equation", "code"), "paragraph").when(F.col("type").isin("table", "image"), F.col("type")))
+    rows = once(rows, block=F.when(heading, "heading").when(F.col("type").isin("text", "list", "equation", "code"), "paragraph").when(F.col("type").isin("table", "image"), F.col("type")))
     rank = F.when(F.col("block") == "heading", F.when(F.col("text_level").isNull() | (F.col("text_level") == 2), 2).when(F.col("text_level") == 1, 1).otherwise(3))
     rows = rows.filter("block IS NOT NULL").withColumn("rank", rank).filter((F.col("t") != "") | F.col("block").isin("table", "image"))
     rows = with_heading_paths(rows, F.col("rank"), strip_markdown(F.col("t")))
@@ -247,11 +248,11 @@ def layout_segments(items: DataFrame, short: int = 120) -> DataFrame:
     rows = rows.withColumn("fresh", F.when(fresh, F.col("line")))
     before = F.array_join(F.collect_list("fresh").over(run), "\n\n")
     rows = rows.withColumn("before", F.when(table, before))
-    rows, grid = rows.withColumn("grid", spanned_grid(F.coalesce("cells", F.array().cast(CELLS)))), F.col("grid")
+    rows, grid = once(rows, grid=F.when(table, spanned_grid(F.coalesce("cells", F.array().cast(CELLS))))), F.col("grid")
     bar = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(grid[0], lambda _: F.lit("---")), " | "), F.lit(" |"))
     lines = F.when(F.size(grid) >= 2, F.concat(F.array(bar(grid[0]), rule), F.transform(F.slice(grid, 2, F.size(grid)), bar))).otherwise(F.transform(grid, bar))
     body = F.concat_ws("\n\n", F.nullif("before", F.lit("")), F.nullif(F.array_join(lines, "\n"), F.lit("")))
     shown = F.when(table, body).when(F.col("block") == "image", F.coalesce("caption", F.lit(""))).otherwise(F.col("t"))
-    out = rows.withColumn("text", shown).filter("text <> ''")
+    out = once(rows.drop("text"), text=shown).filter("text <> ''")
     return out.select("doc_id", "seq", "text", "block", "rank", "heading_path", (F.col("page_idx") + 1).alias("page_no"))

@@ -109,3 +109,10 @@ def test_focus(spark):
     chunks = [(1, 1, "第一章  总则规定\n正文的第一段 正文的第二段", 1, None, 0), (2, 1, "第一章总则规定正文的第一段正文的第二段", 1, None, 2), (3, 1, "无关的文字", 2, near, 0), (4, 1, "前言。别处的一段话在这里。", 2, far, 0), (5, 1, "前言。别处的一段话在这里。", 1, None, 0), (6, 1, None, None, None, None), (7, 3, "第一章 总则规定", 1, None, 0), (8, 1, "长短", None, [float("nan"), 0.0, 0.0, 0.0], 0)]
     got = B.focus(spark.createDataFrame(chunks, "chunk_id long, doc_id long, content string, page_no int, bbox array<double>, merged int"), frame).orderBy("chunk_id").collect()
     assert [(r.found, r.blocks) for r in got] == [("text", [10, 11, 12]), ("text", [10, 11]), ("place", [14]), ("alike", [14]), (None, []), (None, []), (None, []), ("alike", [13])]
+
+
+def test_segments_make_a_grid_and_test_a_line_once(spark):
+    items = spark.createDataFrame([], f"doc_id long, index long, type string, page_idx int, text string, text_level int, cells {L.CELLS}, caption string")
+    plan = L.layout_segments(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 2  # rows and the cells of a row
+    assert plan.count("文件下载链接") == 1
