@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import layout_noise, retrievable, strip, strip_markdown
 from .segments import ATOMIC, inline_item, merge_orphan_headings, merge_orphan_titles, section_key, starts_section
+from .written import once
 
 #: Most characters of a line that may introduce a table, and most segments that are taken back for it.
 CONTEXT_CHARS, CONTEXT_SEGMENTS = 120, 6
@@ -114,27 +115,30 @@ def _text(s: Column, i: Column, r: Column, budget: Column, joiner: int) -> Colum
 def _prepared(segments: DataFrame, keep_pages: Column) -> DataFrame:
     """What the fold reads of each segment, and the number of its piece."""
     doc = W.partitionBy("doc_id").orderBy("seq")
+    backwards = W.partitionBy("doc_id").orderBy(F.desc("seq"))  # a frame that shrinks would be gone through anew for each row
     every = W.partitionBy("doc_id")
     t = strip(F.coalesce(F.col("text"), F.lit("")))
     no = F.lit(False)
-    rows = segments.withColumns({"t": t, "whole": F.coalesce(F.col("block").isin(*ATOMIC), no), "head": F.coalesce(F.col("block") == "heading", no), "many": F.count("*").over(every), "pages": keep_pages})
-    rows = rows.filter((F.col("t") != "") | F.col("whole") | (F.col("many") < 2))
+    rows = segments.withColumns({"whole": F.coalesce(F.col("block").isin(*ATOMIC), no), "head": F.coalesce(F.col("block") == "heading", no), "many": F.count("*").over(every), "pages": keep_pages})
+    rows = once(rows, t=t).filter((F.col("t") != "") | F.col("whole") | (F.col("many") < 2))
     short = F.col("head") | F.col("block").isNull() | (F.col("block") == "paragraph")
-    rows = rows.withColumns({"n": F.length("t"), "noise": layout_noise(F.col("t")), "section": starts_section(F.col("t")), "line": F.exists(F.split("t", r"[\n\r]+"), lambda x: ~layout_noise(x))})
+    rows = once(rows, n=F.length("t"), noise=layout_noise(F.col("t")), section=starts_section(F.col("t")))
+    lines = F.exists(F.split("t", r"[\n\r]+"), lambda x: ~layout_noise(x))
+    rows = rows.withColumn("line", F.when(F.contains("t", F.lit("\n")) | F.contains("t", F.lit("\r")), lines).otherwise(~F.col("noise")))
     context = F.coalesce(F.col("head") | (short & (F.col("n") <= CONTEXT_CHARS)), no)
     poppable = F.coalesce(short & (F.col("n") <= CONTEXT_CHARS) & ~F.col("section"), no)
     page = F.when(F.col("pages"), F.coalesce(F.col("page_no").cast("string"), F.lit("-"))).otherwise("")
     key = F.concat(page, F.lit("|"), F.coalesce(F.concat(F.lit("/"), section_key(F.when(strip(F.col("heading_path")) != "", F.col("heading_path")))), F.lit("")))
-    rows = rows.withColumns({"opens": F.col("head") & ~F.col("noise") & F.col("section") & ~F.col("whole"), "context": context, "poppable": poppable, "key": key})
+    rows = once(rows, opens=F.col("head") & ~F.col("noise") & F.col("section") & ~F.col("whole"), context=context, poppable=poppable, key=key)
     before = F.max("page_no").over(doc.rowsBetween(W.unboundedPreceding, -1))
-    least = F.min("page_no").over(doc.rowsBetween(W.currentRow, W.unboundedFollowing))
+    least = F.min("page_no").over(backwards.rowsBetween(W.unboundedPreceding, W.currentRow))
     turns = F.col("pages") & ~F.col("whole") & (F.count_if(F.col("page_no").isNull()).over(every) == 0) & (least > before)
     # a table takes back lines from before a heading if text that can't introduce it came between; what ends such a run of
     # lines is a whole segment or a chunk that isn't one of them
     clears = F.col("whole") | (~F.col("poppable") & F.col("line"))
     rows = rows.withColumn("clears", F.coalesce(clears, no))
     end = F.when(F.col("whole") | F.col("opens"), F.struct(F.coalesce(F.col("block") == "table", no).alias("table"), F.col("seq").alias("at")))
-    end = F.first(end, ignorenulls=True).over(doc.rowsBetween(1, W.unboundedFollowing))
+    end = F.last(end, ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, -1))
     back = F.coalesce(end["table"], no) & (end["at"] > F.lead("seq").over(doc)) & ~F.coalesce(F.lag("clears").over(doc), F.lit(True))
     cut = F.when((F.col("opens") & ~back) | F.coalesce(turns, no), 1).otherwise(0)
     return rows.withColumn("piece", F.sum(cut).over(doc))

@@ -117,3 +117,11 @@ def test_prebuilt(spark):
         assert found[0].text.startswith("第三章 刑罚\n\n第一节 种类\n\n第三十二条")
     plain = S.prebuilt_segments(rows.withColumns({"parser_type": F.lit("md"), "parser_backend": F.lit(None).cast("string")}), 512)
     assert plain.count() == 5
+
+
+def test_merging_goes_through_a_document_once(spark):
+    """No frame that shrinks towards the end of a document, and each pattern of a text in one place."""
+    frame = segments(spark, ("正文", "paragraph", None, 1))
+    plan = S.merge_sections(frame, 200)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing$()" not in plan.replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")
+    assert plan.count("网站地图") <= 2  # of the text and of its lines
