@@ -23,8 +23,10 @@ from .written import written
 
 #: Most queries, and characters of queries, of a block in expectation.
 QUERY_BLOCK, QUERY_CHARS = 4096, 4_000_000
-#: Cells of the score tables that a task holds at once.
-CELLS = 1 << 20
+#: Cells of the score tables that a task holds at once, and the pairs of a chunk and a query's term that it scores at once.
+CELLS, PAIRS = 1 << 20, 1 << 20
+#: Texts that are made Python strings at once.
+TEXTS = 64
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ class _Best:
     cut, so that sorting takes little of the time."""
 
     def __init__(self, k: int):
-        self.k, self.held, self.new, self.limit = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], CELLS
+        self.k, self.held, self.new, self.limit = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], CELLS // 4
         self.size = 0
 
     def add(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
@@ -97,7 +99,7 @@ class _Best:
         query, chunk, score = query[order], chunk[order], score[order]
         keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
         self.held, self.new, self.size = (query[keep], chunk[keep], score[keep]), [], 0
-        self.limit = max(CELLS, len(self.held[0]))
+        self.limit = max(CELLS // 4, len(self.held[0]))
 
     def rows(self, ids: np.ndarray, name: str) -> pa.RecordBatch:
         self._cut()
@@ -148,6 +150,23 @@ class _Needles:
         machine.make_automaton()
         return machine
 
+    def groups(self, machine, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Where a group of texts begins and the needles of each of them: as many texts as have CELLS cells and PAIRS pairs, of
+        which long texts and frequent words make many, but one text at least."""
+        cost = self.terms[1] + self.must[1]
+        first, group, pairs = 0, [], 0
+        for at in range(0, len(texts), TEXTS):
+            for text in texts.slice(at, TEXTS).to_pylist():
+                met = np.unique(np.fromiter((i for _, i in machine.iter(text or "")), np.int64))
+                more = int(cost[met].sum())
+                if group and (pairs + more > PAIRS or (len(group) + 1) * len(self.ids) > CELLS):
+                    yield first, group
+                    first, group, pairs = first + len(group), [], 0
+                group.append(met)
+                pairs += more
+        if group:
+            yield first, group
+
     def scores(self, chunk: np.ndarray, needle: np.ndarray, chunks: int) -> np.ndarray:
         """chunks x queries, from the pairs of a chunk and a needle that it holds; 0 without a required needle."""
         size = len(self.ids)
@@ -182,22 +201,20 @@ def _keyword_pass(chunks: DataFrame, queries: DataFrame, k: int) -> tuple[DataFr
     rows = query_needles(queries.select(F.col("query_id").cast("long").alias("query_id"), "text")).toArrow()  # of one block
     needles = _Needles(np.unique(rows.column("query_id").to_numpy()), rows)
     told = chunks.sparkSession.sparkContext.broadcast(needles)
-    group = max(1, CELLS // max(len(needles.ids), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needles, best = told.value, _Best(k)
         machine = needles.automaton() if needles.names else None
         for batch in batches if machine else ():
-            for at in range(0, batch.num_rows, group):
-                part = batch.slice(at, group)
-                hits = [np.unique(np.fromiter((i for _, i in machine.iter(text)), np.int64)) for text in (x or "" for x in part.column(1).to_pylist())]
+            for at, hits in needles.groups(machine, batch.column(1)):
+                ids = batch.column(0).slice(at, len(hits)).to_numpy()
                 score = needles.scores(np.repeat(np.arange(len(hits)), [len(x) for x in hits]), np.concatenate(hits), len(hits))
                 if k < len(hits):  # of each query the k best of the group, with all that tie with the last of them
                     least = np.partition(score, len(hits) - k, axis=0)[len(hits) - k]
                     chunk, query = np.nonzero((score > 0) & (score >= least))
                 else:
                     chunk, query = np.nonzero(score)
-                best.add(query, part.column(0).to_numpy()[chunk], score[chunk, query])
+                best.add(query, ids[chunk], score[chunk, query])
         yield best.rows(needles.ids, "chunk_id")
 
     return chunks.mapInArrow(run, "query_id long, chunk_id long, score double"), told

@@ -2,6 +2,8 @@
 
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +130,23 @@ def test_keyword_search_in_several_passes(spark, monkeypatch):
     assert retrieval.keyword_search(chunks, queries.limit(0), 4).count() == 0
 
 
+def test_keyword_search_bounds_the_pairs_it_scores_at_once(spark, monkeypatch):
+    """Long texts of frequent words meet all terms of all queries: fewer of them are scored together, with the same hits."""
+    queries = spark.createDataFrame([(i, f"alpha beta gamma term{i}") for i in range(6)], "query_id long, text string")
+    chunks = spark.createDataFrame([(i, f"alpha beta gamma term{i % 4}") for i in range(40)], "chunk_id long, text string")
+    rows = retrieval.query_needles(queries).toArrow()
+    needles = retrieval._Needles(np.arange(6), rows)
+    texts = pa.array([r.text for r in chunks.collect()])
+    whole = list(needles.groups(needles.automaton(), texts))
+    monkeypatch.setattr(retrieval, "PAIRS", 100)
+    few = list(needles.groups(needles.automaton(), texts))
+    cost = needles.terms[1] + needles.must[1]
+    assert len(whole) == 1 and len(few) > 1
+    assert all(sum(cost[x].sum() for x in group) <= 100 for _, group in few)
+    assert [at for at, _ in few] == [sum(len(g) for _, g in few[:i]) for i in range(len(few))]
+    assert [x.tolist() for _, group in few for x in group] == [x.tolist() for x in whole[0][1]]
+
+
 def test_keyword_search_scores_layers(spark):
     from lodestone.functions import terms
 
