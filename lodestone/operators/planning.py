@@ -15,6 +15,7 @@ from ..functions.text import collapse_whitespace, strip
 from . import sections
 from .chunking import sliding_chunks
 from .segments import ATOMIC, merge_by_budget, merge_orphan_headings, merge_orphan_titles
+from .written import written
 
 #: Most chunks of a document that may be indexed.
 MOST_CHUNKS = 3600
@@ -170,9 +171,13 @@ def _prebuilt(rows: DataFrame) -> DataFrame:
 
 def planned_chunks(segments: DataFrame, documents: DataFrame) -> DataFrame:
     """doc_id, route, chunk_index, content, start_offset, end_offset, page_no, heading_path, parent_index: the chunks of each
-    document by its route. Row segments of sheets are taken as they come, however many they are."""
+    document by its route. Row segments of sheets are taken as they come, however many they are.
+
+    The routes are written, so that a document's settings are read once and not for each of its segments, then the segments
+    with them, which every route reads."""
     base = ["doc_id", "seq", "text", "block", "page_no", "heading_path", "start_offset", "end_offset"]
-    rows = segments.select(*base).withColumn("page_no", F.col("page_no").cast("int")).join(chunk_routes(segments, documents), "doc_id")
+    routes = written(chunk_routes(segments, documents), "routes")
+    rows = written(segments.select(*base).withColumn("page_no", F.col("page_no").cast("int")).join(routes, "doc_id"), "routed")
     on = lambda name: rows.filter(F.col("route") == name)
     chunks = [step(on(name)).withColumn("page_no", F.col("page_no").cast("int")).select(_CHUNKS) for name, step in (("general", _general), ("parent_child", _parent_child), ("prebuilt", _prebuilt))]
     every = chunks[0].unionByName(chunks[1]).unionByName(chunks[2])
@@ -187,9 +192,9 @@ def plan_outcomes(chunks: DataFrame, documents: DataFrame, most: int = MOST_CHUN
 
 
 def ready_chunks(chunks: DataFrame, documents: DataFrame, most: int = MOST_CHUNKS) -> DataFrame:
-    """The chunks of documents that may be indexed."""
-    ready = plan_outcomes(chunks, documents, most).filter("outcome = 'ready'").select("doc_id")
-    return chunks.join(ready, "doc_id", "left_semi")
+    """The chunks of documents that may be indexed. A document's chunks are counted where they are, so that they are made once."""
+    counted = chunks.withColumn("__n", F.count("*").over(W.partitionBy("doc_id"))).filter(F.col("__n") <= most).drop("__n")
+    return counted.join(documents.select("doc_id"), "doc_id", "left_semi")
 
 
 def graph_inserts(chunks: DataFrame, documents: DataFrame, boundary: str, base_size: int, margin: int = 256, most: int = 32_768) -> DataFrame:

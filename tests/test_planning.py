@@ -130,3 +130,20 @@ def test_packs_take_the_first_block(spark, budget):
     rows = segments(spark, {1: [("表", "table", 1, "甲 / 一、乙"), ("注", None, 1, "丙 / 一、乙")]})
     got = merge_by_budget(rows, F.lit(budget)).orderBy("seq").collect()
     assert [(r.block, r.heading_path) for r in got] == ([("table", "甲 / 一、乙")] if budget == 100 else [("table", "甲 / 一、乙"), (None, "丙 / 一、乙")])
+
+
+def test_ready_chunks_are_made_once(spark):
+    """Settings are parsed a document at a time, before the segments meet them, and chunks aren't made again to be counted."""
+    rows, docs = segments(spark, {1: ["one", "two"], 2: ["three"]}), documents(spark, (1, {}), (2, {}))
+    plan = P.ready_chunks(P.planned_chunks(rows, docs), docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
+    assert plan.count("MapInArrow") == 1
+
+
+def test_ready_chunks_of_known_documents(spark):
+    rows, docs = segments(spark, {1: ["one", "two"], 2: ["three"], 3: ["four"]}), documents(spark, (1, {}), (2, {}), (3, {}))
+    chunks = P.planned_chunks(rows, docs)
+    n = {r.doc_id: r.n_chunks for r in P.plan_outcomes(chunks, docs).collect()}
+    ready = P.ready_chunks(chunks, docs.filter("doc_id < 3"), most=1)
+    assert sorted(r.doc_id for r in ready.collect()) == [d for d in (1, 2) if n[d] == 1]
+    assert ready.columns == chunks.columns
