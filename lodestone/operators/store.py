@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cleaned_terms, keyword_text
 from .embedding import Provider, with_embeddings
+from .written import written
 
 #: Columns that no two rows may share, each set a rule of its own; a null in one of them breaks the rule as well.
 RULES = (("chunk_uid",), ("document_id", "chunk_index"))
@@ -138,11 +139,12 @@ class ChunkStore:
         one = one.select("chunk_uid", cleaned_terms(F.col("keywords"), KEYWORDS).alias("__k"), cleaned_terms(F.col("questions"), QUESTIONS).alias("__q"))
         if "source" in now.columns:
             one = one.join(now.filter(F.col("source").isin(*FIXED_SOURCES)).select("chunk_uid"), "chunk_uid", "left_anti")
+        one = written(one, "edits")
         documents = now.join(one, "chunk_uid", "left_semi").select("document_id").distinct()
         rows = now.join(documents, "document_id", "left_semi").join(one, "chunk_uid", "left")
         told = F.when(F.col("__k").isNotNull(), keyword_text(F.coalesce("content", F.lit("")), F.col("__k"), F.coalesce("__q", F.array().cast("array<string>")))).otherwise(F.col("keyword_text"))
         rows = rows.withColumn("__text", told).withColumn("__changed", ~F.col("__text").eqNullSafe(F.col("keyword_text")))
-        rows = rows.withColumn("keyword_text", F.col("__text")).drop("__text", "__k", "__q")
+        rows = written(rows.withColumn("keyword_text", F.col("__text")).drop("__text", "__k", "__q"), "edited")  # read for both halves
         same = rows.filter("NOT __changed").drop("__changed")
         fresh = with_embeddings(rows.filter("__changed").drop("__changed", "embedding"), "keyword_text", provider)
         return self.overwrite(same.unionByName(fresh.withColumn("embedding", F.col("embedding").cast(dict(same.dtypes)["embedding"]))), batch)

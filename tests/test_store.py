@@ -176,3 +176,14 @@ def test_tailed_stream(spark, tmp_path):
     query = logs.tailed_stream(stream, 10 * 60 * 1000).writeStream.format("memory").queryName("tailed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("tailed").filter("text IS NOT NULL").collect()) == TAILED
+
+
+def test_edited_rows_are_put_together_once(spark, monkeypatch):
+    """The rows of an edit are written before those that are embedded anew are told from the others."""
+    from lodestone.operators import store as stores
+    from lodestone.plans import store as plan
+
+    names, write = [], stores.written
+    monkeypatch.setattr(stores, "written", lambda frame, name: (names.append(name), write(frame, name))[1])
+    plan.stored_chunks(spark, "/root/testdata/sf0.001")
+    assert names == ["edits", "edited"]
