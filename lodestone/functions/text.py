@@ -23,6 +23,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def strip_column(c: Column) -> Column:
+    """strip, for a column that is at hand: Spark's trim of the right end notes the places of all characters of a text, so only
+    texts that end in white space are put through it."""
+    ends = reduce(lambda x, y: x | y, (F.endswith(c, F.lit(b)) for b in BLANKS))
+    return F.when(ends, strip(c)).otherwise(F.ltrim(c, F.lit(BLANKS)))
+
+
 def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(BLANKS))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_whitespace, strip
+from ..functions.text import collapse_whitespace, strip, strip_column
 
 #: Where a chunk may end, the best first.
 BREAKS = (("\n\n",), ("\n",), ("。", "！", "？", "!", "?", ". "), ("；", ";"), ("，", ",", "、"), (" ",))
@@ -22,11 +22,12 @@ def split_segments(docs: DataFrame, delimiter: str, collapse: bool = False) -> D
     """doc_id, seq, start_offset, end_offset, segment: the stripped non-blank parts of each text, with the offset of the part.
     A null or blank text has none; rows that repeat a doc_id are numbered each."""
     text = collapse_whitespace(F.col("text")) if collapse else F.col("text")
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(text, "\\Q" + delimiter + "\\E", -1).alias("parts"))
+    plain = len(delimiter) == 1 and delimiter not in ".$|()[{^?*+\\"  # for which no pattern is compiled and run for each text
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(text, delimiter if plain else "\\Q" + delimiter + "\\E", -1).alias("parts"))
     rows = rows.select("doc_id", "row", F.posexplode("parts").alias("i", "raw"))
     by = W.partitionBy("doc_id", "row").orderBy("i")
     before = F.sum(F.length("raw") + len(delimiter)).over(by.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.select("doc_id", "row", "i", F.coalesce(before, F.lit(0)).cast("long").alias("start_offset"), strip(F.col("raw")).alias("segment")).filter("segment <> ''")
+    rows = rows.select("doc_id", "row", "i", F.coalesce(before, F.lit(0)).cast("long").alias("start_offset"), strip_column(F.col("raw")).alias("segment")).filter("segment <> ''")
     seq = F.row_number().over(by) - 1
     return rows.select("doc_id", seq.cast("long").alias("seq"), "start_offset", (F.col("start_offset") + F.length("segment")).alias("end_offset"), "segment")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, strip_markdown
+from ..functions.text import BLANKS, strip, strip_column, strip_markdown
 
 #: How chapters, sections and list items begin, and which blocks stay whole.
 NUMERAL = "[一二三四五六七八九十百千]+"
@@ -19,15 +19,24 @@ ITEM_LINE = r"^\d+\s*[、.．)）]"
 CHAPTER_LINE = rf"^(?:第\s*)?{NUMERAL}\s*[、.．]"
 SECTION_LINE = rf"^[(（]\s*{NUMERAL}\s*[)）]"
 NUMBERED_LINE = r"^第\s*\d+\s*[章节篇部条款]"
+#: The first characters of the lines above.
+FIRST = (*NUMERAL[1:-2], *"第(（0123456789")
 ATOMIC = ("table", "image", "document_preamble")
 
 
+def _begins(c: Column, *lines: str) -> Column:
+    """Whether a text without its marks begins as one of the patterns does. Marks are looked for only where the first character
+    that is neither white space nor a mark could begin one. A pattern that begins with its anchor is tried at the start of a
+    text alone, one that has it in each branch at every place."""
+    return F.left(F.ltrim(c, F.lit(BLANKS + "*_")), F.lit(1)).isin(*FIRST) & strip_markdown(c).rlike(f"^(?:{'|'.join(lines)})")
+
+
 def starts_section(c: Column) -> Column:
-    return strip_markdown(c).rlike(f"{CHAPTER_LINE}|{SECTION_LINE}|{NUMBERED_LINE}")
+    return _begins(c, CHAPTER_LINE, SECTION_LINE, NUMBERED_LINE)
 
 
 def starts_body(c: Column) -> Column:
-    return strip_markdown(c).rlike(f"{CHAPTER_LINE}|{SECTION_LINE}|{NUMBERED_LINE}|{ITEM_LINE}")
+    return _begins(c, CHAPTER_LINE, SECTION_LINE, NUMBERED_LINE, ITEM_LINE)
 
 
 def inline_item(line: Column, before: Column, short: int = 40) -> Column:
@@ -51,23 +60,45 @@ def _doc() -> W:
     return W.partitionBy("doc_id").orderBy("seq")
 
 
-def _grouped(rows: DataFrame, joiner: str, *carried: str, first: bool = False) -> DataFrame:
-    """One row for each (doc_id, g): texts joined in order; offsets from the first to the last; what is carried is that of
-    the last row, or of the first."""
-    texts = F.array_sort(F.collect_list(F.struct("seq", strip(F.col("text")).alias("t"))))
-    columns = [(F.min_by if first else F.max_by)(c, "seq").alias(c) for c in carried]
-    return rows.groupBy("doc_id", "g").agg(
-        F.min("seq").alias("seq"), F.array_join(F.transform(texts, lambda x: x["t"]), joiner).alias("text"), F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), F.count("*").alias("merged"), *columns
-    ).drop("g")
+def _joined(rows: DataFrame, others: W, which: Column, joiner: str, *carried: str) -> DataFrame:
+    """The rows with those in their frame `others` for which `which` holds: texts joined in order of seq, offsets from the first
+    to the last. Rows that others take must be left out by the caller; what is carried is a row's own."""
+    text = strip_column(F.col("text"))
+    at = lambda how, c: how(F.when(which, F.col(c))).over(others)
+    rows = rows.withColumns({
+        "__texts": F.collect_list(F.when(which, F.struct("seq", text.alias("t")))).over(others), "__seq": at(F.min, "seq"),
+        "__start": at(F.min, "start_offset"), "__end": at(F.max, "end_offset"),
+    })
+    every = F.concat("__texts", F.array(F.struct("seq", text.alias("t"))))
+    joined = F.array_join(F.transform(F.array_sort(every), lambda x: x["t"]), joiner)
+    alone = F.size("__texts") == 0
+    return rows.select(
+        "doc_id", F.least("seq", "__seq").alias("seq"), F.when(alone, F.coalesce(text, F.lit(""))).otherwise(joined).alias("text"), F.least("start_offset", "__start").alias("start_offset"),
+        F.greatest("end_offset", "__end").alias("end_offset"), (F.size("__texts") + 1).cast("long").alias("merged"), *carried, "__left",
+    ).filter("NOT __left").drop("__left")
+
+
+def _grouped(rows: DataFrame, joiner: str, *carried: str, first: bool = False, order: W | None = None) -> DataFrame:
+    """One row for each (doc_id, g), whose rows follow one another: texts joined in order; offsets from the first to the last;
+    what is carried is that of the last row, or of the first.
+
+    Most groups are of one row, so they aren't aggregated, which would hold, sort and write each text twice: the row that stays
+    stands just behind the others of its group, which are its frame, and theirs are empty."""
+    beside = (F.lag if first else F.lead)("g").over(order or _doc())
+    rows = rows.withColumn("__left", F.coalesce(beside == F.col("g"), F.lit(False)))
+    rows = rows.withColumn("__at", F.col("g").cast("long") * 2 + F.when(F.col("__left"), 0).otherwise(1))
+    return _joined(rows, W.partitionBy("doc_id").orderBy("__at").rangeBetween(-1, -1), F.col("__left"), joiner, *carried)
 
 
 def merge_preamble(segments: DataFrame, short: int = 280, budget: int = 1800, most: int = 16) -> DataFrame:
     """The leading short segments of each document as one with block 'document_preamble', if there are two or more."""
-    rows = segments.filter(strip(F.col("text")) != "")
-    n = F.length(strip(F.col("text")))
+    rows = segments.filter(F.ltrim("text", F.lit(BLANKS)) != "").withColumn("text", strip_column(F.col("text")))
+    n = F.length("text")
     stops = F.coalesce((F.col("block") == "table") | starts_body(F.col("text")) | ((F.col("block") == "heading") & (n > short)), F.lit(False))
     size = F.sum(n + 1).over(_doc()) - 1
-    rows = rows.withColumn("__stop", stops | (size > budget) | (F.row_number().over(_doc()) > most))
+    rows = rows.withColumns({"__size": size, "__place": F.row_number().over(_doc())})
+    # a text is told by its marks only where it may still belong to the preamble
+    rows = rows.withColumn("__stop", (F.col("__place") > most) | (F.col("__size") > budget) | stops)
     rows = rows.withColumn("__lead", ~F.max("__stop").over(_doc()))
     rows = rows.withColumn("__many", F.count_if("__lead").over(W.partitionBy("doc_id")) >= 2)
     lead = F.col("__lead") & F.col("__many")
@@ -82,11 +113,12 @@ def merge_orphan_headings(segments: DataFrame, most: int = 120, body: int = 40,
     orphan = (F.col("block") == "heading") & (text != "") & (F.length(text) <= most) & F.forall(lines, lambda x: (F.length(x) < body) & ~x.rlike(ITEM_LINE))
     rows = segments.withColumn("__orphan", F.coalesce(orphan, F.lit(False)))
     run = F.coalesce(F.sum(F.when(F.col("__orphan"), 0).otherwise(1)).over(_doc().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("__run", run)
-    end = W.partitionBy("doc_id", "__run")
-    closes = F.max(F.when(~F.col("__orphan"), ~F.coalesce(F.col("block").isin(*ATOMIC), F.lit(False)))).over(end)
-    rows = rows.withColumn("g", F.when(F.coalesce(closes, F.lit(False)), -1 - F.col("__run")).otherwise(F.col("seq")))
-    return _grouped(rows, joiner, "block", "page_no", "heading_path", *carry)
+    # a run stands before the segment that ends it, whose frame it is; that of a heading is empty, however long the run
+    rows = rows.withColumns({"__at": run * 3 + F.when(F.col("__orphan"), 0).otherwise(1), "__takes": ~F.col("__orphan") & ~F.coalesce(F.col("block").isin(*ATOMIC), F.lit(False))})
+    order = W.partitionBy("doc_id").orderBy("__at")
+    taken = F.coalesce(F.max("__takes").over(order.rangeBetween(1, 1)), F.lit(False))
+    rows = rows.withColumn("__left", F.col("__orphan") & taken)
+    return _joined(rows, order.rangeBetween(-2, -1), F.col("__left"), joiner, "block", "page_no", "heading_path", *carry)
 
 
 def merge_orphan_titles(segments: DataFrame, most: int = 120, joiner: str = "\n\n", carry: Sequence[str] = ()) -> DataFrame:
@@ -143,4 +175,5 @@ def merge_by_budget(segments: DataFrame, budget: int | Column, joiner: str = "\n
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     packs = rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(pack, f"{kinds}, g long")
-    return _grouped(packs, joiner, "block", "page_no", "heading_path", *carry, first=True)
+    in_order = W.partitionBy("doc_id").orderBy("seq", "g")  # rows of one place may be of two packs
+    return _grouped(packs, joiner, "block", "page_no", "heading_path", *carry, first=True, order=in_order)

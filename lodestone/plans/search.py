@@ -93,7 +93,9 @@ def vector_then_join(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    rows = chunking.split_segments(table(spark, sf_dir, "documents"), "\n").withColumnRenamed("segment", "text")
+    """The lines of each document. Whole texts are dealt by document, which serves all windows to come: lines aren't shuffled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    rows = chunking.split_segments(docs, "\n").withColumnRenamed("segment", "text")
     return rows.select("doc_id", "seq", "text", F.when(F.length("text") < 30, "heading").alias("block"), (F.col("seq") / 20).cast("int").alias("page_no"), F.lit(None).cast("string").alias("heading_path"), "start_offset", "end_offset")
 
 

@@ -66,3 +66,39 @@ def test_packs_do_not_depend_on_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = packed._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Join" not in plan
+
+
+def test_segments_are_joined_in_windows(spark):
+    """Texts aren't aggregated, and a long run of headings goes to the one segment that ends it."""
+    names = [f"h{i}" for i in range(400)]
+    rows = table(spark, *((x, "heading", None) for x in names), ("body text", None, "A"), ("t", "heading", None), ("u", "table", None), ("end", "heading", None))
+    found = S.merge_orphan_headings(rows)
+    assert texts(found) == ["\n\n".join([*names, "body text"]), "t", "u", "end"]
+    first = found.orderBy("seq").first()
+    assert (first.seq, first.start_offset, first.end_offset, first.merged, first.block, first.heading_path) == (0, 0, 4009, 401, None, "A")
+    for frame in (found, S.merge_preamble(rows), S.merge_orphan_titles(rows), S.merge_by_budget(rows, 100)):
+        assert "Aggregate" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_one_place(spark):
+    """Two segments of one place are one where nothing else joins them; none is lost or joined twice."""
+    pair = spark.createDataFrame([(1, 0, "一、a", None, 1, None, 0, 3), (1, 0, "b", None, 1, None, 0, 1), (1, 1, "c", None, 1, None, 4, 5)], SCHEMA)
+    assert texts(S.merge_preamble(pair)) == ["b\n一、a", "c"]
+    rows = spark.createDataFrame([(1, i // 3, f"{i:04d}" + "x" * (i % 50), None, 1, None, i, i + 1) for i in range(300)], SCHEMA)
+    joined = " ".join(texts(S.merge_by_budget(rows, 100, joiner=" "))).split(" ")
+    assert sorted(x[:4] for x in joined) == [f"{i:04d}" for i in range(300)]
+
+
+def test_lines_are_not_shuffled(spark):
+    from conftest import SF
+    from lodestone.plans.search import headed_segments
+
+    plan = headed_segments(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("text", ["一、a", " **一、** a", "**　二、**a", "__（三）__", "第 3 章", "　第三章、", "**__ 十、__**", "(一) z", "第　1 节"])
+def test_begins_behind_marks(spark, text):
+    plain = S.strip_markdown(F.lit(text)).rlike(f"{S.CHAPTER_LINE}|{S.SECTION_LINE}|{S.NUMBERED_LINE}")
+    row = spark.range(1).select(S.starts_section(F.lit(text)).alias("a"), plain.alias("b")).first()
+    assert row.a == row.b
