@@ -17,7 +17,7 @@ from .chunking import sliding_chunks
 from .segments import ATOMIC, merge_by_budget, merge_orphan_headings, merge_orphan_titles
 from .written import written
 
-#: Most chunks of a document that may be indexed.
+#: A document of more chunks is told of by plan_outcomes; its chunks are made like those of any other.
 MOST_CHUNKS = 3600
 #: Documents whose text is short get about this many chunks, none of them meant to be below this size.
 LEAST_CHUNKS, LEAST_SIZE = 4, 160
@@ -27,6 +27,7 @@ _CONFIG = (
     "mode string, general struct<delimiter:string,max_length:int,overlap:int,collapse_whitespace:boolean>, parent_child struct<parent_mode:string,"
     "parent_delimiter:string,child_delimiter:string,child_max_length:int,child_overlap:int,collapse_whitespace:boolean>"
 )
+_PIECES = ["doc_id", "route", "place", "part", "text", "start_offset", "size", "overlap", "page_no", "heading_path", "parent_index"]
 _CHUNKS = ["doc_id", "route", "place", "part", "content", "start_offset", "end_offset", "page_no", "heading_path", "parent_index"]
 
 
@@ -116,27 +117,28 @@ def general_pieces(segments: DataFrame) -> DataFrame:
     return _numbered(rows, "place", "seq", "i").drop("seq", "i", "at", "total", "atomic").withColumnRenamed("place", "seq")
 
 
-def _slid(pieces: DataFrame, route: str) -> DataFrame:
-    """The pieces (doc_id, place, part, text, start_offset, size, overlap and what is kept) cut into overlapping chunks."""
-    kept = ["part_of", "page_no", "heading_path", "parent_index"]
+def _slid(pieces: DataFrame) -> DataFrame:
+    """The pieces (_PIECES) cut into overlapping chunks."""
+    kept = ["route", "part_of", "page_no", "heading_path", "parent_index"]
     rows = pieces.withColumnsRenamed({"place": "seq", "part": "part_of", "text": "segment"})
     slid = sliding_chunks(rows, F.col("size"), F.col("overlap"), kept)
     order = F.struct("part_of", "part")
-    return slid.select("doc_id", F.lit(route).alias("route"), F.col("seq").alias("place"), order.alias("part"), "content", "start_offset", "end_offset", "page_no", "heading_path", "parent_index")
+    return slid.select("doc_id", "route", F.col("seq").alias("place"), order.alias("part"), "content", "start_offset", "end_offset", "page_no", "heading_path", "parent_index")
 
 
 def _general(rows: DataFrame) -> DataFrame:
-    """Split, packed by budget, cut where sections begin, titles and headings that stand alone joined to what follows, then
-    cut by length; tables, pictures and preambles stay whole."""
+    """What is cut by length (_PIECES): split, packed by budget, cut where sections begin, titles and headings that stand alone
+    joined to what follows; tables, pictures and preambles stay whole. The packs are written, as each step after them reads
+    their texts several times."""
     kept = ["size", "overlap"]
-    merged = merge_by_budget(general_pieces(rows), F.col("size"), carry=kept)
+    merged = written(merge_by_budget(general_pieces(rows), F.col("size"), carry=kept), "packs")
     cut = sections.split_merged_sections(merged.withColumn("context", F.lit(0)), carry=kept)
     fields = [c for c in cut.columns if c not in ("part", "merged", "context")]
     cut = _numbered(cut.withColumnRenamed("seq", "old"), "seq", "old", "part").select(fields)
     joined = merge_orphan_headings(merge_orphan_titles(cut, carry=kept).select(fields), body=24, carry=kept)
     whole = F.coalesce(F.col("block").isin(*ATOMIC), F.lit(False))
     joined = joined.withColumn("size", F.when(whole, F.length("text") + 1).otherwise(F.col("size")))
-    return _slid(joined.withColumnRenamed("seq", "place").withColumns({"part": F.lit(0), "parent_index": F.lit(None).cast("long")}), "general")
+    return joined.withColumnRenamed("seq", "place").withColumns({"route": F.lit("general"), "part": F.lit(0), "parent_index": F.lit(None).cast("long")}).select(_PIECES)
 
 
 def _parents(rows: DataFrame) -> DataFrame:
@@ -152,10 +154,10 @@ def _parents(rows: DataFrame) -> DataFrame:
 
 
 def _parent_child(rows: DataFrame) -> DataFrame:
-    """The children of each parent, cut by length; their offsets count from the start of the parent."""
+    """The children of each parent, which are cut by length (_PIECES); their offsets count from the start of the parent."""
     children = _cut(_parents(rows), "text", "delimiter", "i")
     children = _numbered(children.withColumn("start_offset", F.col("at")), "place", "parent_index", "i")
-    return _slid(children.withColumn("part", F.lit(0)), "parent_child")
+    return children.withColumns({"route": F.lit("parent_child"), "part": F.lit(0)}).select(_PIECES)
 
 
 def _prebuilt(rows: DataFrame) -> DataFrame:
@@ -179,8 +181,8 @@ def planned_chunks(segments: DataFrame, documents: DataFrame) -> DataFrame:
     routes = written(chunk_routes(segments, documents), "routes")
     rows = written(segments.select(*base).withColumn("page_no", F.col("page_no").cast("int")).join(routes, "doc_id"), "routed")
     on = lambda name: rows.filter(F.col("route") == name)
-    chunks = [step(on(name)).withColumn("page_no", F.col("page_no").cast("int")).select(_CHUNKS) for name, step in (("general", _general), ("parent_child", _parent_child), ("prebuilt", _prebuilt))]
-    every = chunks[0].unionByName(chunks[1]).unionByName(chunks[2])
+    slid = _slid(_general(on("general")).unionByName(_parent_child(on("parent_child"))))
+    every = slid.select(_CHUNKS).unionByName(_prebuilt(on("prebuilt")).withColumn("page_no", F.col("page_no").cast("int")).select(_CHUNKS))
     return _numbered(every, "chunk_index", "place", "part").drop("place", "part")
 
 
@@ -191,10 +193,12 @@ def plan_outcomes(chunks: DataFrame, documents: DataFrame, most: int = MOST_CHUN
     return rows.withColumn("outcome", F.when(F.col("n_chunks") == 0, "empty").when(F.col("n_chunks") > most, "too_many").otherwise("ready"))
 
 
-def ready_chunks(chunks: DataFrame, documents: DataFrame, most: int = MOST_CHUNKS) -> DataFrame:
-    """The chunks of documents that may be indexed. A document's chunks are counted where they are, so that they are made once."""
-    counted = chunks.withColumn("__n", F.count("*").over(W.partitionBy("doc_id"))).filter(F.col("__n") <= most).drop("__n")
-    return counted.join(documents.select("doc_id"), "doc_id", "left_semi")
+def ready_chunks(chunks: DataFrame, documents: DataFrame, most: int | None = None) -> DataFrame:
+    """The chunks of known documents, however many a document has. Only a caller who names `most` leaves out the documents of
+    more; their chunks are counted where they are, so that they are made once."""
+    if most is not None:
+        chunks = chunks.withColumn("__n", F.count("*").over(W.partitionBy("doc_id"))).filter(F.col("__n") <= most).drop("__n")
+    return chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
 
 
 def graph_inserts(chunks: DataFrame, documents: DataFrame, boundary: str, base_size: int, margin: int = 256, most: int = 32_768) -> DataFrame:

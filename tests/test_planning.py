@@ -147,3 +147,15 @@ def test_ready_chunks_of_known_documents(spark):
     ready = P.ready_chunks(chunks, docs.filter("doc_id < 3"), most=1)
     assert sorted(r.doc_id for r in ready.collect()) == [d for d in (1, 2) if n[d] == 1]
     assert ready.columns == chunks.columns
+
+
+def test_documents_of_many_chunks_are_whole(spark):
+    """No cap: a document of more chunks than MOST_CHUNKS keeps all of them, by each route; its outcome tells of it."""
+    many = P.MOST_CHUNKS + 5
+    pairs = json.dumps({"mode": "parent_child", "parent_child": {"child_delimiter": "|"}})
+    rows = segments(spark, {1: ["a"] * many, 2: ["|".join("b" * many)], 3: ["c" * 60 * many]})
+    docs = documents(spark, (1, {"parser_type": "xlsx"}), (2, {"own": pairs}), (3, {"chunk_size": 60, "chunk_overlap": 0}))
+    chunks = P.planned_chunks(rows, docs)
+    got = {r.doc_id: (r.n, r.last, r.size) for r in P.ready_chunks(chunks, docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("chunk_index").alias("last"), F.sum(F.length("content")).alias("size")).collect()}
+    assert got == {1: (many, many - 1, many), 2: (many, many - 1, many), 3: (many, many - 1, 60 * many)}
+    assert {r.outcome for r in P.plan_outcomes(chunks, docs).collect()} == {"too_many"}
