@@ -27,6 +27,7 @@ keeps its count and has no component; an empty table gives no rows; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,9 @@ SPARE = 1.3
 #: Rounds of comparisons with hubs, and features of each side of a cell in expectation.
 HUB_ROUNDS = 2
 CELL = 1 << 18
+#: Columns that a set's signatures are stored in; signatures and features that are shuffled at once, about. What a wave
+#: shuffled is gone before the next begins, so that disk is held for the stored signatures and one wave.
+COLUMNS, WAVE_ROWS, WAVE_FEATURES = 8, 1 << 24, 1 << 27
 #: Largest number of ids that is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -158,7 +162,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def set_table(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """doc_id, n, the set's fingerprint and its signatures, for every document."""
+    """doc_id, n, the set's fingerprint, its number of signatures and these, dealt into COLUMNS columns, for every document."""
+    shift, names = np.uint64(64 - (COLUMNS - 1).bit_length()), [f"sigs{i}" for i in range(COLUMNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(p, q)
@@ -166,19 +171,35 @@ def set_table(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
             for part in slices(batch, "text", SLICE_CHARS):
                 values, counts = shingle_sets(part.column("text").to_pylist(), width)
                 sigs, many = signatures(values, counts, bands)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), _signed(sigs))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), _signed(set_ids(values, counts)), lists], ["doc_id", "n", "set_id", "sigs"])
+                own, column, lists = np.repeat(np.arange(len(many)), many), sigs >> shift, []
+                for i in range(COLUMNS):
+                    at = np.flatnonzero(column == i)
+                    ends = np.append(0, np.cumsum(np.bincount(own[at], minlength=len(many)))).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), _signed(sigs[at])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), _signed(set_ids(values, counts)), pa.array(many, pa.int64()), *lists], ["doc_id", "n", "set_id", "many", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_id long, sigs array<long>")
+    kinds = ", ".join(f"{name} array<long>" for name in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n long, set_id long, many long, {kinds}")
 
 
-def signature_rows(sets: DataFrame) -> DataFrame:
-    return sets.filter("n > 0 AND doc_id IS NOT NULL").select(F.explode("sigs").alias("sig"), F.col("set_id").alias("node"))
+def signature_rows(sets: DataFrame) -> list[DataFrame]:
+    """sig, node: the signatures of all sets, in waves that share none."""
+    known = sets.filter("n > 0 AND doc_id IS NOT NULL")
+    waves = min(COLUMNS, 1 + (known.agg(F.sum("many")).first()[0] or 0) // WAVE_ROWS)
+    columns = [[F.col(f"sigs{i}") for i in range(wave, COLUMNS, waves)] for wave in range(waves)]
+    return [known.select(F.explode(F.concat(*some)).alias("sig"), F.col("set_id").alias("node")) for some in columns]
+
+
+def _waves(rows: DataFrame) -> list[DataFrame]:
+    """The stored rows (sig, node) in waves that share no signature."""
+    waves = 1 + rows.count() // WAVE_ROWS
+    return [rows.filter(F.pmod(F.xxhash64("sig"), F.lit(waves)) == wave) for wave in range(waves)] if waves > 1 else [rows]
 
 
-def signature_stars(rows: DataFrame, step: int, folder: str) -> DataFrame:
+def signature_stars(waves: list[DataFrame], step: int, folder: str) -> DataFrame:
     """sig, a, b: from a hub of each signature to its other sets. Signatures are dealt by ranges of (signature, order of
-    sets), so that a frequent one spreads over partitions; the hubs of the partitions' outer runs are joined afterwards."""
+    sets), so that a frequent one spreads over partitions; the hubs of the partitions' outer runs are joined afterwards.
+    The waves (sig, node) share no signature."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None  # signature and hub of the run at hand
@@ -200,10 +221,10 @@ def signature_stars(rows: DataFrame, step: int, folder: str) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last[0], last[1], last[1])], schema=out)
 
-    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.withColumn("o", F.col("node") if step == 0 else F.xxhash64("node", F.lit(step)))
-    dealt = ordered.repartitionByRange(many, "sig", "o").sortWithinPartitions("sig", "o").select("sig", "node")
-    found = stored(dealt.mapInArrow(stars, "sig long, a long, b long"), folder, f"runs-{step}", batch_rows=None)
+    many = int(waves[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))
+    dealt = [rows.repartitionByRange(many, F.col("sig"), order).sortWithinPartitions(F.col("sig"), order) for rows in waves]
+    found = reduce(DataFrame.union, [stored(rows.mapInArrow(stars, "sig long, a long, b long"), folder, f"runs-{step}/{wave}", batch_rows=None) for wave, rows in enumerate(dealt)])
     ends = found.filter("a = b").select("sig", "a")  # two for each partition
     joins = ends.groupBy("sig").agg(F.min("a").alias("first")).join(ends, "sig").select("sig", F.col("first").alias("a"), F.col("a").alias("b"))
     return found.union(joins).filter("a <> b")
@@ -309,21 +330,27 @@ def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width
     label. groups: grp, node, label, first; classes: set_id, doc_id (its least), n."""
     rows = groups.join(classes.withColumnRenamed("set_id", "node"), "node")
     rows = stored(rows, folder, f"members-{name}")
-    size = rows.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("first"), F.col("n"))) / CELL).cast("int").alias("j"), F.ceil(F.sum("n") / CELL).cast("int").alias("g"))
+    size = rows.groupBy("grp").agg(F.coalesce(F.sum(F.when(F.col("first"), F.col("n"))), F.lit(0)).alias("nj"), F.sum("n").alias("ng"))
+    size = size.select("grp", "nj", "ng", F.ceil(F.col("nj") / CELL).cast("int").alias("j"), F.ceil(F.col("ng") / CELL).cast("int").alias("g"))
     size = stored(size.filter("j > 0"), folder, f"cells-{name}")
-    ids = rows.select("doc_id").distinct()
-    if rows.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    features = set_features(docs, ids, width)
+    waves = 1 + (size.agg(F.sum(F.col("nj") * F.col("g") + F.col("ng") * F.col("j"))).first()[0] or 0) // WAVE_FEATURES
+    few, size = rows.count() <= BROADCAST_IDS, size.select("grp", "j", "g")
     if size.count() <= BROADCAST_IDS:
         size = F.broadcast(size)
     placed = rows.join(size, "grp").withColumn("own", F.xxhash64("node"))
     cell = lambda many, salt: F.pmod(F.xxhash64("own", F.lit(salt)), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    first = placed.filter("first").select("grp", cell("j", 1).alias("cj"), every("g").alias("cg"), F.lit(0).alias("side"), "node", "label")
-    second = placed.select("grp", every("j").alias("cj"), cell("g", 2).alias("cg"), F.lit(1).alias("side"), "node", "label")
-    dealt = first.union(second).join(features.withColumnRenamed("set_id", "node"), "node")
-    dealt = dealt.repartition("grp", "cj", "cg").sortWithinPartitions("grp", "cj", "cg", "side")
+    first = placed.filter("first").select("grp", cell("j", 1).alias("cj"), every("g").alias("cg"), F.lit(0).alias("side"), "node", "label", "doc_id")
+    second = placed.select("grp", every("j").alias("cj"), cell("g", 2).alias("cg"), F.lit(1).alias("side"), "node", "label", "doc_id")
+    both = first.union(second)
+
+    def dealt(wave: int) -> DataFrame:
+        """The sets with their features in the order of the wave's cells."""
+        here = both if waves == 1 else both.filter(F.pmod(F.xxhash64("grp", "cj", "cg"), F.lit(waves)) == wave)
+        ids = here.select("doc_id").distinct()
+        features = set_features(docs, F.broadcast(ids) if few else ids, width)
+        found = here.drop("doc_id").join(features.withColumnRenamed("set_id", "node"), "node")
+        return found.repartition("grp", "cj", "cg").sortWithinPartitions("grp", "cj", "cg", "side").select("grp", "cj", "cg", "side", "node", "label", "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, work = None, _Cell(p, q)
@@ -336,7 +363,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width
                     yield work.flush()
         yield work.flush()
 
-    return stored(dealt.select("grp", "cj", "cg", "side", "node", "label", "features").mapInArrow(run, "a long, b long"), folder, f"links-{name}")
+    return reduce(DataFrame.union, [stored(dealt(wave).mapInArrow(run, "a long, b long"), folder, f"links-{name}/{wave}") for wave in range(waves)])
 
 
 def _labelled(rows: DataFrame, node: str, labels: DataFrame | None, name: str) -> DataFrame:
@@ -349,9 +376,10 @@ def _labelled(rows: DataFrame, node: str, labels: DataFrame | None, name: str) -
 def all_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, width: int, p: int, q: int, folder: str) -> DataFrame:
     """a, b: links that span all components of the different sets."""
     spark = docs.sparkSession
-    rows, links, labels, stars = signature_rows(sets), None, None, None
+    waves, links, labels, stars = signature_rows(sets), None, None, None
     for step in range(HUB_ROUNDS):
-        stars = signature_stars(rows, step, folder)
+        stars = signature_stars(waves, step, folder)
+        discard(spark, folder, "signatures")
         pairs = stars.groupBy("a", "b").agg(F.count("*").alias("shared"))
         if labels is not None:
             pairs = _labelled(_labelled(pairs, "a", labels, "la"), "b", labels, "lb").filter("la <> lb")
@@ -364,11 +392,14 @@ def all_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, width: int,
         links = found if links is None else links.union(found)
         labels = connected_components(links, folder, f"joined-{step}")
         open_ = _labelled(_labelled(stars, "a", labels, "la"), "b", labels, "lb").filter("la <> lb").select("sig").distinct()
-        rows = stored(rows.join(open_, "sig", "left_semi"), folder, f"open-{step}")
+        # a signature's stars reach all of its sets, and most signatures are of one set, so all rows aren't joined again
+        nodes = stars.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
+        rows = stored(nodes.join(open_, "sig", "left_semi"), folder, f"open-{step}")
         discard(spark, folder, f"runs-{step}", f"members-hubs-{step}", f"cells-hubs-{step}", f"hubs-{step}")
         if rows.isEmpty():
             return links
-    clusters = connected_components(signature_stars(rows, HUB_ROUNDS, folder).select("a", "b"), folder, "clusters")
+        waves = _waves(rows)
+    clusters = connected_components(signature_stars(waves, HUB_ROUNDS, folder).select("a", "b"), folder, "clusters")
     members = _labelled(clusters.select(F.col("label").alias("grp"), "node"), "node", labels, "label")
     parts_ = members.groupBy("grp", "label").agg(F.count("*").alias("m"))
     largest = parts_.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
@@ -383,10 +414,11 @@ def all_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, width: int,
 def jaccard_components(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, where q * intersection >= p * union links two documents."""
     folder = work_dir(docs.sparkSession, "jaccard")
-    sets = stored(set_table(docs, width, p, q), folder, "sets")
+    signed = stored(set_table(docs, width, p, q), folder, "signatures")
+    sets = stored(signed.select("doc_id", "n", "set_id"), folder, "sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), folder, "classes")
-    found = all_links(docs, sets, classes, width, p, q, folder)
+    found = all_links(docs, signed, classes, width, p, q, folder)
     same = known.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a <> b")
     extra = same.select("a", "doc_id").join(known.select("doc_id", F.col("set_id").alias("b")), "doc_id").select("a", "b")
     labels = connected_components(found.union(extra), folder, "links")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -609,6 +610,40 @@ def test_jaccard_cells(spark, monkeypatch, cell):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_jaccard_in_waves(spark, monkeypatch):
+    """Signatures and features that are shuffled in many waves give the same components."""
+    monkeypatch.setattr(jaccard_join, "WAVE_ROWS", 200)
+    monkeypatch.setattr(jaccard_join, "WAVE_FEATURES", 2000)
+    monkeypatch.setattr(jaccard_join, "CELL", 200)
+    stored, written = jaccard_join.stored, []
+    monkeypatch.setattr(jaccard_join, "stored", lambda frame, folder, name, **more: written.append(name) or stored(frame, folder, name, **more))
+    r = random.Random(11)
+    bases = [[f"w{r.randrange(10**6)}" for _ in range(80)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        words = list(bases[i % 4])
+        for _ in range(r.randrange(6)):
+            words[r.randrange(80)] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.jaccard_components(table, 3, 90, 100)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()), key=str) == brute_components(rows, 3, 90, 100)
+    assert {"runs-0/0", "runs-0/7", "links-hubs-0/0", "links-hubs-0/1"} <= set(written)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: str(disk.getAllFiles().mkString()).count(".data")
+    before = left()
+    table = jaccard_join.stored(spark.range(1000).repartition(3, "id"), f"file://{tmp_path}", "rows")
+    for _ in range(100):  # files go in the background
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_links_between_sides():
     r = np.random.default_rng(6)
     base = np.unique(r.integers(0, 1 << 60, 6000).astype(np.uint64))
