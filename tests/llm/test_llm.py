@@ -612,7 +612,7 @@ def test_jaccard_cells(spark, monkeypatch, cell):
 
 def test_jaccard_in_waves(spark, monkeypatch):
     """Signatures and features that are shuffled in many waves give the same components."""
-    monkeypatch.setattr(jaccard_join, "WAVE_ROWS", 200)
+    monkeypatch.setattr(jaccard_join, "WAVE_ROWS", 100)
     monkeypatch.setattr(jaccard_join, "WAVE_FEATURES", 2000)
     monkeypatch.setattr(jaccard_join, "CELL", 200)
     stored, written = jaccard_join.stored, []
